@@ -32,7 +32,7 @@ def at_most(c: Column | str, high) -> Column:
 
 def clip(c: Column | str, low: float, high: float) -> Column:
     c = col(c)
-    return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(float(low))), F.lit(float(high))))
+    return F.when(c < F.lit(float(low)), F.lit(float(low))).when(c > F.lit(float(high)), F.lit(float(high))).otherwise(c)
 
 
 def band(c: Column | str, edges: list[tuple[float, str]], default: str) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from heatgrid.functions.base import at_least, clip, col
-from heatgrid.functions.psychro import vapour_pressure
 
 # Physical constants: fixed values.
 KELVIN = 273.15
@@ -23,21 +22,25 @@ HUMAN_ABSORPTIVITY = 0.70
 HUMAN_EMISSIVITY = 0.97
 
 
-def _components(ghi, cosz, direct_fraction) -> tuple[Column, Column, Column]:
-    """(global, beam on a plane normal to the sun, diffuse), each bounded."""
-    cz = clip(cosz, 0.0, 1.0)
-    total = F.least(at_least(ghi, 0.0), F.lit(1.1 * SOLAR_CONSTANT) * cz)
-    beam_flat = clip(direct_fraction, 0.0, 1.0) * total
-    steep = F.least(beam_flat / F.greatest(cz, F.lit(MIN_COS_ZENITH)), F.lit(SOLAR_CONSTANT))
-    beam = F.when(cz < MIN_COS_ZENITH, F.lit(0.0)).otherwise(steep)
-    return total, beam, F.greatest(total - beam_flat, F.lit(0.0))
+def bounded_irradiance(ghi, cosz) -> Column:
+    """Global irradiance, at most a little above what reaches the atmosphere."""
+    return F.least(at_least(ghi, 0.0), F.lit(1.1 * SOLAR_CONSTANT) * col(cosz))
 
 
-def absorbed_shortwave(ghi, cosz, direct_fraction, albedo_body: float) -> Column:
+def beam_normal(total, cosz, direct_fraction) -> Column:
+    """Beam on a plane that faces the sun; none from a sun near the horizon."""
+    steep = col(direct_fraction) * col(total) / F.greatest(col(cosz), F.lit(MIN_COS_ZENITH))
+    return F.when(col(cosz) < MIN_COS_ZENITH, F.lit(0.0)).otherwise(F.least(steep, F.lit(SOLAR_CONSTANT)))
+
+
+def diffuse(total, direct_fraction) -> Column:
+    return F.greatest(col(total) * (F.lit(1.0) - col(direct_fraction)), F.lit(0.0))
+
+
+def absorbed_shortwave(total, beam, sky, albedo_body: float) -> Column:
     """Mean shortwave flux absorbed by a sphere, W/m2."""
-    total, beam, diffuse = _components(ghi, cosz, direct_fraction)
     return F.lit(1.0 - albedo_body) * (
-        beam / F.lit(4.0) + diffuse / F.lit(2.0) + F.lit(SURFACE_ALBEDO / 2.0) * total
+        col(beam) / F.lit(4.0) + col(sky) / F.lit(2.0) + F.lit(SURFACE_ALBEDO / 2.0) * col(total)
     )
 
 
@@ -59,13 +62,11 @@ def mean_radiant_temperature(globe, t, wind, diameter_m: float = GLOBE_DIAMETER_
     return F.pow(at_least(inner, 1.0), F.lit(0.25)) - F.lit(KELVIN)
 
 
-def mean_radiant_temperature_human(t, dewpoint, ghi, cosz, direct_fraction) -> Column:
-    """Mean radiant temperature of a standing person from the full radiation budget."""
-    total, beam, diffuse = _components(ghi, cosz, direct_fraction)
+def mean_radiant_temperature_human(t, emissivity, total, beam, sky, area_factor) -> Column:
+    """Mean radiant temperature of a standing person from the radiation budget."""
     shortwave = F.lit(HUMAN_ABSORPTIVITY) * (
-        projected_area_factor(cosz) * beam + F.lit(0.5) * diffuse + F.lit(0.5 * SURFACE_ALBEDO) * total
+        col(area_factor) * col(beam) + F.lit(0.5) * col(sky) + F.lit(0.5 * SURFACE_ALBEDO) * col(total)
     )
-    air = F.pow(col(t) + F.lit(KELVIN), F.lit(4.0))
-    longwave = F.lit(0.5) * air * (sky_emissivity(vapour_pressure(t, dewpoint)) + F.lit(SURFACE_EMISSIVITY))
+    longwave = F.lit(0.5) * F.pow(col(t) + F.lit(KELVIN), F.lit(4.0)) * (col(emissivity) + F.lit(SURFACE_EMISSIVITY))
     budget = shortwave / F.lit(HUMAN_EMISSIVITY * STEFAN_BOLTZMANN) + longwave
-    return F.pow(at_least(budget, 1.0), F.lit(0.25)) - F.lit(KELVIN)
+    return F.pow(F.when(budget < 1.0, F.lit(1.0)).otherwise(budget), F.lit(0.25)) - F.lit(KELVIN)

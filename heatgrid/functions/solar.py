@@ -39,37 +39,51 @@ def year_angle(doy) -> Column:
 
 def solar_noon_utc(lon, doy) -> Column:
     """Hour (UTC) of local solar noon."""
-    minutes = F.lit(EOT_MINUTES) * _fourier(year_angle(doy), EQUATION_OF_TIME)
+    return noon_at(lon, year_angle(doy))
+
+
+def noon_at(lon, angle) -> Column:
+    minutes = F.lit(EOT_MINUTES) * _fourier(col(angle), EQUATION_OF_TIME)
     return F.lit(12.0) - col(lon) / F.lit(15.0) - minutes / F.lit(60.0)
 
 
-def cos_zenith(ts_utc, lat, lon) -> Column:
-    """Cosine of the zenith angle at the middle of an hour that starts at ``ts_utc``."""
-    mid = col(ts_utc) + F.expr("INTERVAL 30 MINUTES")
-    hours = F.hour(mid) + F.minute(mid) / F.lit(60.0) + F.second(mid) / F.lit(3600.0)
-    decl = _fourier(year_angle(F.dayofyear(mid)), DECLINATION)
-    hour_angle = F.radians((hours - solar_noon_utc(lon, F.dayofyear(mid))) * F.lit(15.0))
-    phi = F.radians(col(lat))
-    return clip(F.sin(phi) * F.sin(decl) + F.cos(phi) * F.cos(decl) * F.cos(hour_angle), 0.0, 1.0)
-
-
-def irradiance_split(ghi, cosz, doy) -> Column:
-    """struct(dni, dhi, direct_fraction) from global irradiance and sun height.
-
-    ``direct_fraction`` is beam *horizontal* over global horizontal.
-    """
-    g = F.greatest(F.coalesce(col(ghi), F.lit(0.0)), F.lit(0.0))
-    cz = col(cosz)
-    top = F.lit(EXTRATERRESTRIAL) * _fourier(year_angle(doy), DISTANCE)
-    kt = clip(g / (top * F.greatest(cz, F.lit(CLEARNESS_MIN_COS))), 0.0, 1.0)
-    diffuse_share = (
-        F.when(kt <= ERBS_LOW_LIMIT, polynomial(kt, ERBS_LOW))
-        .when(kt <= ERBS_HIGH_LIMIT, polynomial(kt, ERBS_MID))
+def declination(angle) -> Column:
+    return _fourier(col(angle), DECLINATION)
+
+
+def extraterrestrial(angle) -> Column:
+    """Irradiance above the atmosphere on a plane that faces the sun, W/m2."""
+    return F.lit(EXTRATERRESTRIAL) * _fourier(col(angle), DISTANCE)
+
+
+def cos_zenith(lat, decl, hours, noon) -> Column:
+    """Cosine of the zenith angle, zero below the horizon."""
+    phi, hour_angle = F.radians(col(lat)), F.radians((col(hours) - col(noon)) * F.lit(15.0))
+    return clip(F.sin(phi) * F.sin(col(decl)) + F.cos(phi) * F.cos(col(decl)) * F.cos(hour_angle), 0.0, 1.0)
+
+
+def clearness(ghi, top, cosz) -> Column:
+    return F.least(col(ghi) / (col(top) * F.greatest(col(cosz), F.lit(CLEARNESS_MIN_COS))), F.lit(1.0))
+
+
+def diffuse_share(kt) -> Column:
+    k = col(kt)
+    return (
+        F.when(k <= ERBS_LOW_LIMIT, polynomial(k, ERBS_LOW))
+        .when(k <= ERBS_HIGH_LIMIT, polynomial(k, ERBS_MID))
         .otherwise(F.lit(ERBS_HIGH))
     )
-    low_sun = cz < F.lit(math.cos(math.radians(BEAM_MAX_ZENITH)))
-    dhi = F.when(low_sun, g).otherwise(diffuse_share * g)
-    beam_h = F.greatest(g - dhi, F.lit(0.0))
-    dni = F.when(low_sun, F.lit(0.0)).otherwise(beam_h / F.greatest(cz, F.lit(1e-6)))
-    direct = F.when(g > 1.0, F.least(beam_h / g, F.lit(1.0))).otherwise(F.lit(0.0))
-    return F.struct(dni.alias("dni"), dhi.alias("dhi"), direct.alias("direct_fraction"))
+
+
+def low_sun(cosz) -> Column:
+    """Sun too low for a beam."""
+    return col(cosz) < F.lit(math.cos(math.radians(BEAM_MAX_ZENITH)))
+
+
+def beam_normal(beam_horizontal, cosz) -> Column:
+    return F.when(low_sun(cosz), F.lit(0.0)).otherwise(col(beam_horizontal) / F.greatest(col(cosz), F.lit(1e-6)))
+
+
+def direct_fraction(beam_horizontal, ghi) -> Column:
+    """Beam on the horizontal over global horizontal irradiance."""
+    return F.when(col(ghi) > 1.0, F.least(col(beam_horizontal) / col(ghi), F.lit(1.0))).otherwise(F.lit(0.0))

@@ -12,19 +12,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from heatgrid.functions.base import at_least, col
-from heatgrid.functions.psychro import BUCK_A, BUCK_B, BUCK_C, BUCK_D, vapour_pressure
+from heatgrid.functions.psychro import BUCK_A, BUCK_B, BUCK_C, BUCK_D
 from heatgrid.functions.radiation import (
-    GLOBE_ALBEDO,
     GLOBE_DIAMETER_M,
     GLOBE_EMISSIVITY,
     KELVIN,
     STEFAN_BOLTZMANN,
     SURFACE_EMISSIVITY,
-    WICK_ALBEDO,
-    absorbed_shortwave,
-    sky_emissivity,
 )
 
 # Air and water constants and solver settings: fixed values.
@@ -96,14 +93,14 @@ def _wick_step(tw, ta_c, td, wind, p, shortwave, emis, e_air):
     return tw + 0.4 * (target - tw)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _solve_globe(ta: pd.Series, wind: pd.Series, p: pd.Series, sw: pd.Series, emis: pd.Series) -> pd.Series:
     a = [np.asarray(s, dtype=float) for s in (ta, wind, p, sw, emis)]
     kelvin = a[0] + KELVIN
     return pd.Series(_fixed_point(kelvin, _globe_step, kelvin, *a[1:]) - KELVIN)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _solve_wick(
     ta: pd.Series, td: pd.Series, wind: pd.Series, p: pd.Series, sw: pd.Series, emis: pd.Series, e: pd.Series
 ) -> pd.Series:
@@ -111,26 +108,13 @@ def _solve_wick(
     return pd.Series(_fixed_point(a[0], _wick_step, *a))
 
 
-def globe_temperature(t, dewpoint, wind, pressure, ghi, cosz, direct_fraction) -> Column:
+def globe_temperature(t, wind, pressure, shortwave, emissivity) -> Column:
     """Temperature of a 150 mm black globe, degC."""
-    return _solve_globe(
-        col(t),
-        at_least(wind, CALM_FLOOR),
-        col(pressure),
-        absorbed_shortwave(ghi, cosz, direct_fraction, GLOBE_ALBEDO),
-        sky_emissivity(vapour_pressure(t, dewpoint)),
-    )
+    return _solve_globe(col(t), at_least(wind, CALM_FLOOR), col(pressure), col(shortwave), col(emissivity))
 
 
-def natural_wet_bulb(t, dewpoint, wind, pressure, ghi, cosz, direct_fraction) -> Column:
+def natural_wet_bulb(t, dewpoint, wind, pressure, shortwave, emissivity, vapour) -> Column:
     """Temperature of a wetted wick in sun and wind, degC."""
-    e = vapour_pressure(t, dewpoint)
     return _solve_wick(
-        col(t),
-        col(dewpoint),
-        at_least(wind, CALM_FLOOR),
-        col(pressure),
-        absorbed_shortwave(ghi, cosz, direct_fraction, WICK_ALBEDO),
-        sky_emissivity(e),
-        e,
+        col(t), col(dewpoint), at_least(wind, CALM_FLOOR), col(pressure), col(shortwave), col(emissivity), col(vapour)
     )

@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from heatgrid.functions.base import clip, col
 
@@ -88,7 +89,7 @@ def utci(t, radiant, wind10, rh, clip_inputs: bool = True, weights_path: str | N
         excess, wind = clip(excess, *RADIANT_EXCESS), clip(wind, *WIND_RANGE)
     vapour = vapour_pressure_hpa(air) * clip(rh, 0.0, 100.0) / F.lit(100.0) / F.lit(10.0)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def regress(a: pd.Series, w: pd.Series, d: pd.Series, v: pd.Series) -> pd.Series:
         return pd.Series(_evaluate(weights, *(np.asarray(s, dtype=float) for s in (a, w, d, v))))
 

@@ -15,51 +15,84 @@ DAILY_INDICES = ("t2m", "wbgt", "utci", "heat_index", "tmrt", "wbgt_shade")
 NIGHT_INDICES = ("t2m", "wbgt", "utci")
 
 
+def with_sun(df: DataFrame, ts: str = "ts_utc", lat: str = "lat", lon: str = "lon", ghi: str = "ghi") -> DataFrame:
+    """Add ``cosz, dni, dhi, direct_fraction``, the sun taken at mid-hour.
+
+    Each step is its own projection, so every quantity is computed once and the
+    generated code stays small.
+    """
+    mid = F.col(ts) + F.expr("INTERVAL 30 MINUTES")
+    hours = F.hour("_mid") + F.minute("_mid") / F.lit(60.0) + F.second("_mid") / F.lit(3600.0)
+    beam = F.greatest(F.col("_g") - F.col("dhi"), F.lit(0.0))
+    steps = [
+        {"_mid": mid, "_g": F.greatest(F.coalesce(F.col(ghi), F.lit(0.0)), F.lit(0.0))},
+        {"_angle": solar.year_angle(F.dayofyear("_mid")), "_hours": hours},
+        {"_decl": solar.declination("_angle"), "_noon": solar.noon_at(lon, "_angle"), "_top": solar.extraterrestrial("_angle")},
+        {"cosz": solar.cos_zenith(lat, "_decl", "_hours", "_noon")},
+        {"_kt": solar.clearness("_g", "_top", "cosz")},
+        {"dhi": F.when(solar.low_sun("cosz"), F.col("_g")).otherwise(F.col("_g") * solar.diffuse_share("_kt"))},
+        {"_beam": beam},
+        {"dni": solar.beam_normal("_beam", "cosz"), "direct_fraction": solar.direct_fraction("_beam", "_g")},
+    ]
+    for step in steps:
+        df = df.withColumns(step)
+    return df.drop("_mid", "_g", "_angle", "_hours", "_decl", "_noon", "_top", "_kt", "_beam")
+
+
+def with_radiation(df: DataFrame, t: str = "t2m", dewpoint: str = "td", ghi: str = "ghi") -> DataFrame:
+    """Add vapour pressure, sky emissivity, absorbed shortwave and human ``tmrt``."""
+    parts = ("_total", "_beam", "_sky")
+    steps = [
+        {"vapour": psychro.vapour_pressure(t, dewpoint), "_total": radiation.bounded_irradiance(ghi, "cosz")},
+        {
+            "emissivity": radiation.sky_emissivity("vapour"),
+            "_beam": radiation.beam_normal("_total", "cosz", "direct_fraction"),
+            "_sky": radiation.diffuse("_total", "direct_fraction"),
+            "area_factor": radiation.projected_area_factor("cosz"),
+        },
+        {
+            "sw_globe": radiation.absorbed_shortwave(*parts, radiation.GLOBE_ALBEDO),
+            "sw_wick": radiation.absorbed_shortwave(*parts, radiation.WICK_ALBEDO),
+            "tmrt": radiation.mean_radiant_temperature_human(t, "emissivity", *parts, "area_factor"),
+        },
+    ]
+    for step in steps:
+        df = df.withColumns(step)
+    return df.drop(*parts)
+
+
 def hourly_indices(hourly: DataFrame) -> DataFrame:
     """All thermal indices in one pass over the hourly table; no shuffle.
 
-    Needs ``cell_id, lat, lon, ts_utc, ts_ist`` and the weather columns.
-    Shared quantities are projected once; the two implicit balances and the
-    regression run in a single Arrow exchange.
+    Needs ``cell_id, lat, lon, ts_utc, ts_ist`` and the weather columns. The two
+    implicit balances and the regression run in a single Arrow exchange.
     """
-    weather = ("T2M", "T2MDEW", "WS10M", "PS", "ALLSKY_SFC_SW_DWN")
+    weather = {"t2m": "T2M", "td": "T2MDEW", "ws10": "WS10M", "ps": "PS", "ghi": "ALLSKY_SFC_SW_DWN"}
     base = hourly.select(
-        "cell_id", "ts_ist", "ts_utc", "lat", "lon", *[no_nan(F.col(c).cast("double")).alias(f"_{c}") for c in weather]
-    )
-    t, td, ws10, ps, ghi = (F.col(f"_{c}") for c in weather)
-    sun = base.withColumns(
-        {
-            "_cz": solar.cos_zenith("ts_utc", "lat", "lon"),
-            "_rh": psychro.relative_humidity(t, td),
-            "_ws2": psychro.wind_at_height(ws10),
-        }
-    )
-    mid_doy = F.dayofyear(F.col("ts_utc") + F.expr("INTERVAL 30 MINUTES"))
-    split = sun.withColumn("_fdir", solar.irradiance_split(ghi, "_cz", mid_doy)["direct_fraction"])
-    radiant = split.withColumn(
-        "_tmrt", radiation.mean_radiant_temperature_human(t, td, ghi, "_cz", "_fdir")
+        "cell_id", "ts_ist", "ts_utc", "lat", "lon", *[no_nan(F.col(src).cast("double")).alias(c) for c, src in weather.items()]
     )
-    args = (t, td, "_ws2", ps, ghi, "_cz", "_fdir")
-    solved = radiant.withColumns(
+    humid = base.withColumns({"rh": psychro.relative_humidity("t2m", "td"), "ws2": psychro.wind_at_height("ws10")})
+    ready = with_radiation(with_sun(humid))
+    solved = ready.withColumns(
         {
-            "_tg": no_nan(solvers.globe_temperature(*args)),
-            "_tnwb": no_nan(solvers.natural_wet_bulb(*args)),
-            "_utci": no_nan(utci.utci(t, "_tmrt", ws10, "_rh")),
+            "tg": no_nan(solvers.globe_temperature("t2m", "ws2", "ps", "sw_globe", "emissivity")),
+            "tnwb": no_nan(solvers.natural_wet_bulb("t2m", "td", "ws2", "ps", "sw_wick", "emissivity", "vapour")),
+            "utci": no_nan(utci.utci("t2m", "tmrt", "ws10", "rh")),
         }
     )
     return solved.select(
         "cell_id",
         "ts_ist",
-        t.alias("t2m"),
-        F.col("_rh").alias("rh"),
-        heat.wbgt_outdoor("_tnwb", "_tg", t).alias("wbgt"),
-        F.col("_tg").alias("tg"),
-        F.col("_tnwb").alias("tnwb"),
-        F.col("_tmrt").alias("tmrt"),
-        radiation.mean_radiant_temperature("_tg", t, "_ws2").alias("tmrt_globe"),
-        F.col("_utci").alias("utci"),
-        heat.heat_index(t, "_rh").alias("heat_index"),
-        heat.wbgt_shade(t, "_rh").alias("wbgt_shade"),
+        "t2m",
+        "rh",
+        heat.wbgt_outdoor("tnwb", "tg", "t2m").alias("wbgt"),
+        "tg",
+        "tnwb",
+        "tmrt",
+        radiation.mean_radiant_temperature("tg", "t2m", "ws2").alias("tmrt_globe"),
+        "utci",
+        heat.heat_index("t2m", "rh").alias("heat_index"),
+        heat.wbgt_shade("t2m", "rh").alias("wbgt_shade"),
     )
 
 
