@@ -75,9 +75,9 @@ def hourly_indices(hourly: DataFrame) -> DataFrame:
     ready = with_radiation(with_sun(humid))
     solved = ready.withColumns(
         {
-            "tg": no_nan(solvers.globe_temperature("t2m", "ws2", "ps", "sw_globe", "emissivity")),
-            "tnwb": no_nan(solvers.natural_wet_bulb("t2m", "td", "ws2", "ps", "sw_wick", "emissivity", "vapour")),
-            "utci": no_nan(utci.utci("t2m", "tmrt", "ws10", "rh")),
+            "tg": solvers.globe_temperature("t2m", "ws2", "ps", "sw_globe", "emissivity"),
+            "tnwb": solvers.natural_wet_bulb("t2m", "td", "ws2", "ps", "sw_wick", "emissivity", "vapour"),
+            "utci": utci.utci("t2m", "tmrt", "ws10", "rh"),
         }
     )
     return solved.select(

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatgrid.functions import calendar, heat, psychro, scaling
+from heatgrid.functions.base import clip
 from heatgrid.operators.climatology import attach_anomaly, build_climatology
 from heatgrid.operators.index import compute_index
 from heatgrid.plans.common import table
@@ -206,3 +207,143 @@ PANEL_CELLS_SQL = """panel_cells AS (
   SELECT cell_id, 18.0e0 + (cell_id % 8) * 0.25e0 AS lat, 83.0e0 + (cell_id // 8) * 0.25e0 AS lon,
          (cell_id % 10 + 1)::INTEGER AS ahs_code
   FROM (SELECT DISTINCT cell_id FROM panel))"""
+
+
+# --- people ------------------------------------------------------------------
+
+
+def districts_sql() -> str:
+    from heatgrid.operators.places import DISTRICTS
+
+    rows = []
+    for line in DISTRICTS.splitlines():
+        code, name, _, _, _, _, _, pop, c_lat, c_lon, area, _ = line.split("|")
+        rows.append(f"({code}, '{name}', {pop}, {c_lat}e0, {c_lon}e0, {area})")
+    return "districts(ahs_code, district, pop_2011, c_lat, c_lon, area_km2) AS (VALUES " + ", ".join(rows) + ")"
+
+
+def event_cells(spark: SparkSession, sf: str) -> DataFrame:
+    return hourly(spark, sf).select("cell_id", "lat", "lon").distinct()
+
+
+EVENT_CELLS = "event_cells AS (SELECT DISTINCT cell_id, lat, lon FROM hourly)"
+
+
+def wards(spark: SparkSession, sf: str) -> DataFrame:
+    """Wards from ``customer``: spread over the lattice, city = nation."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_name")
+    return c.select(
+        F.col("c_custkey").alias("ward_id"),
+        F.col("c_name").alias("ward_name"),
+        F.col("c_nationkey").alias("city"),
+        (F.col("c_nationkey") + 1).alias("ahs_code"),
+        (F.lit(17.5) + F.lit(4.5) * _mod("c_custkey", 37) / F.lit(997.0)).alias("lat"),
+        (F.lit(81.5) + F.lit(1.7) * _mod("c_custkey", 53, 991) / F.lit(991.0)).alias("lon"),
+        (F.lit(1000.0) + F.col("c_custkey") * F.lit(17.0)).alias("population"),
+        (_mod("c_custkey", 1, 23) * F.lit(0.7)).alias("elderly_pct"),
+        F.when(F.col("c_custkey") % 9 != 0, _mod("c_custkey", 1, 31) * F.lit(1.1)).alias("slum_pop_pct"),
+        (_mod("c_custkey", 1, 11) / F.lit(11.0)).alias("built_up_frac"),
+        (F.lit(0.75) + F.lit(0.6) * _mod("c_custkey", 1, 13) / F.lit(13.0)).alias("vuln_mult"),
+    )
+
+
+WARDS = """wards AS (SELECT c_custkey AS ward_id, c_name AS ward_name, c_nationkey AS city, c_nationkey + 1 AS ahs_code,
+  17.5e0 + 4.5e0 * ((c_custkey * 37) % 997) / 997.0e0 AS lat, 81.5e0 + 1.7e0 * ((c_custkey * 53) % 991) / 991.0e0 AS lon,
+  1000.0e0 + c_custkey * 17.0e0 AS population, (c_custkey % 23) * 0.7e0 AS elderly_pct,
+  CASE WHEN c_custkey % 9 <> 0 THEN (c_custkey % 31) * 1.1e0 END AS slum_pop_pct, (c_custkey % 11) / 11.0e0 AS built_up_frac,
+  0.75e0 + 0.6e0 * (c_custkey % 13) / 13.0e0 AS vuln_mult FROM customer)"""
+
+
+def deaths_raw(spark: SparkSession, sf: str) -> DataFrame:
+    """Survey rows as text from ``lineitem``: repeated keys, unknown days, three age columns."""
+    li = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"
+    )
+    s = lambda c: c.cast("string")
+    q = F.col("l_quantity").cast("int")
+    return li.select(
+        s(F.col("l_suppkey") % 30 + 1).alias("district"),
+        s(F.col("l_orderkey")).alias("hl_id"),
+        s(F.col("l_linenumber")).alias("house_no"),
+        F.lit("1").alias("house_hold_no"),
+        F.lit("1").alias("m_serial_no"),
+        s(F.lit(1) + F.col("l_partkey") % 3).alias("year"),
+        F.lit("1").alias("rural"),
+        F.col("l_returnflag").alias("deceased_sex"),
+        s(F.col("l_orderkey") % 33).alias("date_of_death"),
+        F.when(F.col("l_orderkey") % 41 == 0, F.lit("na")).otherwise(s(F.month("l_shipdate"))).alias("month_of_death"),
+        s(F.lit(2005) + F.col("l_suppkey") % 8).alias("year_of_death"),
+        F.when(q < 5, s(q)).alias("age_of_death_below_one_month"),
+        F.when((q >= 5) & (q < 10), s(q)).alias("age_of_death_below_eleven_month"),
+        F.when(q >= 10, s(q * 2)).alias("age_of_death_above_one_year"),
+        F.lit("2").alias("place_of_death"),
+        s(F.rint("l_extendedprice").cast("int")).alias("wt"),
+    )
+
+
+DEATHS = """deaths_raw AS (SELECT (l_suppkey % 30 + 1)::INTEGER AS ahs_code, l_orderkey, l_linenumber, l_returnflag, l_suppkey, l_orderkey % 33 AS d,
+  CASE WHEN l_orderkey % 41 = 0 THEN NULL ELSE month(l_shipdate) END AS month, (2005 + l_suppkey % 8)::INTEGER AS year,
+  l_quantity::INTEGER AS q, CASE WHEN l_quantity >= 10 THEN (l_quantity * 2)::INTEGER::VARCHAR END AS above,
+  CASE WHEN l_quantity < 5 THEN l_quantity::INTEGER::VARCHAR END AS below1, CASE WHEN l_quantity >= 5 AND l_quantity < 10 THEN l_quantity::INTEGER::VARCHAR END AS below11,
+  (1 + l_partkey % 3)::VARCHAR AS survey_round, round_even(l_extendedprice, 0)::INTEGER AS wt FROM lineitem),
+ranked_deaths AS (SELECT *, row_number() OVER (PARTITION BY ahs_code, l_orderkey, l_linenumber, l_returnflag, d, month, year, above
+  ORDER BY survey_round, below1 NULLS FIRST, below11 NULLS FIRST, wt::VARCHAR) AS rn FROM deaths_raw),
+deaths AS (SELECT *, CASE WHEN q >= 10 THEN q * 2.0e0 WHEN q >= 5 THEN q / 12.0e0 ELSE q / 365.25e0 END AS age_years,
+  CASE WHEN year BETWEEN 2007 AND 2011 AND month IS NOT NULL AND d BETWEEN 1 AND 31 THEN try_cast(year || '-' || lpad(month::VARCHAR, 2, '0') || '-' || lpad(d::VARCHAR, 2, '0') AS DATE) END AS date
+  FROM ranked_deaths WHERE rn = 1)"""
+
+
+def deaths(spark: SparkSession, sf: str) -> DataFrame:
+    from heatgrid.operators.mortality import clean_deaths
+
+    return clean_deaths(deaths_raw(spark, sf))
+
+
+# --- forecasts and alerts ------------------------------------------------------
+
+
+def place_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Forecasts in long form: every panel day is lead k of the issue k rows earlier."""
+    p = panel(spark, sf)
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("cell_id").orderBy("date")
+    rows = p.withColumn("seq", F.row_number().over(w)).withColumn("lead", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    c, s, k = F.col("cell_id"), F.col("seq") - F.col("lead"), F.col("lead")
+    h = F.lit(30.0) + (F.col("wbgt_max") - F.lit(24.0)) * F.lit(3.1)
+    out = rows.where(s >= 1).select(
+        F.date_add(F.lit("2024-01-01").cast("date"), s).alias("as_of"),
+        F.when(c % 2 == 0, F.lit("ward")).otherwise(F.lit("district")).alias("scope"),
+        c.cast("string").alias("place_id"),
+        k.alias("lead"),
+        F.date_add(F.lit("2024-01-01").cast("date"), s + k).alias("date"),
+        h.alias("htsi"),
+        (h - F.lit(5.0)).alias("q10"),
+        (h + F.lit(5.0)).alias("q90"),
+        (((c * 29 + s * 17 + k * 13) % 100) / F.lit(100.0)).alias("p_warning"),
+        (((c * 31 + s * 7 + k * 5) % 100) / F.lit(100.0)).alias("p_watch"),
+        scaling.stress_band(h).alias("band"),
+        F.col("wbgt_max").alias("wbgt"),
+        F.col("utci_max").alias("utci"),
+        F.col("wbgt_night_min").alias("night_wbgt"),
+        (F.greatest(h - F.lit(48.5), F.lit(-3.0)) * (c + 1) / F.lit(97.0)).alias("excess_deaths"),
+        clip(h - F.lit(40.0), 0.0, 100.0).alias("mri"),
+        F.concat(F.lit("Place "), c.cast("string")).alias("name"),
+        F.when(c % 2 == 0, (c % 5).cast("string")).alias("city"),
+        (c % 10 + 1).cast("string").alias("district"),
+    )
+    return out.withColumns({"excess_low": F.col("excess_deaths") * F.lit(0.5), "excess_high": F.col("excess_deaths") * F.lit(1.7), "ed_surge": F.col("excess_deaths") * F.lit(15.0)})
+
+
+PLACE_DAYS = """seqs AS (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY date) AS seq, 30.0e0 + (wbgt_max - 24.0e0) * 3.1e0 AS h FROM panel),
+place_days0 AS (SELECT a.cell_id AS c, a.seq AS s, k.k::INTEGER AS lead, b.h, b.wbgt_max, b.utci_max, b.wbgt_night_min
+  FROM seqs a, (SELECT unnest(range(0, 6)) AS k) k, seqs b WHERE b.cell_id = a.cell_id AND b.seq = a.seq + k.k),
+place_days AS (SELECT DATE '2024-01-01' + s::INTEGER AS as_of, CASE WHEN c % 2 = 0 THEN 'ward' ELSE 'district' END AS scope, c::VARCHAR AS place_id, lead,
+  DATE '2024-01-01' + (s + lead)::INTEGER AS date, h AS htsi, h - 5.0e0 AS q10, h + 5.0e0 AS q90,
+  ((c * 29 + s * 17 + lead * 13) % 100) / 100.0e0 AS p_warning, ((c * 31 + s * 7 + lead * 5) % 100) / 100.0e0 AS p_watch,
+  CASE WHEN h >= 63.5e0 THEN 'Emergency' WHEN h >= 59.5e0 THEN 'Warning' WHEN h >= 48.5e0 THEN 'Watch' ELSE 'Normal' END AS band,
+  wbgt_max AS wbgt, utci_max AS utci, wbgt_night_min AS night_wbgt, greatest(h - 48.5e0, -3.0e0) * (c + 1) / 97.0e0 AS excess_deaths,
+  greatest(h - 48.5e0, -3.0e0) * (c + 1) / 97.0e0 * 0.5e0 AS excess_low, greatest(h - 48.5e0, -3.0e0) * (c + 1) / 97.0e0 * 1.7e0 AS excess_high,
+  greatest(h - 48.5e0, -3.0e0) * (c + 1) / 97.0e0 * 15.0e0 AS ed_surge,
+  least(greatest(h - 40.0e0, 0.0e0), 100.0e0) AS mri, 'Place ' || c AS name, CASE WHEN c % 2 = 0 THEN (c % 5)::VARCHAR END AS city, (c % 10 + 1)::VARCHAR AS district
+  FROM place_days0)"""
