@@ -112,7 +112,7 @@ def assign_cells(cells: DataFrame, districts: DataFrame, reach: float = 1.2) ->
         F.col("c_lon").alias("lon"),
         (F.sqrt(F.col("area_km2") / F.lit(math.pi)) / F.lit(geo.KM_PER_DEGREE)).alias("radius"),
     )
-    best = nearest_k(one, dim, 1, target_id="ahs_code", scale="radius").select("lat", "lon", "ahs_code", F.col("score").alias("ratio"))
+    best = nearest_k(one, dim, 1, target_id="ahs_code", scale="radius", bucket=1.5).select("lat", "lon", "ahs_code", F.col("score").alias("ratio"))
     return (
         one.join(best, ["lat", "lon"], "left")
         .withColumn("is_sea", geo.is_sea("lat", "lon"))

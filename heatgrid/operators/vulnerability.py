@@ -9,8 +9,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heatgrid.operators.ranking import quantile_tiers, with_average_rank, with_rank_desc
+from heatgrid.operators.ranking import average_ranks, quantile_tiers, with_rank_desc
 from heatgrid.params import RiskParams
+from heatgrid.session import cut_lineage
 
 # Pillars as indicator -> direction (+1: more is worse), weights and tiers: fixed values.
 PILLARS = {
@@ -36,12 +37,13 @@ def minmax(df: DataFrame, directions: Mapping[str, int], prefix: str = "n_") ->
     spans = df.agg(F.struct(*[F.struct(F.min(c).alias("lo"), F.max(c).alias("hi")).alias(c) for c in directions])).scalar()
 
     def scaled(c: str, sign: int) -> Column:
-        lo, hi = spans[c]["lo"].cast("double"), spans[c]["hi"].cast("double")
+        lo, hi = F.col(f"_spans.{c}.lo").cast("double"), F.col(f"_spans.{c}.hi").cast("double")
         x = (F.col(c) - lo) / (hi - lo)
         flat = lo.isNull() | (hi - lo < 1e-12)
         return F.when(flat, F.lit(0.5)).otherwise(x if sign > 0 else F.lit(1.0) - x)
 
-    return df.withColumns({f"{prefix}{c}": scaled(c, s) for c, s in directions.items()})
+    held = df.withColumn("_spans", spans)
+    return held.withColumns({f"{prefix}{c}": scaled(c, s) for c, s in directions.items()}).drop("_spans")
 
 
 def row_mean(cols: Sequence[str]) -> Column:
@@ -68,8 +70,10 @@ def first_component(df: DataFrame, cols: Sequence[str], like: str, name: str = "
     are projected in place; only the component itself is held by the driver.
     """
     means = df.agg(F.struct(*[F.avg(c).alias(c) for c in cols])).scalar()
-    centred = df.withColumns({f"_c_{c}": F.coalesce(F.col(c) - means[c], F.lit(0.0)) for c in cols})
+    df = df.withColumn("_means", means)
+    centred = df.withColumns({f"_c_{c}": F.coalesce(F.col(c) - F.col(f"_means.{c}"), F.lit(0.0)) for c in cols})
     vectors = VectorAssembler(inputCols=[f"_c_{c}" for c in cols], outputCol="_x").transform(centred)
+    vectors = cut_lineage(vectors.drop("_means"))
     model = PCA(k=1, inputCol="_x", outputCol="_pc").fit(vectors)
     scored = model.transform(vectors).withColumn(name, vector_to_array("_pc")[0])
     sign = F.when(scored.agg(F.corr(name, like)).scalar() < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
@@ -88,9 +92,9 @@ def composite(df: DataFrame, pillars: Mapping[str, Mapping[str, int]] = PILLARS,
 def score_and_tier(df: DataFrame, risk: RiskParams | None = None, key: str = "vuln_equal") -> DataFrame:
     """0..1 score, descending rank, quintile tier and risk multiplier."""
     risk = risk or RiskParams()
-    scored = minmax(df, {key: 1}, prefix="_s_").withColumnRenamed(f"_s_{key}", "vuln_score")
+    scored = cut_lineage(minmax(df, {key: 1}, prefix="_s_").withColumnRenamed(f"_s_{key}", "vuln_score"))
     ranked = with_rank_desc(scored, "vuln_score", "vuln_rank")
-    tiered = quantile_tiers(ranked, "vuln_score", TIERS, "vuln_tier")
+    tiered = quantile_tiers(ranked, "vuln_score", TIERS, "vuln_tier", edges_from=scored)
     spread = F.lit(risk.vuln_mult_max - risk.vuln_mult_min)
     return tiered.withColumn("vuln_mult", F.lit(risk.vuln_mult_min) + spread * F.col("vuln_score"))
 
@@ -107,9 +111,10 @@ def vulnerability(df: DataFrame, pillars=PILLARS, weights=EXPERT_WEIGHTS, risk:
 
 def spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rank correlation of every column pair, long form."""
-    ranked = df
+    base = cut_lineage(df.select(*cols))
+    ranked = base
     for c in cols:
-        ranked = with_average_rank(ranked, c, f"_r_{c}")
+        ranked = ranked.join(average_ranks(base, c, f"_r_{c}"), c, "left")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     row = ranked.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"{a}|{b}") for a, b in pairs])
     long = row.unpivot([], [f"{a}|{b}" for a, b in pairs], "pair", "rho")

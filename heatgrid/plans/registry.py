@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heatgrid.plans import people, weather
+from heatgrid.plans import alerting, people, weather
 from heatgrid.plans.common import Query
 
-QUERIES: dict[str, Query] = {**weather.QUERIES, **people.QUERIES}
+QUERIES: dict[str, Query] = {**weather.QUERIES, **people.QUERIES, **alerting.QUERIES}
