@@ -266,17 +266,14 @@ def match_subscriptions(alerts: DataFrame, subs: DataFrame) -> DataFrame:
 
     The three alternatives become one equality join on (scope, kind, key).
     """
-    wants = F.filter(
-        F.flatten(
-            F.array(
-                *[
-                    F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda k, s=s, kind=kind: F.struct(F.lit(s).alias("scope"), F.lit(kind).alias("kind"), k.cast("string").alias("key")))
-                    for s, kind, c in (("ward", "id", "wards"), ("district", "district", "districts"), ("ward", "city", "cities"))
-                ]
-            )
-        ),
-        lambda w: w["key"].isNotNull(),
-    )
+    def keys(scope: str, kind: str, c: str) -> Column:
+        listed = F.coalesce(F.col(c), F.array().cast("array<string>"))
+        return F.transform(
+            listed, lambda k: F.struct(F.lit(scope).alias("scope"), F.lit(kind).alias("kind"), k.cast("string").alias("key"))
+        )
+
+    every = F.concat(keys("ward", "id", "wards"), keys("district", "district", "districts"), keys("ward", "city", "cities"))
+    wants = F.filter(every, lambda w: w["key"].isNotNull())
     asked = subs.select(F.col("id").alias("subscription_id"), F.coalesce("min_level", F.lit(1)).alias("min_level"), F.explode(F.array_distinct(wants)).alias("w")).select(
         "subscription_id", "min_level", "w.*"
     )

@@ -317,7 +317,7 @@ def advisories(spark, sf):
 
 
 def _fx(c: str, d: int) -> str:
-    r = f"round({c}, {d})"
+    r = f"(round({c}, {d}) + 0.0e0)"
     return f"CASE WHEN {r} = floor({r}) THEN printf('%.0f', {r}) ELSE printf('%.{d}f', {r}) END"
 
 
@@ -573,7 +573,7 @@ def explanations(spark, sf):
     d = fx.place_days(spark, sf).withColumns({"built_up_frac": F.lit(0.37), "vuln_mult": F.lit(1.125), "uhi": F.col("p_watch"), "expected_deaths": F.col("p_watch") + 1, "rr": F.col("p_warning") + 1})
     horizons = d.where("lead IN (1, 3, 5)").select("place_id", "as_of", F.col("lead").alias("horizon"), F.array(
         F.struct(F.lit("htsi_l0").alias("feature"), F.lit("today's thermal stress").alias("label"), F.lit(1.0).alias("value"), (F.col("p_watch") * 10 - 3).alias("contribution")),
-        F.struct(F.lit("doy_sin"), F.lit("time of year"), F.lit(2.0), F.lit(-1.25)),
+        F.struct(F.lit("doy_sin").alias("feature"), F.lit("time of year").alias("label"), F.lit(2.0).alias("value"), F.lit(-1.26).alias("contribution")),
     ).alias("drivers"))
     return serve.explain(d, horizons.where("place_id <> '7'")).select("scope", "place_id", "as_of", "lead", "sentence", "note", "uhi_sentence", "risk_sentence")
 

@@ -75,7 +75,7 @@ def main():
     args = sys.argv[1:]
     sf = args.pop(0) if args and os.path.isdir(args[0]) else "/root/testdata/sf0.01"
     spark = get_session(
-        "check", f"local[{os.cpu_count()}]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
+        "check", f"local[{os.cpu_count()}]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"}
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()
