@@ -346,8 +346,10 @@ def render_advisories(alerts: DataFrame, templates: DataFrame, audiences: DataFr
         "excessHigh": number("excess_high", 1),
         "ed": number("ed_surge"),
     }
+    staged = joined.withColumns({f"_v_{k}": v for k, v in values.items()})
+    values = {k: F.col(f"_v_{k}") for k in values}
     actions = F.transform(F.col("actions"), lambda a: text.fill_template(a, values))
-    return joined.select(
+    return staged.select(
         "alert_id",
         "language",
         "audience",

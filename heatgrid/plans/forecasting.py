@@ -11,7 +11,7 @@ from heatgrid.params import BAND_EDGES
 from heatgrid.plans import alerting
 from heatgrid.plans import fixtures as fx
 from heatgrid.plans.common import Query, pick, rounded, table, with_ctes
-from heatgrid.session import scratch_path
+from heatgrid.session import cut_lineage, scratch_path
 from heatgrid.sources import weather as weather_source
 from heatgrid.streaming import alerts as alert_streams
 from heatgrid.streaming import daily as daily_streams
@@ -90,12 +90,8 @@ QUERIES["target_threshold"] = (
 
 def split_sizes(spark, sf):
     f = _features(spark, sf, 2).withColumn("clim_p90_target", F.coalesce("clim_p90_target", F.lit(30.0)))
-    parts = features.temporal_split(f, TRAIN_END, VALID_END)
-    out = None
-    for name, df in parts.items():
-        row = df.agg(F.count("*").alias("n"), F.min("target_date").alias("first"), F.max("target_date").alias("last")).withColumn("part", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
+    usable = features.usable_rows(f).withColumn("part", features.split_label(TRAIN_END, VALID_END))
+    return usable.groupBy("part").agg(F.count("*").alias("n"), F.min("target_date").alias("first"), F.max("target_date").alias("last"))
 
 
 QUERIES["split_sizes"] = (
@@ -288,7 +284,7 @@ SMALL_TREES = forecast.TreeParams(max_iter=8, depth=4, leaf_depth=4, min_rows=20
 
 
 def _trained(spark, sf):
-    f = _features(spark, sf, 1).withColumn("clim_p90_target", F.coalesce("clim_p90_target", F.lit(30.0)))
+    f = cut_lineage(_features(spark, sf, 1)).withColumn("clim_p90_target", F.coalesce("clim_p90_target", F.lit(30.0)))
     parts = features.temporal_split(f, TRAIN_END, VALID_END)
     return forecast.train_horizon(parts, 1, SMALL_TREES), parts
 
@@ -303,9 +299,9 @@ QUERIES["model_forecast"] = (model_forecast, None)
 
 
 def model_importance(spark, sf):
-    f = _features(spark, sf, 1).withColumn("clim_p90_target", F.coalesce("clim_p90_target", F.lit(30.0)))
+    f = cut_lineage(_features(spark, sf, 1)).withColumn("clim_p90_target", F.coalesce("clim_p90_target", F.lit(30.0)))
     parts = features.temporal_split(f, TRAIN_END, VALID_END)
-    train, valid = forecast.assemble(parts["train"]), forecast.assemble(parts["valid"])
+    train, valid = (cut_lineage(forecast.assemble(parts[k])) for k in ("train", "valid"))
     models = forecast.fit_quantiles(train, valid, 1, SMALL_TREES)
     return rounded(forecast.importance(models, spark), 4)
 
