@@ -371,7 +371,7 @@ def stream_levels(spark, sf):
 QUERIES["stream_levels"] = (
     stream_levels,
     with_ctes(
-        f"SELECT scope, place_id, date, {alerting._NAME.format(l='was')} AS from_level, {alerting._NAME.format(l='level')} AS to_level FROM states_moves WHERE date < (SELECT max(as_of) FROM targets)",
+        f"SELECT scope, place_id, date, {alerting._NAME.format(l='was')} AS from_level, {alerting._NAME.format(l='level')} AS to_level FROM states_moves",
         *alerting.STATE, recursive=True,
     ),
 )

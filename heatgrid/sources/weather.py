@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from heatgrid.functions import calendar
 from heatgrid.params import VALUE_COLUMNS
 
 #: ``{lat}_{lon}_{year}.csv``: fixed pattern.
+FILE_GLOB = "*_*_[0-9][0-9][0-9][0-9].csv"
 FILE_PATTERN = r"^(-?\d+(?:\.\d+)?)_(-?\d+(?:\.\d+)?)_(\d{4})\.csv$"
 
 NWP_SCHEMA = (
@@ -37,23 +40,24 @@ def file_parts(name: Column) -> dict[str, Column]:
 def read_hourly_csv(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """All matching hourly files below a folder as one scan.
 
-    The first, unnamed column is the hour stamp. The header of a file must hold
-    every value column; files whose name does not match are left out.
+    The first, unnamed column is the hour stamp. The header must hold every
+    value column, and with ``strict`` every file must have the same header.
+    Files whose name does not match are left out.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path.rstrip("/") + "/*.csv")
-    missing = [c for c in VALUE_COLUMNS if c not in raw.columns]
+    reader = lambda: spark.read.option("header", True).option("pathGlobFilter", FILE_GLOB)
+    try:
+        names = reader().option("inferSchema", False).csv(path).columns
+    except AnalysisException as e:
+        raise RuntimeError("no hourly files match {lat}_{lon}_{year}.csv") from e
+    missing = [c for c in VALUE_COLUMNS if c not in names]
     if missing:
         raise ValueError(f"missing expected column(s) {missing}")
-    stamp = raw.columns[0]
-    # The schema is laid down in file order, so Spark checks every header against it.
-    typed = spark.read.option("header", True).option("enforceSchema", not strict).schema(
-        ", ".join(f"`{c}` {'string' if c == stamp else 'double'}" for c in raw.columns)
-    )
-    scanned = typed.option("mode", "FAILFAST").csv(path.rstrip("/") + "/*.csv")
-    named = scanned.select(
-        F.col(f"`{stamp}`").alias("stamp"), *VALUE_COLUMNS, F.col("_metadata.file_name").alias("file")
-    )
-    return named.withColumns(file_parts(F.col("file"))).where(F.col("year").isNotNull())
+    # The stamp column has an empty header; the rest is laid down in file order,
+    # so Spark checks every file's header against this schema.
+    schema = StructType([StructField("", StringType()), *[StructField(c, DoubleType()) for c in names[1:]]])
+    scanned = reader().option("enforceSchema", not strict).option("mode", "FAILFAST").schema(schema).csv(path)
+    named = scanned.withColumn("file", F.col("_metadata.file_name")).toDF("stamp", *names[1:], "file")
+    return named.select("stamp", *VALUE_COLUMNS, "file").withColumns(file_parts(F.col("file"))).where(F.col("year").isNotNull())
 
 
 def inventory(raw: DataFrame) -> DataFrame:
