@@ -74,6 +74,25 @@ def max_cover(pairs: DataFrame, demand: DataFrame, n: int, by: str = "city") ->
     return chosen, covered
 
 
+def locations(wards: DataFrame, by: str = "city") -> DataFrame:
+    """Wards at the same spot as one location under their smallest id."""
+    return wards.groupBy(by, "lat", "lon").agg(F.min("ward_id").alias("ward_id"), F.sum("demand").alias("demand"))
+
+
+def cooling_plan(wards: DataFrame, n: int, radius_km: float = InterventionParams.radius_km, by: str = "city") -> tuple[DataFrame, DataFrame]:
+    """Chosen centres and covered wards of every city, each ward being a candidate.
+
+    Pairs are formed between distinct locations only; wards that share a spot
+    are covered together and expanded at the end.
+    """
+    spots = cut_lineage(locations(wards, by))
+    chosen, covered = max_cover(coverage_pairs(spots, spots, radius_km, by, site_id="ward_id"), spots, n, by)
+    at = spots.withColumnRenamed("ward_id", "_spot").drop("demand")
+    members = wards.select(by, "lat", "lon", "ward_id").join(at, [by, "lat", "lon"])
+    hit = covered.withColumnRenamed("ward_id", "_spot")
+    return chosen, members.join(hit, [by, "_spot"]).select(by, "ward_id", "rank")
+
+
 def cover_summary(chosen: DataFrame, covered: DataFrame, demand: DataFrame, averted: float = InterventionParams.cooling_centre, by: str = "city") -> DataFrame:
     """Covered wards, demand share and excess per city."""
     hit = covered.select(by, "ward_id").distinct().withColumn("_hit", F.lit(True))

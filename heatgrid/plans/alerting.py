@@ -414,8 +414,7 @@ QUERIES["coverage_pairs"] = (
 def cooling_plan(spark, sf):
     """Five cooling centres for every city at once, with what they cover."""
     w = _city_wards(spark, sf)
-    pairs = siting.coverage_pairs(w, w, 1.5, site_id="ward_id")
-    chosen, covered = siting.max_cover(pairs, w, 5)
+    chosen, covered = siting.cooling_plan(w, 5)
     return rounded(siting.cover_summary(chosen, covered, w))
 
 

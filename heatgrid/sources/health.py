@@ -64,22 +64,50 @@ def first_number(line: Column) -> Column:
     return F.when(head.isin("*", "na"), F.lit(None).cast("double")).otherwise(F.nullif(digits, F.lit("")).cast("double"))
 
 
+def _titled(lines: DataFrame, doc: str, header: str) -> DataFrame:
+    """Lines of the pages whose first line names a district, with the two lines that follow each.
+
+    Everything is taken within a page. Only the last two lines of a page need
+    the start of the district's next page, which comes from a table of one row
+    per page.
+    """
+    page = Window.partitionBy(doc).orderBy("line_no")
+    title = F.nullif(F.trim(F.regexp_extract(F.trim("text"), header, 1)), F.lit(""))
+    numbered = lines.withColumn("_n", F.row_number().over(page)).withColumn("_title", F.when(F.col("_n") == 1, title))
+    named = numbered.withColumns(
+        {
+            "name": F.max("_title").over(Window.partitionBy(doc)),
+            "_l1": F.lead("text", 1).over(page),
+            "_l2": F.lead("text", 2).over(page),
+            "_end": F.max("_n").over(Window.partitionBy(doc)),
+        }
+    ).where(F.col("name").isNotNull())
+    starts = named.where("_n <= 2").groupBy("name", doc).agg(
+        F.max(F.when(F.col("_n") == 1, F.col("text"))).alias("_a"), F.max(F.when(F.col("_n") == 2, F.col("text"))).alias("_b")
+    )
+    order = Window.partitionBy("name").orderBy(doc)
+    following = starts.select(
+        F.col("name").alias("_name"), F.col(doc).alias("_doc"), F.lead("_a").over(order).alias("_next1"),
+        F.coalesce(F.lead("_b").over(order), F.lead("_a", 2).over(order)).alias("_next2"),
+    )
+    joined = named.join(following, (F.col("name") == F.col("_name")) & (F.col(doc) == F.col("_doc")))
+    left = F.col("_end") - F.col("_n")
+    return joined.withColumns(
+        {
+            "_l1": F.when(left >= 1, F.col("_l1")).otherwise(F.col("_next1")),
+            "_l2": F.when(left >= 2, F.col("_l2")).when(left == 1, F.col("_next1")).otherwise(F.col("_next2")),
+        }
+    ).drop("_name", "_doc", "_next1", "_next2", "_title", "_end", "_n")
+
+
 def indicator_values(lines: DataFrame, doc: str = "page", header: str = HEADER_PATTERN) -> DataFrame:
-    """(name, column, occurrence, value) from the text lines of fact sheets.
+    """(name, pattern, occurrence, value) from the text lines of fact sheets.
 
     ``lines``: ``page, line_no, text``. The first line of a page names the
     district; a label may wrap over two more lines before its ``(%)`` mark, and
-    the value is the first number after the last mark.
+    the value is the first number after the last mark. As many occurrences are
+    given as the indicators ask for.
     """
-    first = Window.partitionBy(doc).orderBy("line_no")
-    titled = lines.withColumn("_first", F.row_number().over(first) == 1).withColumn(
-        "_title", F.when(F.col("_first"), F.nullif(F.trim(F.regexp_extract(F.trim("text"), header, 1)), F.lit("")))
-    )
-    named = titled.withColumn("name", F.first("_title", ignorenulls=True).over(Window.partitionBy(doc)))
-    flow = Window.partitionBy("name").orderBy(doc, "line_no")
-    ahead = named.where(F.col("name").isNotNull()).withColumns(
-        {"_l1": F.lead("text", 1).over(flow), "_l2": F.lead("text", 2).over(flow)}
-    )
     mark = r"^.*\(%\)"
 
     def after(c: str) -> Column:
@@ -91,15 +119,21 @@ def indicator_values(lines: DataFrame, doc: str = "page", header: str = HEADER_P
         .when(F.col("_l2").contains("(%)"), first_number(after("_l2")))
         .otherwise(first_number(F.array_join(F.slice(F.split(F.trim("_l1"), r"\s+"), 1, 2), " ")))
     )
-    label = F.regexp_replace("text", LABEL_PREFIX, "")
+    label = F.lower(F.regexp_replace("text", LABEL_PREFIX, ""))
     patterns = sorted({p for _, p, _ in INDICATORS})
-    hit = F.filter(
-        F.array(*[F.when(F.lower(label).startswith(p.lower()), F.lit(p)) for p in patterns]), lambda x: x.isNotNull()
-    )
-    found = ahead.where(F.col("text").rlike(LABEL_PREFIX)).withColumn("pattern", F.try_element_at(hit, F.lit(1)))
-    kept = found.where(F.col("pattern").isNotNull()).withColumn("value", value)
-    nth = Window.partitionBy("name", "pattern").orderBy(doc, "line_no")
-    return kept.withColumn("occurrence", F.row_number().over(nth) - 1).select("name", "pattern", "occurrence", "value")
+    which = F.coalesce(*[F.when(label.startswith(p.lower()), F.lit(p)) for p in patterns])
+    found = _titled(lines, doc, header).where(F.col("text").rlike(LABEL_PREFIX)).withColumn("pattern", which)
+    hits = found.where(F.col("pattern").isNotNull()).select("name", "pattern", F.struct(F.col(doc), "line_no").alias("at"), value.alias("value"))
+
+    # The n-th hit is the smallest one after the (n-1)-th: plain minima, no sort of all hits of a name.
+    out, rest = None, hits
+    for n in range(max(k for _, _, k in INDICATORS) + 1):
+        nth = rest.groupBy("name", "pattern").agg(F.min(F.struct("at", "value")).alias("m"))
+        part = nth.select("name", "pattern", F.lit(n).alias("occurrence"), F.col("m.value").alias("value"))
+        out = part if out is None else out.unionByName(part)
+        taken = nth.select("name", "pattern", F.col("m.at").alias("_taken"))
+        rest = rest.join(taken, ["name", "pattern"]).where(F.col("at") > F.col("_taken")).drop("_taken")
+    return out
 
 
 def indicator_table(values: DataFrame, indicators: Sequence[tuple[str, str, int]] = INDICATORS) -> DataFrame:

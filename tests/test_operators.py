@@ -76,6 +76,18 @@ def test_nearest_matches_brute_force(spark):
         assert np.allclose(mine.weight, w / w.sum())
 
 
+def test_nearest_in_a_dense_spot(spark):
+    rnd = random.Random(8)
+    cells = [(i, 20 + rnd.random() * 0.01, 85 + rnd.random() * 0.01) for i in range(300)] + [(900 + i, 25.0 + i, 85.0) for i in range(4)]
+    points = [(i, 20 + rnd.random() * 0.02, 85 + rnd.random() * 0.02) for i in range(20)] + [(50, 26.4, 85.3)]
+    got = nearest.nearest_k(
+        spark.createDataFrame(points, "ward_id int, lat double, lon double"), spark.createDataFrame(cells, "cell_id int, lat double, lon double"), 3, lon_scale=1.0
+    ).toPandas()
+    for _, lat, lon in points:
+        want = [c for _, c in sorted((math.hypot(x - lon, y - lat), c) for c, y, x in cells)[:3]]
+        assert list(got[(got.lat == lat) & (got.lon == lon)].sort_values("rank").cell_id) == want
+
+
 # --- places -------------------------------------------------------------------------
 
 
@@ -219,8 +231,7 @@ def test_features_know_nothing_ahead(spark):
 
 def cover(spark, wards, n, radius):
     w = spark.createDataFrame(wards, "city string, ward_id string, lat double, lon double, demand double").withColumn("excess", F.col("demand"))
-    pairs = siting.coverage_pairs(w, w, radius, site_id="ward_id")
-    return (*siting.max_cover(pairs, w, n), w)
+    return (*siting.cooling_plan(w, n, radius), w)
 
 
 def test_largest_demand_is_served_first(spark):
@@ -269,6 +280,13 @@ def test_cover_matches_plain_greedy_in_two_cities(spark):
         assert list(got[got.city == c].site_id) == greedy([w for w in wards if w[0] == c], 4, 1.5)
 
 
+def test_copies_at_one_spot_are_covered_together(spark):
+    wards = [("c", f"{i:03d}", 20.0, 85.0, 1.0) for i in range(50)] + [("c", "900", 20.2, 85.0, 30.0)]
+    chosen, covered, w = cover(spark, wards, 2, 0.5)
+    assert [(r.site_id, r.gain) for r in chosen.orderBy("rank").collect()] == [("000", 50.0), ("900", 30.0)]
+    assert covered.count() == 51 and siting.cover_summary(chosen, covered, w).first().covered_wards == 51
+
+
 def test_measures_combine_on_what_remains(spark):
     w = spark.createDataFrame([("c", "a", 10.0, 5.0, 20.0), ("c", "b", 10.0, 5.0, 20.0)], "city string, ward_id string, excess double, low double, high double")
     r = siting.counterfactual(w, w.where("ward_id = 'a'"), work_hours=True, advisories=True).first()
