@@ -34,10 +34,19 @@ def _circular(per_doy: DataFrame, half_window: int) -> DataFrame:
 
 
 def _all_days(per_doy: DataFrame) -> DataFrame:
-    """Add the days of year a cell has no record for."""
-    cells = per_doy.select("cell_id").distinct()
-    grid = cells.withColumn("doy", F.explode(F.sequence(F.lit(1), F.lit(DAYS))))
-    return grid.join(per_doy, ["cell_id", "doy"], "left")
+    """Add the days of year a cell has no record for.
+
+    A cell has at most 365 rows here. They are gathered per cell and unfolded
+    with the absent days, so the record is read once and the rows are already
+    placed by cell for the windows that follow.
+    """
+    fields = [f for f in per_doy.schema.fields if f.name not in ("cell_id", "doy")]
+    have = per_doy.groupBy("cell_id").agg(F.collect_list(F.struct("doy", *[f.name for f in fields])).alias("_have"))
+    absent = F.array_except(F.sequence(F.lit(1), F.lit(DAYS)), F.col("_have.doy"))
+    blank = F.transform(
+        absent, lambda d: F.struct(d.alias("doy"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+    )
+    return have.select("cell_id", F.inline(F.concat("_have", blank)))
 
 
 def build_climatology(
