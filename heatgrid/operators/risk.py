@@ -176,6 +176,65 @@ def district_forecast(cell_leads: DataFrame, cell_district: DataFrame) -> DataFr
     return out.withColumn("band", scaling.stress_band("htsi"))
 
 
+def _with_risk(rows: DataFrame, lags: DataFrame, people: DataFrame, baseline: DataFrame, curve: ExposureResponse) -> DataFrame:
+    """Risk of every (as_of, place_id, lead) from its lags, people and seasonal base rate."""
+    names = [f"lag{k}" for k in range(len(curve.lag_weights))]
+    rate = baseline.select("ahs_code", "doy", (F.col("expected_deaths") / F.col("pop_now")).alias("base_rate"))
+    dated = rows.withColumn("date", F.date_add("as_of", F.col("lead"))).withColumn("doy", leap_folded_doy("date"))
+    joined = (
+        dated.join(lags.select("as_of", "place_id", "lead", *names), ["as_of", "place_id", "lead"])
+        .join(people, "place_id")
+        .join(rate, ["ahs_code", "doy"], "left")
+    )
+    out = excess_deaths(joined, names, curve)
+    return out.withColumn("observed", F.col("lead") == 0).withColumnsRenamed(
+        {"excess_deaths_low": "excess_low", "excess_deaths_high": "excess_high"}
+    )
+
+
+PAYLOAD = (
+    "as_of", "scope", "place_id", "lead", "date", "observed", "htsi", "q10", "q90", "p_warning", "p_watch", "band", "wbgt",
+    "utci", "night_wbgt", "uhi", "rr", "mri", "expected_deaths", "excess_deaths", "excess_low", "excess_high", "ed_surge",
+)
+
+
+def ward_payload(
+    cell_leads: DataFrame, observed: DataFrame, weights: DataFrame, wards: DataFrame, baseline: DataFrame, curve: ExposureResponse | None = None
+) -> DataFrame:
+    """Place-days of all wards: downscaled forecast, heat island, lags over the seam, risk.
+
+    ``observed``: ``cell_id, date, htsi``. ``wards``: ``ward_id, built_up_frac,
+    population, vuln_mult, ahs_code``.
+    """
+    from heatgrid.operators.nearest import apply_weights
+
+    curve = curve or ExposureResponse()
+    ahead = ward_forecast(cell_leads, weights, wards).withColumnRenamed("ward_id", "place_id")
+    past = history_leads(observed.withColumnRenamed("cell_id", "place_id"), cell_leads, len(curve.lag_weights) - 1)
+    carried = apply_weights(past.withColumnRenamed("place_id", "cell_id"), weights, ["htsi"], ["as_of", "lead"])
+    lift = ahead.where("lead = 0").select("as_of", "place_id", "uhi")
+    history = carried.withColumnRenamed("ward_id", "place_id").join(lift, ["as_of", "place_id"]).withColumn("htsi", F.col("htsi") + F.col("uhi"))
+    lags = lead_lags(ahead, history, n=len(curve.lag_weights))
+    people = wards.select(F.col("ward_id").alias("place_id"), "population", "vuln_mult", "ahs_code")
+    return _with_risk(ahead, lags, people, baseline, curve).withColumn("scope", F.lit("ward")).select(*PAYLOAD)
+
+
+def district_payload(
+    cell_leads: DataFrame, observed: DataFrame, cell_district: DataFrame, baseline: DataFrame, vuln: DataFrame, curve: ExposureResponse | None = None
+) -> DataFrame:
+    """Place-days of all districts from the means over their cells."""
+    curve = curve or ExposureResponse()
+    ahead = district_forecast(cell_leads, cell_district).withColumn("place_id", F.col("ahs_code"))
+    owned = observed.join(cell_district.select("cell_id", "ahs_code"), "cell_id")
+    means = owned.groupBy(F.col("ahs_code").alias("place_id"), "date").agg(F.avg("htsi").alias("htsi"))
+    lags = lead_lags(ahead, history_leads(means, cell_leads, len(curve.lag_weights) - 1), n=len(curve.lag_weights))
+    people = (
+        baseline.groupBy("ahs_code").agg(F.max("pop_now").alias("population")).join(vuln.select("ahs_code", "vuln_mult"), "ahs_code")
+    ).withColumn("place_id", F.col("ahs_code"))
+    out = _with_risk(ahead.drop("ahs_code"), lags, people, baseline, curve).withColumn("scope", F.lit("district"))
+    return out.select(*[c for c in PAYLOAD if c not in ("night_wbgt", "uhi")], "htsi_max")
+
+
 def statewide(place_days: DataFrame) -> DataFrame:
     """District totals per as-of date and lead."""
     cols = ("excess_deaths", "excess_low", "excess_high")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from heatgrid.functions import text
-from heatgrid.operators import alerts, nearest, risk, serve, siting
-from heatgrid.params import BAND_EDGES, AlertParams
+from heatgrid.operators import alerts, mortality, nearest, places, risk, serve, siting
+from heatgrid.params import BAND_EDGES, AlertParams, ExposureResponse
 from heatgrid.plans import fixtures as fx
 from heatgrid.plans.common import Query, pick, rounded, table, with_ctes
+from heatgrid.plans.people import LEVEL_SQL, _profile_sql
+from heatgrid.session import cut_lineage
 from heatgrid.sources import documents, geojson
 
 QUERIES: dict[str, Query] = {}
@@ -217,8 +221,8 @@ QUERIES["dispatch"] = (dispatch, with_ctes("SELECT alert_id, subscription_id FRO
 def acknowledgements(spark, sf):
     """Alerts with acknowledged actions and their last transition."""
     st = _states(spark, sf).where("level > 0")
-    o = table(spark, sf, "orders").select((F.col("o_custkey") % 40).cast("string").alias("place_id"), F.col("o_orderpriority").alias("action"))
-    acks = st.select("alert_id", "place_id").join(o.where("o_custkey % 3 = 0"), "place_id").select("alert_id", "action")
+    o = table(spark, sf, "orders").select((F.col("o_custkey") % 40).cast("string").alias("place_id"), F.col("o_orderpriority").alias("action")).where("action NOT LIKE '5%' OR place_id LIKE '1%'")
+    acks = st.select("alert_id", "place_id").join(o, "place_id").select("alert_id", "action")
     out = alerts.with_acks(st.drop("transitions"), acks, alerts.transitions(st))
     return out.select("alert_id", F.array_join("acks", "|").alias("acks"), "last_transition")
 
@@ -226,7 +230,7 @@ def acknowledgements(spark, sf):
 QUERIES["acknowledgements"] = (
     acknowledgements,
     with_ctes(
-        """, k AS (SELECT DISTINCT alert_id, o_orderpriority AS a FROM act JOIN orders ON place_id = (o_custkey % 40)::VARCHAR WHERE o_custkey % 3 = 0 AND level > 0),
+        """, k AS (SELECT DISTINCT alert_id, o_orderpriority AS a FROM act JOIN orders ON place_id = (o_custkey % 40)::VARCHAR WHERE (o_orderpriority NOT LIKE '5%' OR place_id LIKE '1%') AND level > 0),
 kk AS (SELECT alert_id, string_agg(a, '|' ORDER BY a) AS acks FROM k GROUP BY 1),
 lm AS (SELECT scope, place_id, arg_max(kind, date) AS last_transition FROM states_moves GROUP BY 1, 2)
 SELECT alert_id, coalesce(acks, '') AS acks, last_transition FROM act LEFT JOIN kk USING (alert_id) LEFT JOIN lm USING (scope, place_id) WHERE level > 0""",
@@ -473,25 +477,102 @@ def ward_forecast(spark, sf):
     cells = fx.panel_cells(fx.panel(spark, sf))
     wards = _supplier_wards(spark, sf)
     w = nearest.inverse_distance_weights(wards, cells)
-    leads = _cell_leads(spark, sf).where("lead IN (0, 1)")
-    out = risk.ward_forecast(leads, w, wards)
+    out = risk.ward_forecast(_cell_leads(spark, sf), w, wards)
     return rounded(out.groupBy("ward_id", "band").agg(F.count("*").alias("n"), F.avg("htsi").alias("htsi"), F.avg("uhi").alias("uhi"), F.avg("p_warning").alias("p_warning"), F.avg("wbgt").alias("wbgt"), F.avg("night_wbgt").alias("night_wbgt")))
 
 
-QUERIES["ward_forecast"] = (
-    ward_forecast,
-    with_ctes(
-        f""", sw AS (SELECT s_suppkey AS ward_id, 18.0e0 + 1.9e0 * (s_suppkey * 37 % 97) / 97.0e0 AS lat, 83.0e0 + 1.1e0 * (s_suppkey * 53 % 89) / 89.0e0 AS lon, (s_suppkey % 11) / 11.0e0 AS bu FROM supplier),
+WARD_FORECAST_SQL = f"""sw AS (SELECT s_suppkey AS ward_id, 18.0e0 + 1.9e0 * (s_suppkey * 37 % 97) / 97.0e0 AS lat, 83.0e0 + 1.1e0 * (s_suppkey * 53 % 89) / 89.0e0 AS lon, (s_suppkey % 11) / 11.0e0 AS bu FROM supplier),
 nr AS (SELECT ward_id, bu, c.cell_id, sqrt(((c.lon - w.lon) * cos(radians(20.5e0))) ** 2 + (c.lat - w.lat) ** 2) AS d FROM sw w, panel_cells c QUALIFY row_number() OVER (PARTITION BY ward_id ORDER BY d, c.cell_id) <= 4),
 wt AS (SELECT *, (1.0e0 / greatest(d, 1e-4) ** 2) / sum(1.0e0 / greatest(d, 1e-4) ** 2) OVER (PARTITION BY ward_id) AS w FROM nr),
-v AS (SELECT ward_id, as_of, lead, any_value(bu) AS bu, count(*) AS n, sum(w * htsi) AS h, sum(w * p_warning) AS pw, sum(w * wbgt) AS wb, sum(w * utci) AS u, sum(w * night_wbgt) AS nt
-  FROM wt JOIN place_days ON place_id = cell_id::VARCHAR WHERE lead IN (0, 1) GROUP BY 1, 2, 3),
+v AS (SELECT ward_id, as_of, lead, any_value(bu) AS bu, CASE WHEN count(*) = 4 THEN sum(w * htsi) END AS h, CASE WHEN count(*) = 4 THEN sum(w * p_warning) END AS pw, CASE WHEN count(*) = 4 THEN sum(w * wbgt) END AS wb, CASE WHEN count(*) = 4 THEN sum(w * utci) END AS u, CASE WHEN count(*) = 4 THEN sum(w * night_wbgt) END AS nt
+  FROM wt JOIN place_days ON place_id = cell_id::VARCHAR GROUP BY 1, 2, 3),
 x AS (SELECT *, 0.3e0 + 1.55e0 * bu AS dd, 0.5e0 + 3.0e0 * bu AS dn FROM v),
 y AS (SELECT *, 0.5e0 * (({fx.intensity_sql('(u + dd)')}) - ({fx.intensity_sql('u')})) + 0.2e0 * (({fx.night_sql('(nt + 0.55e0 * dn)')}) - ({fx.night_sql('nt')})) AS uhi FROM x),
-z AS (SELECT *, least(greatest(h + uhi, 0.0e0), 100.0e0) AS htsi FROM y)
-SELECT ward_id, {fx.band_sql('htsi')} AS band, count(*) AS n, round(avg(htsi), 4) + 0.0e0 AS htsi, round(avg(uhi), 4) + 0.0e0 AS uhi, round(avg(CASE WHEN lead = 0 THEN (htsi >= 59.5e0)::INT::DOUBLE ELSE least(greatest(pw, 0.0e0), 1.0e0) END), 4) + 0.0e0 AS p_warning,
+z AS (SELECT *, {fx.clip_sql('h + uhi', 0.0, 100.0)} AS htsi FROM y)"""
+QUERIES["ward_forecast"] = (
+    ward_forecast,
+    with_ctes(
+        f"""SELECT ward_id, {fx.band_sql('htsi')} AS band, count(*) AS n, round(avg(htsi), 4) + 0.0e0 AS htsi, round(avg(uhi), 4) + 0.0e0 AS uhi, round(avg(CASE WHEN lead = 0 THEN (htsi >= 59.5e0)::INT::DOUBLE ELSE {fx.clip_sql('pw', 0.0, 1.0)} END), 4) + 0.0e0 AS p_warning,
 round(avg(wb + 0.55e0 * dd), 4) + 0.0e0 AS wbgt, round(avg(nt + 0.55e0 * dn), 4) + 0.0e0 AS night_wbgt FROM z GROUP BY 1, 2""",
-        *BASE, fx.PANEL_CELLS_SQL,
+        *BASE, fx.PANEL_CELLS_SQL, WARD_FORECAST_SQL,
+    ),
+)
+
+
+def _baseline(spark, sf):
+    return mortality.build_baseline(fx.deaths(spark, sf), places.district_table(spark))
+
+
+def _observed(spark, sf):
+    d = fx.place_days(spark, sf).where("lead = 0")
+    return d.select(F.col("place_id").cast("int").alias("cell_id"), F.col("as_of").alias("date"), "htsi")
+
+
+def ward_payload(spark, sf):
+    """Full ward chain: weights, heat island, lags over the seam, base rates, deaths."""
+    k = F.col("ward_id")
+    wards = _supplier_wards(spark, sf).withColumns({"population": F.lit(1000.0) + k * F.lit(17.0), "vuln_mult": F.lit(0.75) + F.lit(0.6) * (k % 13) / F.lit(13.0), "ahs_code": (k % 30 + 1).cast("int")})
+    w = nearest.inverse_distance_weights(wards, fx.panel_cells(fx.panel(spark, sf)))
+    leads = cut_lineage(_cell_leads(spark, sf))
+    out = risk.ward_payload(leads, _observed(spark, sf), w, wards, _baseline(spark, sf))
+    return rounded(out.groupBy("place_id", "lead").agg(F.count("*").alias("n"), F.avg("htsi").alias("htsi"), F.avg("rr").alias("rr"), F.max("mri").alias("mri"), F.sum("excess_deaths").alias("excess_deaths"), F.sum("excess_high").alias("excess_high"), F.sum("expected_deaths").alias("expected_deaths")))
+
+
+def _rr_sql(which: str) -> str:
+    c = ExposureResponse()
+    return f"exp(vm * least({c.slope(which)!r}::DOUBLE * e, {math.log(c.max_rr)!r}::DOUBLE))"
+
+
+_LAG = "greatest(coalesce({x}, 0) - 48.5e0, 0.0e0)"
+
+
+def _payload_tail(source: str, key: str) -> str:
+    """Deaths and relative risk from rows that carry l0..l3, doy, ahs_code, vm and pop."""
+    e = " + ".join(f"{w}e0 * {_LAG.format(x=f'l{i}')}" for i, w in enumerate((0.5, 0.25, 0.15, 0.1)))
+    return f"""pe AS (SELECT *, {e} AS e FROM {source}),
+pr AS (SELECT pe.*, daily_deaths_mean * seasonal_factor / pop_now * pop AS expd, {_rr_sql('central')} AS rr, {_rr_sql('high')} AS rrh FROM pe JOIN level USING (ahs_code) JOIN profile USING (doy))
+SELECT {key}, lead, count(*) AS n, round(avg(htsi), 4) + 0.0e0 AS htsi, round(avg(rr), 4) + 0.0e0 AS rr, round(max(least(greatest(100.0e0 * (rr - 1) / 0.5e0, 0.0e0), 100.0e0)), 4) + 0.0e0 AS mri,
+round(sum(expd * (rr - 1)), 4) + 0.0e0 AS excess_deaths, round(sum(expd * (rrh - 1)), 4) + 0.0e0 AS excess_high, round(sum(expd), 4) + 0.0e0 AS expected_deaths FROM pr GROUP BY 1, 2"""
+
+
+PEOPLE_CTES = (fx.DEATHS, fx.districts_sql(), LEVEL_SQL, _profile_sql())
+QUERIES["ward_payload"] = (
+    ward_payload,
+    with_ctes(
+        f""", ob AS (SELECT place_id, as_of, htsi FROM place_days WHERE lead = 0),
+hist AS (SELECT ward_id, as_of + o.o AS as_of, -o.o AS lead, CASE WHEN count(*) = 4 THEN sum(w * htsi) END AS h FROM wt JOIN ob ON ob.place_id = wt.cell_id::VARCHAR, (VALUES (1), (2), (3)) o(o) GROUP BY 1, 2, 3),
+both_leads AS (SELECT ward_id, as_of, lead, htsi FROM z UNION ALL SELECT h.ward_id, h.as_of, h.lead, h.h + z.uhi FROM hist h JOIN z ON z.ward_id = h.ward_id AND z.as_of = h.as_of AND z.lead = 0),
+pl AS (SELECT z.ward_id AS place_id, z.lead, z.htsi, z.htsi AS l0, b1.htsi AS l1, b2.htsi AS l2, b3.htsi AS l3, {fx.doy('(z.as_of + z.lead)')} AS doy, (z.ward_id % 30 + 1)::INTEGER AS ahs_code,
+  0.75e0 + 0.6e0 * (z.ward_id % 13) / 13.0e0 AS vm, 1000.0e0 + z.ward_id * 17.0e0 AS pop FROM z
+  LEFT JOIN both_leads b1 ON b1.ward_id = z.ward_id AND b1.as_of = z.as_of AND b1.lead = z.lead - 1 LEFT JOIN both_leads b2 ON b2.ward_id = z.ward_id AND b2.as_of = z.as_of AND b2.lead = z.lead - 2
+  LEFT JOIN both_leads b3 ON b3.ward_id = z.ward_id AND b3.as_of = z.as_of AND b3.lead = z.lead - 3),
+"""
+        + _payload_tail("pl", "place_id"),
+        *BASE, fx.PANEL_CELLS_SQL, WARD_FORECAST_SQL, *PEOPLE_CTES,
+    ),
+)
+
+
+def district_payload(spark, sf):
+    """Full district chain over the cells each district owns."""
+    d = places.district_table(spark)
+    vuln = d.select("ahs_code", (F.lit(0.75) + F.lit(0.6) * F.col("ahs_code") / F.lit(30.0)).alias("vuln_mult"))
+    leads = cut_lineage(_cell_leads(spark, sf))
+    out = risk.district_payload(leads, _observed(spark, sf), fx.panel_cells(fx.panel(spark, sf)), _baseline(spark, sf), vuln)
+    return rounded(out.groupBy("place_id", "lead").agg(F.count("*").alias("n"), F.avg("htsi").alias("htsi"), F.avg("rr").alias("rr"), F.max("mri").alias("mri"), F.sum("excess_deaths").alias("excess_deaths"), F.sum("excess_high").alias("excess_high"), F.sum("expected_deaths").alias("expected_deaths")))
+
+
+QUERIES["district_payload"] = (
+    district_payload,
+    with_ctes(
+        f""", df AS (SELECT as_of, lead, ahs_code, avg(htsi) AS htsi FROM place_days JOIN panel_cells ON place_id = cell_id::VARCHAR GROUP BY 1, 2, 3),
+db AS (SELECT as_of, lead, ahs_code, htsi FROM df UNION ALL SELECT as_of + o.o, -o.o, ahs_code, htsi FROM df, (VALUES (1), (2), (3)) o(o) WHERE lead = 0),
+pl AS (SELECT f.ahs_code AS place_id, f.ahs_code, f.lead, f.htsi, f.htsi AS l0, b1.htsi AS l1, b2.htsi AS l2, b3.htsi AS l3, {fx.doy('(f.as_of + f.lead)')} AS doy, 0.75e0 + 0.6e0 * f.ahs_code / 30.0e0 AS vm, v.pop_now AS pop FROM df f JOIN level v USING (ahs_code)
+  LEFT JOIN db b1 ON b1.ahs_code = f.ahs_code AND b1.as_of = f.as_of AND b1.lead = f.lead - 1 LEFT JOIN db b2 ON b2.ahs_code = f.ahs_code AND b2.as_of = f.as_of AND b2.lead = f.lead - 2
+  LEFT JOIN db b3 ON b3.ahs_code = f.ahs_code AND b3.as_of = f.as_of AND b3.lead = f.lead - 3),
+"""
+        + _payload_tail("pl", "place_id"),
+        *BASE, fx.PANEL_CELLS_SQL, *PEOPLE_CTES,
     ),
 )
 

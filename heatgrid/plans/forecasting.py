@@ -28,7 +28,7 @@ def _frame(spark, sf):
 
 
 def _features(spark, sf, horizon: int):
-    df = _frame(spark, sf)
+    df = cut_lineage(_frame(spark, sf))
     return features.build_features(df, climatology_means(df, "1999-12-31"), horizon)
 
 

@@ -147,7 +147,7 @@ QUERIES["ward_values"] = (
     ward_values,
     with_ctes(
         """, m AS (SELECT cell_id, ts_ist::DATE AS date, max(t2m) AS t2m, max(wbgt) AS wbgt FROM moist GROUP BY 1, 2)
-SELECT ward_id, date, round(sum(weight * t2m), 4) + 0.0e0 AS t2m, round(sum(weight * wbgt), 4) + 0.0e0 AS wbgt FROM m JOIN weights USING (cell_id) GROUP BY 1, 2""",
+SELECT ward_id, date, CASE WHEN count(*) = 4 THEN round(sum(weight * t2m), 4) + 0.0e0 END AS t2m, CASE WHEN count(*) = 4 THEN round(sum(weight * wbgt), 4) + 0.0e0 END AS wbgt FROM m JOIN weights USING (cell_id) GROUP BY 1, 2""",
         fx.HOURLY, fx.MOIST, fx.EVENT_CELLS, fx.WARDS, NEAR_SQL,
     ),
 )
