@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from heatgrid.operators.daily import DAILY_INDICES, daily_aggregates, degree_hours, exceedance_counts, hourly_indices
 from heatgrid.params import NIGHT_END_HOUR, NIGHT_START_HOUR, WBGT_HOUR_THRESHOLDS
@@ -48,12 +50,24 @@ def live_hourly(spark: SparkSession, path: str) -> DataFrame:
     return hourly_indices(nwp_rows(spark.readStream.schema(NWP_SCHEMA).json(path)))
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything available into a table in the shared folder and read it back."""
+def late_rows(query: StreamingQuery) -> int:
+    """Rows a query left out because the watermark had passed them."""
+    return sum(
+        op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in json.loads(progress.json)["stateOperators"]
+    )
+
+
+def run_to_table(stream: DataFrame, name: str, stats: dict | None = None) -> DataFrame:
+    """Process everything available into a table in the shared folder and read it back.
+
+    ``stats`` receives the number of late rows.
+    """
     spark = stream.sparkSession
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    if stats is not None:
+        stats["late_rows"] = late_rows(query)
     return spark.read.schema(stream.schema).parquet(out)

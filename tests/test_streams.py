@@ -55,9 +55,11 @@ def test_late_rows_are_left_out(spark, tmp_path):
         for root, _, files in os.walk(f"{tmp_path}/p{i}"):
             for f in files:
                 os.utime(os.path.join(root, f), (stamp, stamp))
-    out = daily_streams.run_to_table(daily_streams.stream_daily(source(spark, HOURLY, tmp_path), ("t2m", "wbgt", "utci")), "late")
+    stats = {}
+    out = daily_streams.run_to_table(daily_streams.stream_daily(source(spark, HOURLY, tmp_path), ("t2m", "wbgt", "utci")), "late", stats)
     top = {str(r.date): r.wbgt_max for r in out.where("cell_id = 1").collect()}
     assert top["2024-05-01"] < 99.0 and len(top) == 3
+    assert stats["late_rows"] == 1
 
 
 @pytest.fixture
