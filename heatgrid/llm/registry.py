@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heatgrid.llm import packing, simhash
+from heatgrid.llm import packing, quality, simhash
 from heatgrid.plans.common import Query
 
-QUERIES: dict[str, Query] = {**simhash.QUERIES, **packing.QUERIES}
+QUERIES: dict[str, Query] = {**simhash.QUERIES, **quality.QUERIES, **packing.QUERIES}
