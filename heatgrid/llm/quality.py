@@ -85,8 +85,11 @@ def judged(docs: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
 
 
 def passing(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns."""
-    return judged(docs).where("kept").select("row.*")
+    """The rows of ``docs`` that are kept, with their columns.
+
+    The row number holds the filter above the counts: pushed below them, it would carry them all over again.
+    """
+    return judged(docs).select("row", "kept", F.monotonically_increasing_id().alias("n")).where("kept AND n >= 0").select("row.*")
 
 
 def op2_host_quality(spark: SparkSession, sf: str) -> DataFrame:
