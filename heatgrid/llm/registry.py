@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heatgrid.llm import chunks, packing, quality, simhash
+from heatgrid.llm import chunks, packing, quality, simhash, toxicity
 from heatgrid.plans.common import Query
 
-QUERIES: dict[str, Query] = {**simhash.QUERIES, **quality.QUERIES, **packing.QUERIES, **chunks.QUERIES}
+QUERIES: dict[str, Query] = {**simhash.QUERIES, **quality.QUERIES, **toxicity.QUERIES, **packing.QUERIES, **chunks.QUERIES}
