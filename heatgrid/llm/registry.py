@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from heatgrid.llm import chunks, licences, packing, quality, sharding, simhash, toxicity
+from heatgrid.llm import chunks, licences, neighbours, packing, quality, sharding, simhash, toxicity
 from heatgrid.plans.common import Query
 
-QUERIES: dict[str, Query] = {**simhash.QUERIES, **quality.QUERIES, **toxicity.QUERIES, **sharding.QUERIES, **packing.QUERIES, **chunks.QUERIES, **licences.QUERIES}
+QUERIES: dict[str, Query] = {**simhash.QUERIES, **quality.QUERIES, **toxicity.QUERIES, **sharding.QUERIES, **packing.QUERIES, **chunks.QUERIES, **licences.QUERIES, **neighbours.QUERIES}
