@@ -23,36 +23,75 @@ STEP = 1 << 16  # shingles hashed at once
 PIVOTS = [int(x) for x in np.random.default_rng(20260101).integers(-(1 << 63), 1 << 63, 16, dtype=np.int64)]
 #: Flips that make other members of a bucket its smallest one.
 FLIPS = [0, -1, 0x5A5A5A5A5A5A5A5A, 0x33CC33CC33CC33CC]
+#: Likeness of whole texts: shingles of five words that are shared by four texts in five, from a sketch of the smallest
+#: hash in each of SKETCH bins. Texts that alike differ in about ten bits, too many for equal blocks: REACH bits are
+#: allowed for, and buckets are TABLES choices of TABLE_BITS bits (96 % of pairs at ten bits meet in one of them).
+ALIKE_WIDTH, ALIKE, SKETCH, REACH, TABLES, TABLE_BITS = 5, 0.8, 128, 14, 48, 16
+SLACK = 0.035  # standard error of a sketch at that likeness: texts are not told apart beyond it
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = np.arange(8, dtype=np.int64) * 256
 
 
-def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
-    """Bit i is 1 if it is set in over half the shingles' XXH64; 0 without words. Signed, as Spark holds it."""
+def shingles(text: bytes | None, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of a text's shingles, some at a time; fewer words than ``width`` are one shingle, none give none."""
     canon, starts, ends = folded(text or b"")
-    if not len(starts):
-        return 0
-    starts, ends = (starts[: 1 - width], ends[width - 1 :]) if len(starts) >= width else (starts[:1], ends[-1:])
-    votes = np.zeros(2048, dtype=np.int64)
+    if len(starts):
+        starts, ends = (starts[: len(starts) - width + 1], ends[width - 1 :]) if len(starts) >= width else (starts[:1], ends[-1:])
     digest = xxhash.xxh64_intdigest
     for at in range(0, len(starts), STEP):
         a, b = starts[at : at + STEP].tolist(), ends[at : at + STEP].tolist()
-        hashes = np.fromiter((digest(canon[i:j], SEED) for i, j in zip(a, b)), dtype=np.uint64, count=len(a))
+        yield np.fromiter((digest(canon[i:j], SEED) for i, j in zip(a, b)), dtype=np.uint64, count=len(a))
+
+
+def fingerprint(text: bytes | None, width: int = WIDTH, sketch: np.ndarray | None = None) -> int:
+    """Bit i is 1 if it is set in over half the shingles' XXH64; 0 without words. Signed, as Spark holds it.
+
+    ``sketch``, where given, takes each bin's smallest hash.
+    """
+    votes, n = np.zeros(2048, dtype=np.int64), 0
+    for hashes in shingles(text, width):
+        n += len(hashes)
         votes += np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _LANES).ravel(), minlength=2048)
+        if sketch is not None:
+            np.minimum.at(sketch, (hashes >> np.uint64(57)).astype(np.int64), hashes & np.uint64((1 << 57) - 1))
     ones = (votes.reshape(8, 256) @ _BITS).ravel()
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view(np.int64)[0])
+    return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
+
+
+def fingerprints(docs: DataFrame, width: int = WIDTH, sketched: bool = False) -> DataFrame:
+    """(doc_id, fp[, sketch]) of every row; a null or empty text has fingerprint 0. A sketch holds 16 bits of each bin's
+    smallest hash, 0 for an empty bin."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, sketches = [], []
+            for text in batch.column("text"):
+                low = np.full(SKETCH, 1 << 57, dtype=np.uint64) if sketched else None
+                fps.append(fingerprint(text.as_py(), width, low))
+                if sketched:
+                    sketches.append(np.where(low == 1 << 57, 0, low % np.uint64(65535) + np.uint64(1)).astype("<u2").tobytes())
+            arrays = [batch.column("doc_id"), pa.array(fps, pa.int64()), *([pa.array(sketches, pa.binary())] if sketched else [])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "sketch"][: len(arrays)])
 
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, fp bigint" + ", sketch binary" * sketched)
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(doc_id, fp) of every row; a null or empty text has fingerprint 0."""
+
+def alike(pairs: DataFrame, sketches: DataFrame, least: float = ALIKE) -> DataFrame:
+    """The pairs (u, v, any others) of fingerprints whose texts' sketches (fp, sketch) agree in ``least`` of their bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [fingerprint(t.as_py(), width) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, SKETCH) for c in ("sketch_u", "sketch_v"))
+            used = (a > 0) | (b > 0)
+            same = ((a == b) & used).sum(axis=1)
+            yield batch.filter(pa.array(same >= (least - SLACK) * used.sum(axis=1))).drop_columns(["sketch_u", "sketch_v"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    both = pairs.join(sketches.select(F.col("fp").alias("u"), F.col("sketch").alias("sketch_u")), "u")
+    both = cut_lineage(both).join(sketches.select(F.col("fp").alias("v"), F.col("sketch").alias("sketch_v")), "v")
+    kept = both.select(*pairs.columns, "sketch_u", "sketch_v")
+    return kept.mapInArrow(run, pairs.schema)
 
 
 def _distances(fp: Column, pivots: list[int]) -> Column:
@@ -73,37 +112,50 @@ def _near(a: str, b: str, radius: int) -> Column:
     return ok
 
 
-def _keys(fp: Column, radius: int, blocks: int) -> Column:
-    """Bucket keys: fingerprints within the radius agree in some choice of ``blocks - radius`` blocks."""
+def block_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
+    """Fingerprints within the radius agree in the bits of one of these masks: some choice of blocks - radius blocks."""
     cuts = [round(i * 64 / blocks) for i in range(blocks + 1)]
-    parts = []
-    for n, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in chosen)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        parts.append(F.struct(F.lit(n).alias("choice"), fp.bitwiseAND(F.lit(signed)).alias("bits")))
-    return F.explode(F.array(*parts))
+    return [sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
+
+
+def drawn_masks(tables: int = TABLES, bits: int = TABLE_BITS) -> list[int]:
+    """Random choices of bits, from a fixed seed."""
+    rng = np.random.default_rng(20260104)
+    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
+
+
+def _keys(fp: Column, masks: list[int]) -> Column:
+    """Bucket keys: the choice of bits and their values."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    return F.explode(F.array(*[F.struct(F.lit(n).alias("choice"), fp.bitwiseAND(F.lit(m)).alias("bits")) for n, m in enumerate(signed)]))
 
 
-def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """Distinct fingerprints (fp) -> (fp, root) for those that have a link; root stands for the component.
+def links(fps: DataFrame, radius: int = RADIUS, masks: list[int] | None = None, sketches: DataFrame | None = None) -> DataFrame:
+    """Distinct fingerprints (fp) -> (fp, root); root stands for the component.
 
-    Fingerprints meet in buckets of equal blocks. First every bucket's members are held against four of its own members;
+    Fingerprints meet in buckets of equal bits. First every bucket's members are held against a few of its own members;
     this alone joins a group of near copies, however many they are. Then only buckets that still hold several components
     are searched: members outside the most frequent component meet the others, pairs whose coordinates in the distance
     table differ by more than the radius are discarded, and the survivors are verified. So a group of copies is never
-    expanded into its pairs, and no link between different components is missed.
+    expanded into its pairs, and with :func:`block_masks` no link between different components is missed. ``sketches``
+    (fp, sketch) adds :func:`alike` as a condition of a link.
     """
+    masks = masks or block_masks(radius)
+    within = lambda pairs: pairs if sketches is None else alike(cut_lineage(pairs.distinct()), sketches)
     nodes = cut_lineage(fps.select("fp", _distances(F.col("fp"), PIVOTS[:8]).alias("p0"), _distances(F.col("fp"), PIVOTS[8:]).alias("p1")))
-    keyed = nodes.select("fp", _keys(F.col("fp"), radius, blocks).alias("k")).select("fp", "k.choice", "k.bits")
+    keyed = nodes.select("fp", _keys(F.col("fp"), masks).alias("k")).select("fp", "k.choice", "k.bits")
     firsts = {f"l{i}": F.min(F.col("fp").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)) for i, c in enumerate(FLIPS)}
     heads = keyed.groupBy("choice", "bits").agg(F.count("fp").alias("n"), *[c.alias(k) for k, c in firsts.items()])
+    if len(masks) > 16:  # many buckets for each fingerprint: one member of each will do
+        turn = F.get(F.array(*firsts), F.col("choice") % len(FLIPS))
+        heads = heads.select("choice", "bits", "n", *[turn.alias(k) for k in firsts])
     heads = cut_lineage(heads.where("n > 1").drop("n"))
     met = keyed.join(heads, ["choice", "bits"])
     ties = F.array_distinct(F.filter(F.array(*firsts), lambda x: (F.bit_count(x.bitwiseXOR(F.col("fp"))) <= radius) & (x != F.col("fp"))))
-    first = components(met.select(F.col("fp").alias("u"), F.explode(ties).alias("v")))
+    first = components(within(met.select(F.col("fp").alias("u"), F.explode(ties).alias("v"))))
 
     known = cut_lineage(nodes.join(first, nodes.fp == first.node, "left").select("fp", "p0", "p1", F.coalesce("root", "fp").alias("comp")))
-    keyed = known.select("*", _keys(F.col("fp"), radius, blocks).alias("k")).select("fp", "p0", "p1", "comp", "k.choice", "k.bits")
+    keyed = known.select("*", _keys(F.col("fp"), masks).alias("k")).select("fp", "p0", "p1", "comp", "k.choice", "k.bits")
     sizes = keyed.groupBy("choice", "bits", "comp").agg(F.count("fp").alias("n"))
     mixed = sizes.groupBy("choice", "bits").agg(F.max_by("comp", "n").alias("main"), F.count("comp").alias("comps"))
     mixed = cut_lineage(mixed.where("comps > 1").drop("comps"))
@@ -111,10 +163,23 @@ def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFra
     a, b = rows.where("comp <> main").alias("a"), rows.alias("b")
     same = (F.col("a.bits") == F.col("b.bits")) & (F.col("a.choice") == F.col("b.choice")) & (F.col("a.comp") != F.col("b.comp"))
     close = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius
-    found = a.join(b, same & _near("a", "b", radius) & close).select(F.col("a.comp").alias("u"), F.col("b.comp").alias("v"))
-    more = components(found)
-    roots = known.join(more, known.comp == more.node, "left").select("fp", F.coalesce("root", "comp").alias("root"))
-    return roots
+    found = a.join(b, same & _near("a", "b", radius) & close)
+    found = found.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"), F.col("a.comp").alias("cu"), F.col("b.comp").alias("cv"))
+    more = components(within(found).select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    return known.join(more, known.comp == more.node, "left").select("fp", F.coalesce("root", "comp").alias("root"))
+
+
+def _classes(marked: DataFrame, ids: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id, n_class) of fingerprinted rows, by the components of their fingerprints (fp, first, rows)."""
+    named = cut_lineage(ids.join(cut_lineage(roots), "fp"))
+    totals = cut_lineage(named.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("rows").alias("n_class")))
+    classes = cut_lineage(named.join(totals, "root").select("fp", "component_id", "n_class"))
+    hidden = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
+    return marked.join(classes, "fp", "left").select("doc_id", "fp", hidden("component_id"), hidden("n_class"))
+
+
+def _ids(marked: DataFrame) -> DataFrame:
+    return cut_lineage(marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("rows")))
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
@@ -126,25 +191,31 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, b
     and text are not read. ``blocks`` must exceed ``radius``; more blocks mean more, smaller buckets (8 for 10^9 rows).
     """
     marked = cut_lineage(fingerprints(docs, width))
-    ids = cut_lineage(marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("rows")))
-    roots = cut_lineage(links(ids.select("fp"), radius, blocks))
-    named = cut_lineage(ids.join(roots, "fp"))
-    totals = cut_lineage(named.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("rows").alias("n_class")))
-    classes = cut_lineage(named.join(totals, "root").select("fp", "component_id", "n_class"))
-    known = marked.join(classes, "fp", "left")
-    hidden = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
-    return known.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), hidden("component_id"), hidden("n_class"))
+    ids = _ids(marked)
+    known = _classes(marked, ids, links(ids.select("fp"), radius, block_masks(radius, blocks)))
+    return known.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_class")
+
+
+def alike_documents(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id, n_class): rows whose texts share four in five of their five-word shingles, and theirs in turn.
+
+    Fingerprints of up to REACH differing bits are candidates, sketches of the texts decide. Null and empty texts are
+    alike; nulls and repeated rows are treated as in :func:`near_duplicates`.
+    """
+    marked = cut_lineage(fingerprints(docs, ALIKE_WIDTH, sketched=True))
+    ids = _ids(marked)
+    sketches = cut_lineage(marked.where("doc_id IS NOT NULL").select("doc_id", "fp", "sketch").join(ids.select(F.col("fp").alias("f"), "first"), (F.col("fp") == F.col("f")) & (F.col("doc_id") == F.col("first"))).select("fp", "sketch").dropDuplicates(["fp"]))
+    return _classes(marked.drop("sketch"), ids, links(ids.select("fp"), REACH, drawn_masks(), sketches)).drop("fp")
 
 
-def one_of_each(docs: DataFrame, **how: int) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component; rows with a null doc_id stay.
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its class of :func:`alike_documents`.
 
-    Rows that repeat the doc_id of a kept row are kept with it only once.
+    Rows that repeat a kept doc_id are kept once; rows with a null doc_id stay.
     """
-    chosen = near_duplicates(docs, **how).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.join(cut_lineage(chosen), "doc_id", "left_semi")
-    spare = [c for c in docs.columns if c != "doc_id"]
-    return known.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in spare]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    chosen = alike_documents(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    known = docs.join(cut_lineage(chosen), F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    return known.unionByName(docs.where("doc_id IS NULL"))
 
 
 def op1_simhash_pivots(spark: SparkSession, sf: str) -> DataFrame:
