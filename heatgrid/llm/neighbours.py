@@ -14,9 +14,10 @@ from heatgrid.session import cut_lineage
 
 NEAREST = 20
 EVERY = 20  # one row in so many is a query
-BLOCK, QUERY_BLOCK = 2048, 4096  # vectors of a block of candidates and of queries, on average
+BLOCK, QUERY_BLOCK = 16384, 4096  # vectors of a block of candidates and of queries, on average
 SLICE = 256  # queries estimated at once
-CONFIDENCE = 3.0  # standard errors of an estimate that its bounds allow for
+CONFIDENCE = 1.9  # standard errors of an estimate that its bounds allow for, as published
+FIRST = 64  # vectors of the best estimates whose exact products set the bar
 PAIRS = 1 << 17  # exact products at once
 
 
@@ -84,25 +85,37 @@ def best(keys: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.nd
 
 
 def search_block(ids: np.ndarray, vectors: np.ndarray, bits: np.ndarray, scale: np.ndarray, error: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, mean: np.ndarray, k: int) -> list[np.ndarray]:
-    """(query, candidate, score) of the nearest in one block. A vector is reranked if the upper bound of its estimate
-    reaches the k-th largest lower bound, not counting the query itself."""
+    """(query, candidate, score) of the nearest in one block. The best estimates are made exact first; the k-th largest
+    product among them is the bar, and every other vector whose upper bound reaches it is reranked too."""
     turn = rotation(len(mean))
     signs = (np.unpackbits(bits, axis=1).astype(np.float32) * 2 - 1) * scale[:, None].astype(np.float32)
+    error = (CONFIDENCE * error).astype(np.float32)[:, None]
     out = []
+
+    def products(rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+        parts = ((vectors[rows[i : i + PAIRS]] * q[columns[i : i + PAIRS]]).sum(axis=1) for i in range(0, len(rows), PAIRS))
+        return np.concatenate([np.zeros(0), *parts])
+
     for at in range(0, len(queries), SLICE):
         q, names = queries[at : at + SLICE], query_ids[at : at + SLICE]
-        middle = signs @ (q @ turn).T.astype(np.float32) + (q @ mean).astype(np.float32)
-        slack = (CONFIDENCE * error[:, None] * np.linalg.norm(q, axis=1)).astype(np.float32)
-        low = middle - slack
-        low[ids[:, None] == names] = -np.inf
-        keep = min(k, len(ids)) - 1
-        floor = -np.partition(-low, keep, axis=0)[keep]
-        rows, columns = np.nonzero(middle + slack >= floor)
+        upper = signs @ (q @ turn).T.astype(np.float32) + (q @ mean).astype(np.float32)
+        upper[ids[:, None] == names] = -np.inf
+        first = min(max(FIRST, k), len(ids))
+        head = np.argpartition(upper, len(ids) - first, axis=0)[len(ids) - first :]
+        exact = products(head.ravel(), np.tile(np.arange(len(q)), first)).reshape(head.shape)
+        exact[ids[head] == names] = -np.inf
+        bar = np.partition(exact, first - min(k, first), axis=0)[first - min(k, first)]
+        upper += error * np.linalg.norm(q, axis=1).astype(np.float32)
+        rows, columns = np.nonzero(upper >= bar - 1e-5 * np.abs(bar))
         other = ids[rows] != names[columns]
         rows, columns = rows[other], columns[other]
-        exact = np.concatenate([np.zeros(0), *((vectors[rows[i : i + PAIRS]] * q[columns[i : i + PAIRS]]).sum(axis=1) for i in range(0, len(rows), PAIRS))])
-        top = best(columns, ids[rows], exact, k)
-        out.append((names[columns[top]], ids[rows[top]], exact[top]))
+        score = products(rows, columns)
+        rows, columns, score = np.append(rows, head.ravel()), np.append(columns, np.tile(np.arange(len(q)), first)), np.append(score, exact.ravel())
+        seen = np.unique(rows * len(q) + columns, return_index=True)[1]
+        seen = seen[score[seen] > -np.inf]
+        rows, columns, score = rows[seen], columns[seen], score[seen]
+        top = best(columns, ids[rows], score, k)
+        out.append((names[columns[top]], ids[rows[top]], score[top]))
     return [np.concatenate(c) for c in zip(*out)]
 
 
