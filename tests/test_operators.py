@@ -88,6 +88,29 @@ def test_nearest_in_a_dense_spot(spark):
         assert list(got[(got.lat == lat) & (got.lon == lon)].sort_values("rank").cell_id) == want
 
 
+def test_nearest_meets_few_targets_of_a_dense_city(spark):
+    rnd = random.Random(18)
+    cells = [(i, 20 + rnd.random() * 0.01, 85 + rnd.random() * 0.01, 1.0) for i in range(4000)] + [(9000 + i, 20.005, 85.005, 1.0) for i in range(300)] + [(9900 + i, 22.0 + i, 87.0, 1.0 + i) for i in range(6)]
+    points = [(20 + 0.003 * i * i, 85 - 0.002 * i * i) for i in range(25)] + [(20.005, 85.005)]
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            reads.add(len(f))
+            yield f
+
+    df = spark.createDataFrame(cells, "cell_id int, lat double, lon double, size double")
+    ps = spark.createDataFrame(points, "lat double, lon double")
+    got = nearest.nearest_k(ps, df.mapInPandas(counted, df.schema), 5, lon_scale=0.9, scale="size").toPandas()
+    assert reads.value == len(cells)
+    for lat, lon in points:
+        want = [c for _, c in sorted((math.sqrt(((x - lon) * 0.9) ** 2 + (y - lat) ** 2) / z, c) for c, y, x, z in cells)[:5]]
+        assert list(got[(got.lat == lat) & (got.lon == lon)].sort_values("rank").cell_id) == want
+    near, found = nearest.candidates(ps, df, 5, "cell_id", [], 0.9, "size")
+    assert near.join(found, ["_level", "_y", "_x"]).count() < len(points) * 8 * nearest.LEAF
+    assert found.where("_tlat = 20.005 AND _tlon = 85.005").count() == 5
+
+
 # --- places -------------------------------------------------------------------------
 
 
