@@ -355,9 +355,9 @@ QUERIES["stream_nights"] = (
 
 
 def stream_levels(spark, sf):
-    """Alert changes from a stream of forecasts; equal to the batch fold."""
+    """Alert changes from a stream of forecasts, up to a week before the last; equal to the batch fold."""
     days = alerts.as_days(fx.place_days(spark, sf))
-    stream = alert_streams.stream_state(_landed(days, spark, "days"), alerting.POLICY)
+    stream = alert_streams.stream_state(_landed(days, spark, "days"), alerting.POLICY, "7 days")
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -371,7 +371,7 @@ def stream_levels(spark, sf):
 QUERIES["stream_levels"] = (
     stream_levels,
     with_ctes(
-        f"SELECT scope, place_id, date, {alerting._NAME.format(l='was')} AS from_level, {alerting._NAME.format(l='level')} AS to_level FROM states_moves",
+        f"SELECT scope, place_id, date, {alerting._NAME.format(l='was')} AS from_level, {alerting._NAME.format(l='level')} AS to_level FROM states_moves WHERE date <= (SELECT max(as_of) FROM targets) - INTERVAL 7 DAY",
         *alerting.STATE, recursive=True,
     ),
 )

@@ -50,11 +50,15 @@ def live_hourly(spark: SparkSession, path: str) -> DataFrame:
     return hourly_indices(nwp_rows(spark.readStream.schema(NWP_SCHEMA).json(path)))
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows a query left out because the watermark had passed them."""
-    return sum(
-        op["numRowsDroppedByWatermark"] for progress in query.recentProgress for op in json.loads(progress.json)["stateOperators"]
-    )
+def late_rows(query: StreamingQuery, seen: dict[int, int]) -> None:
+    """Adds to ``seen``, by batch, the rows left out because the watermark had passed them.
+
+    A query remembers its last batches only, so this is asked again and again
+    while it runs.
+    """
+    for progress in query.recentProgress:
+        p = json.loads(progress.json)
+        seen[p["batchId"]] = max(seen.get(p["batchId"], 0), sum(op["numRowsDroppedByWatermark"] for op in p["stateOperators"]))
 
 
 def run_to_table(stream: DataFrame, name: str, stats: dict | None = None) -> DataFrame:
@@ -67,7 +71,10 @@ def run_to_table(stream: DataFrame, name: str, stats: dict | None = None) -> Dat
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     )
-    query.awaitTermination()
+    seen: dict[int, int] = {}
+    while not query.awaitTermination(1):
+        late_rows(query, seen)
+    late_rows(query, seen)
     if stats is not None:
-        stats["late_rows"] = late_rows(query)
+        stats["late_rows"] = sum(seen.values())
     return spark.read.schema(stream.schema).parquet(out)

@@ -84,13 +84,55 @@ def test_levels_as_a_stream_equal_the_fold(spark, tmp_path, rocksdb):
     df = spark.createDataFrame(rows, schema)
     for i, (a, b) in enumerate([("2024-05-01", "2024-05-09"), ("2024-05-10", "2024-05-17"), ("2024-05-18", "2024-05-31")]):
         land(df.where(F.col("as_of").between(a, b)), tmp_path, f"{i}")
-    out = daily_streams.run_to_table(alert_streams.stream_state(source(spark, schema, tmp_path, 1000), cfg), "levels")
+    out = daily_streams.run_to_table(alert_streams.stream_state(source(spark, schema, tmp_path, 1000), cfg, "0 seconds"), "levels")
     fold = alerts.transitions(alerts.run_state(alerts.target_level(df, cfg), cfg))
     got = sorted((r.place_id, r.date, r.from_level, r.to_level) for r in out.collect())
     want = sorted((r.place_id, r.date, r["from"], r.to) for r in fold.collect())
     assert got == want and len(got) > 10
 
 
+def test_a_late_emergency_still_raises_the_alert(spark, tmp_path, rocksdb):
+    import os
+    import time
+
+    cfg = AlertParams(lead_days=1, margin=1.0)
+    schema = f"as_of date, scope string, place_id string, days array<{DAY}>"
+    row = lambda i, h, b: (date(2024, 5, 1) + timedelta(days=i), "ward", "1", [(0, h, b, 0.0, 0.0, h - 5, h + 5)])
+    for n, files in enumerate([(0, 1, 2, 4, 5), (6, 7), (3,), (30,)]):
+        land(spark.createDataFrame([row(i, *((70.0, "Emergency") if i == 3 else (30.0, "Normal"))) for i in files], schema), tmp_path, f"{n}")
+        stamp = time.time() - 100 + 10 * n
+        for root, _, names in os.walk(f"{tmp_path}/{n}"):
+            for f in names:
+                os.utime(os.path.join(root, f), (stamp, stamp))
+    found = {}
+    for lateness in ("10 days", "1 day"):
+        stats = {}
+        out = daily_streams.run_to_table(alert_streams.stream_state(source(spark, schema, tmp_path), cfg, lateness), "late-levels", stats)
+        found[lateness] = [(str(r.date), r.to_level) for r in out.orderBy("date", F.desc("level")).collect()], stats["late_rows"]
+    assert found["10 days"][0][0] == ("2024-05-04", "Emergency") and found["10 days"][1] == 0
+    assert found["1 day"] == ([], 1)
+
+
+def test_late_rows_of_more_batches_than_a_query_remembers(spark, tmp_path):
+    import os
+    import time
+
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "5")
+    try:
+        parts = [[(1, datetime(2024, 5, d), 20.0, 20.0, 20.0)] for d in (20, 21)] + [[(1, datetime(2024, 5, 1, i % 24), 20.0, 20.0, 20.0)] for i in range(12)]
+        for i, rows in enumerate(parts):
+            land(spark.createDataFrame(rows, HOURLY), tmp_path, f"p{i:02}")
+            stamp = time.time() - 1000 + 10 * i
+            for root, _, files in os.walk(f"{tmp_path}/p{i:02}"):
+                for f in files:
+                    os.utime(os.path.join(root, f), (stamp, stamp))
+        stats = {}
+        daily_streams.run_to_table(daily_streams.stream_daily(source(spark, HOURLY, tmp_path), ("t2m", "wbgt", "utci")), "many", stats)
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+    assert stats["late_rows"] == 12
+
+
 def test_dispatch_owes_nothing_twice(spark, tmp_path):
     schema = "alert_id string, scope string, place_id string, city string, district string, level int"
     a = spark.createDataFrame([("A", "ward", "1", "c", "9", 2)], schema)
