@@ -125,13 +125,11 @@ def counterfactual(demand: DataFrame, covered: DataFrame, work_hours: bool = Fal
     return joined.groupBy(by).agg(*aggs)
 
 
-def sites_by_city(sites: DataFrame, cols: Sequence[str], by: str = "city", key: str = "ward_id", part_size: int = 1000) -> DataFrame:
-    """Candidate sites nested per city (export form).
+def sites_by_city(sites: DataFrame, cols: Sequence[str], by: str = "city") -> DataFrame:
+    """Candidate sites of the export, one row for each, by city; however many a city has, the form is the same."""
+    return sites.where(F.col(by).isNotNull()).select(by, *cols).distinct()
 
-    A city with more than ``part_size`` sites is spread over several numbered
-    parts, so no list grows with the size of a city.
-    """
-    sizes = sites.groupBy(by).agg(F.ceil(F.count("*") / F.lit(part_size)).alias("_parts"))
-    part = F.pmod(F.xxhash64(F.col(key)), F.col("_parts")).cast("int")
-    placed = sites.join(sizes, by).withColumn("part", part)
-    return placed.groupBy(by, "part").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("sites"))
+
+def write_sites(sites: DataFrame, path: str, by: str = "city") -> None:
+    """One folder for each city, its files as many as its rows need."""
+    sites.write.mode("overwrite").partitionBy(by).parquet(path)

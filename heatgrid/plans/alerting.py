@@ -12,7 +12,7 @@ from heatgrid.params import BAND_EDGES, AlertParams, ExposureResponse
 from heatgrid.plans import fixtures as fx
 from heatgrid.plans.common import Query, pick, rounded, table, with_ctes
 from heatgrid.plans.people import LEVEL_SQL, _profile_sql
-from heatgrid.session import cut_lineage
+from heatgrid.session import cut_lineage, scratch_path
 from heatgrid.sources import documents, geojson
 
 QUERIES: dict[str, Query] = {}
@@ -424,9 +424,19 @@ def cooling_plan(spark, sf):
 
 QUERIES["cooling_plan"] = (cooling_plan, None)
 
+
+
+def site_lists(spark, sf):
+    """Sites written by city and read back."""
+    path = scratch_path(spark, "sites")
+    siting.write_sites(siting.sites_by_city(_city_wards(spark, sf), ["ward_id", "lat", "lon"]), path)
+    back = spark.read.parquet(path).select(F.col("city").cast("long").alias("city"), F.col("ward_id").cast("long").alias("ward_id"), "lat", "lon")
+    return rounded(back, 6)
+
+
 QUERIES["site_lists"] = (
-    lambda spark, sf: siting.sites_by_city(_city_wards(spark, sf), ["ward_id"]).select("city", "part", F.array_join("sites.ward_id", ",").alias("wards")),
-    with_ctes("SELECT city, 0 AS part, string_agg(ward_id::VARCHAR, ',' ORDER BY ward_id) AS wards FROM cw GROUP BY 1", fx.WARDS, CITY_SQL),
+    site_lists,
+    with_ctes("SELECT city::BIGINT AS city, ward_id::BIGINT AS ward_id, round(lat, 6) + 0.0e0 AS lat, round(lon, 6) + 0.0e0 AS lon FROM cw", fx.WARDS, CITY_SQL),
 )
 
 QUERIES["counterfactual"] = (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from heatgrid.functions import scaling
@@ -35,13 +36,17 @@ QUERIES["panel_roundtrip"] = (
 
 
 def sorted_table(spark, sf):
-    """Range-sorted table; the order inside the files is what is compared."""
+    """Range-sorted table, with the place at which each row lies in its files."""
     path = scratch_path(spark, "sorted")
     weather.write_sorted(table(spark, sf, "events").select("user_id", "event_id"), ["user_id", "event_id"], path)
-    return spark.read.parquet(path)
+    back = spark.read.parquet(path).select("user_id", "event_id", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    files = back.groupBy("file").agg(F.count("*").alias("n"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
+    starts = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return back.join(starts, "file").select("user_id", "event_id", (F.col("start") + F.col("row")).alias("position"))
 
 
-QUERIES["sorted_table"] = (sorted_table, "SELECT user_id, event_id FROM events")
+QUERIES["sorted_table"] = (sorted_table, "SELECT user_id, event_id, row_number() OVER (ORDER BY user_id, event_id) - 1 AS position FROM events")
 
 
 def pipe_microdata(spark, sf):
@@ -207,14 +212,15 @@ QUERIES["seasonal_pivot"] = (
 def unioned_years(spark, sf):
     """Frames per year united by name; a column only one of them has is NULL elsewhere."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("year"))
-    parts = [o.where(F.col("year") == y) for y in range(1995, 2002)]
+    years = sorted(r.year for r in o.select("year").distinct().collect())
+    parts = [o.where(F.col("year") == y) for y in years]
     parts[0] = parts[0].withColumn("flag", F.lit("first"))
     return rounded(reshape.union_all(*parts).groupBy("year", "flag").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top")))
 
 
 QUERIES["unioned_years"] = (
     unioned_years,
-    "SELECT year(o_orderdate)::INTEGER AS year, CASE WHEN year(o_orderdate) = 1995 THEN 'first' END AS flag, count(*) AS n, round(max(o_totalprice), 4) + 0.0e0 AS top FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2001 GROUP BY 1, 2",
+    "SELECT year(o_orderdate)::INTEGER AS year, CASE WHEN year(o_orderdate) = (SELECT min(year(o_orderdate)) FROM orders) THEN 'first' END AS flag, count(*) AS n, round(max(o_totalprice), 4) + 0.0e0 AS top FROM orders GROUP BY 1, 2",
 )
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOG_LIMIT = 5000
 
 
 def r(c: str, digits: int) -> Column:
@@ -65,9 +64,9 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def read_log(spark: SparkSession, path: str, limit: int = 200) -> DataFrame:
-    """Newest records first; at most the last 5,000 are kept in view."""
+    """The newest ``limit`` records, newest first."""
     log = spark.read.parquet(path)
-    return log.orderBy(F.col("at").desc(), F.col("id").desc()).limit(min(limit, LOG_LIMIT))
+    return log.orderBy(F.col("at").desc(), F.col("id").desc()).limit(limit)
 
 
 def metadata(generated_at: str, edges: tuple, weights: dict, curve) -> dict[str, object]:

@@ -69,26 +69,21 @@ def inventory(raw: DataFrame) -> DataFrame:
 
 
 def write_panel(panel: DataFrame, path: str, keys: Sequence[str] = ("cell_id", "ts_utc"), force: bool = False) -> list[int]:
-    """Year-partitioned panel, sorted within files; years already there are kept.
+    """Year-partitioned panel, sorted within files; cell-years already there are kept, new ones are added.
 
-    Rows are spread over (year, cell) so that no year is written by one task,
-    and only the partitions that receive rows are replaced.
+    Rows are spread over (year, cell) so that no year is written by one task.
+    With ``force`` the years that receive rows are replaced. Returns the years
+    that were there before.
     """
     spark = panel.sparkSession
-    have: set[int] = set()
-    if not force:
-        have = existing_years(spark, path)
-        if have:
-            panel = panel.where(~F.col("year").isin(sorted(have)))
-    (
-        panel.repartition("year", "cell_id")
-        .sortWithinPartitions("year", *keys)
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("compression", "zstd")
-        .partitionBy("year")
-        .parquet(path)
-    )
+    have = set() if force else existing_years(spark, path)
+    if have:
+        panel = panel.join(spark.read.parquet(path).select("year", "cell_id").distinct(), ["year", "cell_id"], "left_anti").select(*panel.columns)
+    rows = panel.repartition("year", "cell_id").sortWithinPartitions("year", *keys).write.option("compression", "zstd").partitionBy("year")
+    if have:
+        rows.mode("append").parquet(path)
+    else:
+        rows.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     return sorted(have)
 
 

@@ -61,6 +61,9 @@ def test_hourly_files_to_panel(spark, folder, tmp_path_factory):
     weather.write_panel(panel.unionByName(filled), out)
     assert weather.existing_years(spark, out) == {2020, 2021}
     assert weather.load_hourly(spark, out, [2021], ["cell_id"]).count() == 3 * 40 * 24
+    late = panel.where("year = 2021").limit(24).withColumn("cell_id", F.lit(999)).select(*panel.columns)
+    weather.write_panel(panel.unionByName(filled).unionByName(late), out)
+    assert weather.load_hourly(spark, out, [2021], ["cell_id"]).count() == 3 * 40 * 24 + 24
 
 
 def test_missing_column_is_refused(spark, tmp_path):
