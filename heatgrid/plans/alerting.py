@@ -415,15 +415,66 @@ QUERIES["coverage_pairs"] = (
 )
 
 
+ROUNDS = 5
+
+
+def _plan_wards(spark, sf):
+    """Wards whose demand is a whole number, so that gains add up alike in any order."""
+    return _city_wards(spark, sf).withColumn("demand", (F.col("ward_id") * 7 % 23 + 1).cast("double"))
+
+
+def _greedy_sql() -> str:
+    """The greedy rounds, one after another, over wards at distinct spots."""
+    parts = [
+        "cp AS MATERIALIZED (SELECT *, (ward_id * 7 % 23 + 1)::DOUBLE AS demand FROM cw)",
+        "sp AS MATERIALIZED (SELECT city, lat, lon, min(ward_id) AS ward_id, sum(demand) AS demand FROM cp GROUP BY 1, 2, 3)",
+        "l1 AS MATERIALIZED (SELECT a.city, a.ward_id AS site, b.ward_id AS w, b.demand FROM sp a JOIN sp b ON a.city = b.city AND abs(a.lat - b.lat) < 0.02 WHERE "
+        "2 * 6371.0e0 * asin(sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2)) <= 1.5e0)",
+    ]
+    for r in range(1, ROUNDS + 1):
+        least = "WHERE gain > 0" if r > 1 else ""
+        parts += [
+            f"b{r} AS MATERIALIZED (SELECT city, site, gain FROM (SELECT city, site, sum(demand) AS gain FROM l{r} GROUP BY 1, 2) {least} QUALIFY row_number() OVER (PARTITION BY city ORDER BY gain DESC, site) = 1)",
+            f"g{r} AS MATERIALIZED (SELECT city, w FROM l{r} SEMI JOIN b{r} USING (city, site))",
+            f"l{r + 1} AS MATERIALIZED (SELECT * FROM (SELECT * FROM l{r} ANTI JOIN g{r} USING (city, w)) ANTI JOIN b{r} USING (city, site))",
+        ]
+    chosen = " UNION ALL ".join(f"SELECT city, {r} AS rank, site, gain FROM b{r}" for r in range(1, ROUNDS + 1))
+    covered = " UNION ALL ".join(f"SELECT city, w FROM g{r}" for r in range(1, ROUNDS + 1))
+    parts += [
+        f"chosen AS ({chosen})",
+        f"hit AS (SELECT DISTINCT cp.city, cp.ward_id FROM ({covered}) c JOIN sp ON sp.city = c.city AND sp.ward_id = c.w JOIN cp ON cp.city = sp.city AND cp.lat = sp.lat AND cp.lon = sp.lon)",
+    ]
+    return ",\n".join(parts)
+
+
 def cooling_plan(spark, sf):
     """Five cooling centres for every city at once, with what they cover."""
-    w = _city_wards(spark, sf)
-    chosen, covered = siting.cooling_plan(w, 5)
-    return rounded(siting.cover_summary(chosen, covered, w))
+    w = _plan_wards(spark, sf)
+    chosen, covered = siting.cooling_plan(w, ROUNDS, 1.5)
+    return rounded(siting.cover_summary(chosen, covered, w, 0.15))
+
+
+def cooling_sites(spark, sf):
+    """The centres themselves, in the order of their choice, with their gains."""
+    chosen, _ = siting.cooling_plan(_plan_wards(spark, sf), ROUNDS, 1.5)
+    return rounded(chosen.select("city", F.col("rank").cast("int").alias("rank"), F.col("site_id").alias("site"), "gain"))
 
 
-QUERIES["cooling_plan"] = (cooling_plan, None)
+QUERIES["cooling_plan"] = (
+    cooling_plan,
+    with_ctes(
+        """SELECT city, count(hit.ward_id) AS covered_wards, count(*) AS total_wards, round(coalesce(sum(demand) FILTER (WHERE hit.ward_id IS NOT NULL), 0) / sum(demand), 4) + 0.0e0 AS covered_demand_share,
+round(coalesce(sum(excess) FILTER (WHERE hit.ward_id IS NOT NULL), 0), 4) + 0.0e0 AS covered_excess, round(sum(excess), 4) + 0.0e0 AS total_excess,
+any_value(centres) AS centres, round(coalesce(sum(excess) FILTER (WHERE hit.ward_id IS NOT NULL), 0) * 0.15e0, 4) + 0.0e0 AS estimated_averted
+FROM cp LEFT JOIN hit USING (city, ward_id) LEFT JOIN (SELECT city, count(*) AS centres FROM chosen GROUP BY 1) USING (city) GROUP BY city""",
+        fx.WARDS, CITY_SQL, _greedy_sql(),
+    ),
+)
 
+QUERIES["cooling_sites"] = (
+    cooling_sites,
+    with_ctes("SELECT city, rank::INTEGER AS rank, site, round(gain, 4) + 0.0e0 AS gain FROM chosen", fx.WARDS, CITY_SQL, _greedy_sql()),
+)
 
 
 def site_lists(spark, sf):
@@ -673,7 +724,8 @@ QUERIES["explanations"] = (
     explanations,
     with_ctes(
         f""", e AS (SELECT *, CASE WHEN lead = 0 THEN NULL WHEN lead <= 1 THEN 1 WHEN lead <= 3 THEN 3 ELSE 5 END AS hz FROM place_days),
-j AS (SELECT e.*, d.p_watch * 10 - 3 AS contr, d.place_id IS NOT NULL AS known FROM e LEFT JOIN place_days d ON d.place_id = e.place_id AND d.as_of = e.as_of AND d.lead = e.hz AND d.place_id <> '7')
+l AS (SELECT e.*, {", ".join(f"max(p_watch) FILTER (WHERE lead = {h}) OVER w AS p{h}, count(*) FILTER (WHERE lead = {h}) OVER w AS n{h}" for h in (1, 3, 5))} FROM e WINDOW w AS (PARTITION BY place_id, as_of)),
+j AS (SELECT *, CASE hz WHEN 1 THEN p1 WHEN 3 THEN p3 WHEN 5 THEN p5 END * 10 - 3 AS contr, place_id <> '7' AND CASE hz WHEN 1 THEN n1 WHEN 3 THEN n3 WHEN 5 THEN n5 ELSE 0 END > 0 AS known FROM l)
 SELECT scope, place_id, as_of, lead, CASE WHEN lead = 0 THEN 'Today''s observed stress in ' || name || ' is ' || {_FX1} || ' (' || band || ').'
  ELSE 'The D+' || lead || ' forecast for ' || name || ' (HTSI ' || {_FX1} || ', ' || band || ') is driven by ' || CASE WHEN known THEN 'today''s thermal stress (' || CASE WHEN contr >= 0 THEN '+' ELSE '' END || printf('%.1f', round(contr, 1)) || ' pts), time of year (-1.3 pts)' ELSE 'seasonal conditions' END || '.' END AS sentence,
 CASE WHEN hz <> lead THEN 'Attributions shown are from the D+' || hz || ' model, the nearest explained horizon.' END AS note,
