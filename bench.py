@@ -12,7 +12,7 @@ import sys
 import time
 
 from heatgrid.plans.registry import QUERIES
-from heatgrid.session import get_session
+from heatgrid.session import clear_scratch, get_session
 
 HEADLINE = (
     "risk_band_shares",
@@ -62,6 +62,7 @@ def main() -> None:
         QUERIES[name][0](spark, sf).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
         print(name, seconds[name], file=sys.stderr)
+    clear_scratch(spark)
     out = {"metric": "headline_total", "value": round(sum(seconds.values()), 3), "unit": "sec", "queries": seconds, "sf": os.path.basename(sf.rstrip("/"))}
     print(json.dumps(out))
 

@@ -87,7 +87,8 @@ STATE = (*BASE, DAYS_SQL, target_sql(POLICY), state_sql(POLICY))
 
 
 def _days(spark, sf):
-    return alerts.as_days(fx.place_days(spark, sf))
+    """Nested days, written once: levels, scorecards and changes go over them several times."""
+    return cut_lineage(alerts.as_days(fx.place_days(spark, sf)))
 
 
 def _targets(spark, sf):
@@ -98,6 +99,17 @@ def _states(spark, sf):
     return alerts.with_alert_ids(alerts.run_state(_targets(spark, sf), POLICY))
 
 
+def daily_levels(spark, sf):
+    targets = cut_lineage(_targets(spark, sf))
+    return alerts.previous_level(alerts.daily_levels(targets.select("scope", "place_id", "as_of"), alerts.run_state(targets, POLICY)))
+
+
+def changed_levels(spark, sf):
+    targets = cut_lineage(_targets(spark, sf))
+    both = alerts.changed_levels(alerts.replay(targets, T1, POLICY), alerts.replay(targets, T2, POLICY))
+    return both.select("scope", "place_id", F.col("from").alias("from_level"), F.col("to").alias("to_level"))
+
+
 QUERIES["target_levels"] = (
     lambda spark, sf: _targets(spark, sf).select("as_of", "scope", "place_id", "target_level", "target_band", "trigger_lead", "reason"),
     with_ctes(f"SELECT as_of, scope, place_id, target AS target_level, {_NAME.format(l='target')} AS target_band, tl AS trigger_lead, reason FROM targets", *BASE, DAYS_SQL, target_sql(POLICY)),
@@ -117,7 +129,7 @@ QUERIES["alert_transitions"] = (
 )
 
 QUERIES["daily_levels"] = (
-    lambda spark, sf: alerts.previous_level(alerts.daily_levels(_targets(spark, sf).select("scope", "place_id", "as_of"), alerts.run_state(_targets(spark, sf), POLICY))),
+    daily_levels,
     with_ctes("SELECT scope, place_id, as_of, level, lag(level) OVER (PARTITION BY scope, place_id ORDER BY as_of) AS prev_level FROM states_all WHERE i > 0", *STATE, recursive=True),
 )
 
@@ -146,7 +158,7 @@ QUERIES["policy_scorecard"] = (
 
 T1, T2 = "2024-05-01", "2024-05-20"
 QUERIES["changed_levels"] = (
-    lambda spark, sf: alerts.changed_levels(alerts.replay(_targets(spark, sf), T1, POLICY), alerts.replay(_targets(spark, sf), T2, POLICY)).select("scope", "place_id", F.col("from").alias("from_level"), F.col("to").alias("to_level")),
+    changed_levels,
     with_ctes(
         f"SELECT a.scope, a.place_id, {_NAME.format(l='a.level')} AS from_level, {_NAME.format(l='b.level')} AS to_level FROM s1 a JOIN s2 b USING (scope, place_id) WHERE a.level <> b.level",
         *BASE, DAYS_SQL, target_sql(POLICY), state_sql(POLICY, name="s1", until=T1), state_sql(POLICY, name="s2", until=T2), recursive=True,

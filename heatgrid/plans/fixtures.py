@@ -14,6 +14,7 @@ from heatgrid.functions.base import clip
 from heatgrid.operators.climatology import attach_anomaly, build_climatology
 from heatgrid.operators.index import compute_index
 from heatgrid.plans.common import table
+from heatgrid.session import cut_lineage
 
 PANEL_CELLS = 40
 
@@ -186,7 +187,7 @@ INDEX_CTES = (PANEL, PANEL_DOY, clim_sql(), INDEXED)
 
 def indexed(spark: SparkSession, sf: str) -> DataFrame:
     """Panel with climatology, anomaly rank, components, index and band."""
-    daily = panel(spark, sf)
+    daily = cut_lineage(panel(spark, sf))  # feeds the climatology and the index
     return compute_index(attach_anomaly(daily, build_climatology(daily, ("wbgt_max",))))
 
 

@@ -44,9 +44,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def run_root(spark: SparkSession) -> str:
+    """The folder of this application below the shared one; everything a job leaves is in it."""
+    return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in this application's folder."""
+    return f"{run_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove this application's folder, at the end of a job whose results are written elsewhere."""
+    jvm, root = spark.sparkContext._jvm, run_root(spark)
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from heatgrid.session import cut_lineage
+
 # Columns, indicators and patterns of the sources: fixed values.
 DECEDENT_COLUMNS = (
     "district", "hl_id", "house_no", "house_hold_no", "m_serial_no", "year", "rural", "deceased_sex",
@@ -123,7 +125,8 @@ def indicator_values(lines: DataFrame, doc: str = "page", header: str = HEADER_P
     patterns = sorted({p for _, p, _ in INDICATORS})
     which = F.coalesce(*[F.when(label.startswith(p.lower()), F.lit(p)) for p in patterns])
     found = _titled(lines, doc, header).where(F.col("text").rlike(LABEL_PREFIX)).withColumn("pattern", which)
-    hits = found.where(F.col("pattern").isNotNull()).select("name", "pattern", F.struct(F.col(doc), "line_no").alias("at"), value.alias("value"))
+    # The lines are matched once; the rounds below go over the few that did.
+    hits = cut_lineage(found.where(F.col("pattern").isNotNull()).select("name", "pattern", F.struct(F.col(doc), "line_no").alias("at"), value.alias("value")))
 
     # The n-th hit is the smallest one after the (n-1)-th: plain minima, no sort of all hits of a name.
     out, rest = None, hits

@@ -17,7 +17,7 @@ import duckdb
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import __spark_entry__ as entry  # noqa: E402
-from heatgrid.session import get_session  # noqa: E402
+from heatgrid.session import clear_scratch, get_session  # noqa: E402
 
 
 def canonical(v):
@@ -95,6 +95,7 @@ def main():
         if not good:
             failed.append(name)
         print(f"{name}: {msg}", flush=True)
+    clear_scratch(spark)
     print(f"{len(failed)} failed: {failed}")
 
 

@@ -144,3 +144,15 @@ def test_nwp_rows(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(doc))
     rows = weather.read_nwp(spark, str(tmp_path)).collect()
     assert len(rows) == 1 and rows[0].PS == 100.0 and str(rows[0].ts_utc) == "2024-05-01 00:00:00" and str(rows[0].ts_ist) == "2024-05-01 05:30:00"
+
+
+def test_no_stages_are_left_after_a_job(spark, tmp_path, monkeypatch):
+    import glob
+
+    from heatgrid import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    total = session.cut_lineage(session.cut_lineage(spark.range(10)).selectExpr("sum(id) AS s"))
+    assert total.first().s == 45 and len(glob.glob(f"{tmp_path}/*/stage-*")) == 2
+    session.clear_scratch(spark)
+    assert os.listdir(tmp_path) == []
