@@ -378,9 +378,12 @@ def alert_documents(alerts: DataFrame, advisories: DataFrame, sender: str, sende
     """One CAP 1.2 document per alert with an info block per language.
 
     ``alerts`` needs ``alert_id, scope, place_id, name, band, lead, date, sent,
-    htsi, q10, q90, mri, wbgt, p_warning, ring``.
+    htsi, q10, q90, mri, wbgt, p_warning, ring``. Where it also has ``msg_type``
+    (Alert, Update, Cancel) and ``references`` (sender,identifier,sent of the
+    alerts it follows), the document carries them.
     """
     esc = text.xml_escape
+    given = lambda c, other: F.coalesce(F.col(c), F.lit(other)) if c in alerts.columns else F.lit(other)
 
     def tag(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"    <{name}>"), value, F.lit(f"</{name}>\n"))
@@ -420,12 +423,14 @@ def alert_documents(alerts: DataFrame, advisories: DataFrame, sender: str, sende
         F.lit("    </area>\n  </info>\n"),
     )
     order = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("language"))
-    blocks = both.groupBy("alert_id", "sent").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), info.alias("x")))).alias("b"))
+    kinds = both.withColumns({"_type": given("msg_type", "Alert"), "_refs": given("references", "")})
+    blocks = kinds.groupBy("alert_id", "sent", "_type", "_refs").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), info.alias("x")))).alias("b"))
     status = "Actual" if mode == "live" else "Exercise"
     remark = f"  <note>{note}</note>\n" if status == "Exercise" else ""
     head = F.concat(
         F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<alert xmlns="urn:oasis:names:tc:emergency:cap:1.2">\n  <identifier>'),
         esc("alert_id"), F.lit("</identifier>\n  <sender>"), esc(F.lit(sender)), F.lit("</sender>\n  <sent>"), F.col("sent"),
-        F.lit(f"</sent>\n  <status>{status}</status>\n  <msgType>Alert</msgType>\n  <scope>Public</scope>\n{remark}"),
+        F.lit(f"</sent>\n  <status>{status}</status>\n  <msgType>"), F.col("_type"), F.lit(f"</msgType>\n  <scope>Public</scope>\n{remark}"),
+        F.when(F.col("_refs") == "", F.lit("")).otherwise(F.concat(F.lit("  <references>"), esc("_refs"), F.lit("</references>\n"))),
     )
     return blocks.select("alert_id", F.concat(head, F.array_join(F.transform("b", lambda b: b["x"]), ""), F.lit("</alert>\n")).alias("document"))

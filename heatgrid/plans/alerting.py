@@ -328,8 +328,7 @@ def _alert_days(spark, sf):
 def advisories(spark, sf):
     t, a = _dictionaries(spark)
     out = alerts.render_advisories(_alert_days(spark, sf), t, a)
-    picked = out.select("alert_id", "language", "audience", "headline", "sms", "description", F.array_join("actions", "|").alias("actions"))
-    return picked.where("audience = 'hospitals'").drop("audience")
+    return out.select("alert_id", "language", "audience", "headline", "sms", "description", F.array_join("actions", "|").alias("actions"))
 
 
 def _fx(c: str, d: int) -> str:
@@ -348,20 +347,22 @@ adv AS (SELECT *, {_local(_fx('htsi', 0))} AS xh, {_local(_fx('wbgt', 1))} AS xw
 QUERIES["advisories"] = (
     advisories,
     with_ctes(
-        """SELECT alert_id, language, CASE WHEN band <> 'Normal' THEN label || ' for ' || name END AS headline, CASE WHEN band <> 'Normal' THEN name || ' ' || xday || ': ' || xh || '/' || xw END AS sms,
+        """SELECT alert_id, language, audience, CASE WHEN band <> 'Normal' THEN label || ' for ' || name END AS headline, CASE WHEN band <> 'Normal' THEN name || ' ' || xday || ': ' || xh || '/' || xw END AS sms,
 xh || ' (' || label || ') ' || xday || ', night ' || xn || ', excess ' || xe || ' (' || xl || '-' || xg || ')' AS description,
-CASE WHEN band <> 'Normal' THEN 'hospitals drink water|visits ' || xd || '|stay in' ELSE '' END AS actions FROM adv""",
+CASE WHEN band <> 'Normal' THEN audience || ' drink water|visits ' || xd || '|stay in' ELSE '' END AS actions FROM adv, (VALUES ('public'), ('hospitals'), ('municipal')) v(audience)""",
         *BASE, ADVISORY_SQL,
     ),
 )
 
 
 def alert_documents(spark, sf):
-    """One alert document per place-day of the last issue dates, with its size and marks."""
+    """One alert document per place-day above Normal; those of later leads update the one before."""
     t, a = _dictionaries(spark)
-    days = _alert_days(spark, sf).where("lead = 1 AND band <> 'Normal'")
+    days = _alert_days(spark, sf).where("band <> 'Normal'")
     ready = days.withColumns(
-        {"sent": F.concat(F.col("as_of").cast("string"), F.lit("T06:00:00+05:30")), "ring": F.when(F.col("scope") == "ward", F.array(F.array(F.lit(85.8), F.lit(20.3)), F.array(F.lit(85.81), F.lit(20.3)), F.array(F.lit(85.81), F.lit(20.31))))}
+        {"msg_type": F.when(F.col("lead") > 0, "Update"),
+         "references": F.when(F.col("lead") > 0, F.concat(F.lit("alerts@example.org,"), F.concat_ws("-", "scope", "place_id", F.col("as_of").cast("string"), (F.col("lead") - 1).cast("string")), F.lit(","), F.col("as_of").cast("string"), F.lit("T06:00:00+05:30"))),
+         "sent": F.concat(F.col("as_of").cast("string"), F.lit("T06:00:00+05:30")), "ring": F.when(F.col("scope") == "ward", F.array(F.array(F.lit(85.8), F.lit(20.3)), F.array(F.lit(85.81), F.lit(20.3)), F.array(F.lit(85.81), F.lit(20.31))))}
     )
     adv = alerts.render_advisories(ready, t, a)
     docs = alerts.alert_documents(ready, adv, "alerts@example.org", "Heat Early Warning", languages=("en", "or"))
@@ -371,6 +372,8 @@ def alert_documents(spark, sf):
         F.regexp_extract("document", "<severity>(.*?)</severity>", 1).alias("severity"),
         F.regexp_extract("document", "<onset>(.*?)</onset>", 1).alias("onset"),
         F.regexp_extract("document", "<headline>(.*?)</headline>", 1).alias("headline"),
+        F.regexp_extract("document", "<msgType>(.*?)</msgType>", 1).alias("msg_type"),
+        F.regexp_extract("document", "<references>(.*?)</references>", 1).alias("refs"),
     )
 
 
@@ -378,7 +381,8 @@ QUERIES["alert_documents"] = (
     alert_documents,
     with_ctes(
         """SELECT alert_id, 2 AS infos, CASE WHEN scope = 'ward' THEN 2 ELSE 0 END AS polygons, CASE band WHEN 'Watch' THEN 'Moderate' WHEN 'Warning' THEN 'Severe' ELSE 'Extreme' END AS severity,
-date || 'T00:00:00+05:30' AS onset, label || ' for ' || name AS headline FROM adv WHERE lead = 1 AND band <> 'Normal' AND language = 'en'""",
+date || 'T00:00:00+05:30' AS onset, label || ' for ' || name AS headline, CASE WHEN lead > 0 THEN 'Update' ELSE 'Alert' END AS msg_type,
+CASE WHEN lead > 0 THEN 'alerts@example.org,' || scope || '-' || place_id || '-' || as_of || '-' || (lead - 1) || ',' || as_of || 'T06:00:00+05:30' ELSE '' END AS refs FROM adv WHERE band <> 'Normal' AND language = 'en'""",
         *BASE, ADVISORY_SQL,
     ),
 )
