@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,16 +50,34 @@ def run_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
+_open: list[str] = []  # folders of the steps under way, see distilled()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in this application's folder."""
-    return f"{run_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the folder of this application, or of the step under way."""
+    return "/".join([run_root(spark), *_open, f"{name}-{uuid.uuid4().hex}"])
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Remove this application's folder, at the end of a job whose results are written elsewhere."""
-    jvm, root = spark.sparkContext._jvm, run_root(spark)
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _remove(spark, run_root(spark))
+
+
+def distilled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, written; the stages that it wrote on the way are removed."""
+    _open.append(f"step-{uuid.uuid4().hex}")
+    try:
+        df, folder = make(), "/".join([run_root(spark), *_open])
+    finally:
+        _open.pop()
+    out = cut_lineage(df)
+    _remove(spark, folder)
+    return out
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -154,5 +154,7 @@ def test_no_stages_are_left_after_a_job(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
     total = session.cut_lineage(session.cut_lineage(spark.range(10)).selectExpr("sum(id) AS s"))
     assert total.first().s == 45 and len(glob.glob(f"{tmp_path}/*/stage-*")) == 2
+    step = session.distilled(spark, lambda: session.cut_lineage(session.cut_lineage(spark.range(5))))
+    assert step.count() == 5 and len(glob.glob(f"{tmp_path}/*/*")) == 3
     session.clear_scratch(spark)
     assert os.listdir(tmp_path) == []
