@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from heatgrid.llm.common import documents
-from heatgrid.session import cut_lineage
+from heatgrid.session import cut_lineage, distilled
 
 REACH = 24  # bytes on either side over which a cut's hash is the smallest: chunks have 49 bytes on average
 MIN_WORDS = 12  # words of a run of repeated chunks; a passage of over 50 words holds such a run
@@ -128,8 +128,8 @@ def _without(text: pd.Series, spans: pd.Series) -> pd.Series:
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the texts cut by :func:`repeats`; every row stays, a text may become empty. n_chars, if there, follows."""
-    spans = repeats(docs, min_words).groupBy(F.col("doc_id").alias("cut_id")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("cut_spans"))
-    spans = cut_lineage(spans)
+    by_doc = lambda: repeats(docs, min_words).groupBy(F.col("doc_id").alias("cut_id")).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("cut_spans"))
+    spans = distilled(docs.sparkSession, by_doc)
     found = docs.join(spans, docs.doc_id == spans.cut_id, "left")
     text = F.when(spans.cut_spans.isNull(), docs.text).otherwise(_without(docs.text, spans.cut_spans)).alias("text")
     out = found.select(*[text if c == "text" else docs[c] for c in docs.columns])

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heatgrid.llm.common import components, documents, folded
-from heatgrid.session import cut_lineage
+from heatgrid.session import cut_lineage, distilled
 
 WIDTH = 4  # words of a shingle
 RADIUS = 4  # differing bits of a link
@@ -21,12 +21,13 @@ SEED = 42
 STEP = 1 << 16  # shingles hashed at once
 #: Reference fingerprints, from a fixed seed: eight to a packed coordinate column.
 PIVOTS = [int(x) for x in np.random.default_rng(20260101).integers(-(1 << 63), 1 << 63, 16, dtype=np.int64)]
-#: Flips that make other members of a bucket its smallest one.
-FLIPS = [0, -1, 0x5A5A5A5A5A5A5A5A, 0x33CC33CC33CC33CC]
 #: Likeness of whole texts: shingles of five words that are shared by four texts in five, from a sketch of the smallest
-#: hash in each of SKETCH bins. Texts that alike differ in about ten bits, too many for equal blocks: REACH bits are
-#: allowed for, and buckets are TABLES choices of TABLE_BITS bits (96 % of pairs at ten bits meet in one of them).
-ALIKE_WIDTH, ALIKE, SKETCH, REACH, TABLES, TABLE_BITS = 5, 0.8, 128, 14, 48, 16
+#: hash in each of SKETCH bins. Such texts differ in about ten bits, too many for equal blocks: REACH bits are allowed
+#: for, and buckets are TABLES choices of TABLE_BITS bits (97 % of pairs at ten bits meet in one of them).
+ALIKE_WIDTH, ALIKE, SKETCH, REACH, TABLES, TABLE_BITS = 5, 0.8, 128, 13, 36, 14
+SLACK = 0.035  # standard error of a sketch at that likeness: texts are not told apart beyond it
+
+_BITS = 5, 0.8, 128, 14, 48, 16
 SLACK = 0.035  # standard error of a sketch at that likeness: texts are not told apart beyond it
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -125,45 +126,43 @@ def drawn_masks(tables: int = TABLES, bits: int = TABLE_BITS) -> list[int]:
 
 
 def _keys(fp: Column, masks: list[int]) -> Column:
-    """Bucket keys: the choice of bits and their values."""
+    """(choice, key): a hash of the bits under each mask. Buckets that share a hash by chance do no harm."""
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    return F.explode(F.array(*[F.struct(F.lit(n).alias("choice"), fp.bitwiseAND(F.lit(m)).alias("bits")) for n, m in enumerate(signed)]))
+    return F.explode(F.array(*[F.struct(F.lit(n).alias("choice"), F.xxhash64(F.lit(n), fp.bitwiseAND(F.lit(m))).alias("key")) for n, m in enumerate(signed)]))
 
 
 def links(fps: DataFrame, radius: int = RADIUS, masks: list[int] | None = None, sketches: DataFrame | None = None) -> DataFrame:
     """Distinct fingerprints (fp) -> (fp, root); root stands for the component.
 
-    Fingerprints meet in buckets of equal bits. First every bucket's members are held against a few of its own members;
-    this alone joins a group of near copies, however many they are. Then only buckets that still hold several components
-    are searched: members outside the most frequent component meet the others, pairs whose coordinates in the distance
-    table differ by more than the radius are discarded, and the survivors are verified. So a group of copies is never
-    expanded into its pairs, and with :func:`block_masks` no link between different components is missed. ``sketches``
-    (fp, sketch) adds :func:`alike` as a condition of a link.
+    Fingerprints meet in buckets of equal bits. First every bucket's members are held against one of them, drawn anew for
+    every choice of bits; this alone joins a group of near copies, however many they are. Then only buckets that still
+    hold several components are searched: members outside the bucket's largest component meet the others, pairs whose
+    coordinates in the distance table differ by more than the radius are discarded, and the survivors are verified. So a
+    group of copies is never expanded into its pairs, and with :func:`block_masks` no link between different components
+    is missed. ``sketches`` (fp, sketch) adds :func:`alike` as a condition of a link.
     """
     masks = masks or block_masks(radius)
     within = lambda pairs: pairs if sketches is None else alike(cut_lineage(pairs.distinct()), sketches)
+    draws = [int(x) for x in np.random.default_rng(20260105).integers(-(1 << 63), 1 << 63, len(masks), dtype=np.int64)]
     nodes = cut_lineage(fps.select("fp", _distances(F.col("fp"), PIVOTS[:8]).alias("p0"), _distances(F.col("fp"), PIVOTS[8:]).alias("p1")))
-    keyed = nodes.select("fp", _keys(F.col("fp"), masks).alias("k")).select("fp", "k.choice", "k.bits")
-    firsts = {f"l{i}": F.min(F.col("fp").bitwiseXOR(F.lit(c))).bitwiseXOR(F.lit(c)) for i, c in enumerate(FLIPS)}
-    heads = keyed.groupBy("choice", "bits").agg(F.count("fp").alias("n"), *[c.alias(k) for k, c in firsts.items()])
-    if len(masks) > 16:  # many buckets for each fingerprint: one member of each will do
-        turn = F.get(F.array(*firsts), F.col("choice") % len(FLIPS))
-        heads = heads.select("choice", "bits", "n", *[turn.alias(k) for k in firsts])
-    heads = cut_lineage(heads.where("n > 1").drop("n"))
-    met = keyed.join(heads, ["choice", "bits"])
-    ties = F.array_distinct(F.filter(F.array(*firsts), lambda x: (F.bit_count(x.bitwiseXOR(F.col("fp"))) <= radius) & (x != F.col("fp"))))
-    first = components(within(met.select(F.col("fp").alias("u"), F.explode(ties).alias("v"))))
-
-    known = cut_lineage(nodes.join(first, nodes.fp == first.node, "left").select("fp", "p0", "p1", F.coalesce("root", "fp").alias("comp")))
-    keyed = known.select("*", _keys(F.col("fp"), masks).alias("k")).select("fp", "p0", "p1", "comp", "k.choice", "k.bits")
-    sizes = keyed.groupBy("choice", "bits", "comp").agg(F.count("fp").alias("n"))
-    mixed = sizes.groupBy("choice", "bits").agg(F.max_by("comp", "n").alias("main"), F.count("comp").alias("comps"))
-    mixed = cut_lineage(mixed.where("comps > 1").drop("comps"))
-    rows = cut_lineage(keyed.join(mixed, ["choice", "bits"]))
-    a, b = rows.where("comp <> main").alias("a"), rows.alias("b")
-    same = (F.col("a.bits") == F.col("b.bits")) & (F.col("a.choice") == F.col("b.choice")) & (F.col("a.comp") != F.col("b.comp"))
+    keyed = nodes.select("fp", _keys(F.col("fp"), masks).alias("k")).select("k.key", "fp", F.col("fp").bitwiseXOR(F.get(F.array(*[F.lit(d) for d in draws]), F.col("k.choice"))).alias("drawn"), "k.choice")
+    heads = keyed.groupBy("key").agg(F.count("fp").alias("n"), F.min("drawn").alias("low"), F.min("choice").alias("choice"))
+    head = F.col("low").bitwiseXOR(F.get(F.array(*[F.lit(d) for d in draws]), F.col("choice")))
+    heads = cut_lineage(heads.where("n > 1").select("key", head.alias("head")))
+    met = keyed.select("key", "fp").join(heads, "key").where((F.bit_count(F.col("head").bitwiseXOR(F.col("fp"))) <= radius) & (F.col("head") != F.col("fp")))
+    first = cut_lineage(components(within(met.select(F.col("fp").alias("u"), F.col("head").alias("v")))))
+
+    sizes = first.groupBy("root").agg(F.count("node").alias("size"))
+    first = cut_lineage(first.join(cut_lineage(sizes), "root"))
+    known = nodes.join(first, nodes.fp == first.node, "left").select("fp", "p0", "p1", F.coalesce("root", "fp").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
+    known = cut_lineage(known)
+    keyed = known.select("*", _keys(F.col("fp"), masks).alias("k")).select("k.key", "fp", "p0", "p1", "comp", "size")
+    mixed = keyed.groupBy("key").agg(F.max_by("comp", "size").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    mixed = cut_lineage(mixed.where("lo <> hi").select("key", "main"))
+    rows = cut_lineage(keyed.drop("size").join(mixed, "key"))
+    a, b = rows.where("comp <> main").drop("main").alias("a"), rows.drop("main").alias("b")
     close = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius
-    found = a.join(b, same & _near("a", "b", radius) & close)
+    found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & _near("a", "b", radius) & close)
     found = found.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"), F.col("a.comp").alias("cu"), F.col("b.comp").alias("cv"))
     more = components(within(found).select(F.col("cu").alias("u"), F.col("cv").alias("v")))
     return known.join(more, known.comp == more.node, "left").select("fp", F.coalesce("root", "comp").alias("root"))
@@ -171,7 +170,7 @@ def links(fps: DataFrame, radius: int = RADIUS, masks: list[int] | None = None,
 
 def _classes(marked: DataFrame, ids: DataFrame, roots: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id, n_class) of fingerprinted rows, by the components of their fingerprints (fp, first, rows)."""
-    named = cut_lineage(ids.join(cut_lineage(roots), "fp"))
+    named = cut_lineage(ids.join(roots, "fp"))
     totals = cut_lineage(named.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("rows").alias("n_class")))
     classes = cut_lineage(named.join(totals, "root").select("fp", "component_id", "n_class"))
     hidden = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
@@ -190,9 +189,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, b
     with a null doc_id keep their fingerprint, link nothing and get null in the other columns. Columns other than doc_id
     and text are not read. ``blocks`` must exceed ``radius``; more blocks mean more, smaller buckets (8 for 10^9 rows).
     """
+    spark = docs.sparkSession
     marked = cut_lineage(fingerprints(docs, width))
     ids = _ids(marked)
-    known = _classes(marked, ids, links(ids.select("fp"), radius, block_masks(radius, blocks)))
+    roots = distilled(spark, lambda: links(ids.select("fp"), radius, block_masks(radius, blocks)))
+    known = _classes(marked, ids, roots)
     return known.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_class")
 
 
@@ -205,7 +206,8 @@ def alike_documents(docs: DataFrame) -> DataFrame:
     marked = cut_lineage(fingerprints(docs, ALIKE_WIDTH, sketched=True))
     ids = _ids(marked)
     sketches = cut_lineage(marked.where("doc_id IS NOT NULL").select("doc_id", "fp", "sketch").join(ids.select(F.col("fp").alias("f"), "first"), (F.col("fp") == F.col("f")) & (F.col("doc_id") == F.col("first"))).select("fp", "sketch").dropDuplicates(["fp"]))
-    return _classes(marked.drop("sketch"), ids, links(ids.select("fp"), REACH, drawn_masks(), sketches)).drop("fp")
+    roots = cut_lineage(links(ids.select("fp"), REACH, drawn_masks(), sketches))
+    return _classes(marked.drop("sketch"), ids, roots).drop("fp")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -213,8 +215,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows that repeat a kept doc_id are kept once; rows with a null doc_id stay.
     """
-    chosen = alike_documents(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.join(cut_lineage(chosen), F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
+    chosen = lambda: alike_documents(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    known = docs.join(distilled(docs.sparkSession, chosen), F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.where("doc_id IS NULL"))
 
 
