@@ -110,6 +110,18 @@ def listing(df: DataFrame, limit: int = 200, at: str = "at", address: str | None
     return df.orderBy(F.col(at).desc(), *[c for c in ("id",) if c in df.columns]).limit(limit)
 
 
+def replay_dates(place_days: DataFrame) -> DataFrame:
+    """Issue dates that can be replayed, with their place-days, and whether a date is the latest."""
+    dates = place_days.groupBy("as_of").agg(F.count("*").alias("place_days"))
+    return dates.withColumn("latest", F.col("as_of") == place_days.agg(F.max("as_of")).scalar())
+
+
+def model_card(features: DataFrame, train_end: str, valid_end: str) -> DataFrame:
+    """Rows and dates of the parts of a temporal split, as a model card states them."""
+    part = F.when(F.col("date") <= F.lit(train_end).cast("date"), "train").when(F.col("date") <= F.lit(valid_end).cast("date"), "validation").otherwise("test")
+    return features.groupBy(part.alias("part")).agg(F.count("*").alias("rows"), F.min("date").alias("first"), F.max("date").alias("last"))
+
+
 def scale_ceiling(rates: DataFrame, value: str, q: float = 0.95, floor: float = 0.02) -> DataFrame:
     """Top of a colour scale: element floor(q*n) of the sorted rates, at least ``floor``."""
     top = order_statistic(rates, value, q, "ceiling")

@@ -788,6 +788,16 @@ QUERIES["trigger_days"] = (
     ),
 )
 
+QUERIES["replay_dates"] = (
+    lambda spark, sf: serve.replay_dates(fx.place_days(spark, sf)),
+    with_ctes("SELECT as_of, count(*) AS place_days, as_of = (SELECT max(as_of) FROM place_days) AS latest FROM place_days GROUP BY 1", *BASE),
+)
+
+QUERIES["audit_list"] = (
+    lambda spark, sf: serve.listing(table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").alias("at"), F.col("event_type").alias("action")), 300).select("id", "action"),
+    "SELECT event_id AS id, event_type AS action FROM events ORDER BY ts DESC, event_id LIMIT 300",
+)
+
 QUERIES["scale_ceiling"] = (
     lambda spark, sf: rounded(serve.scale_ceiling(fx.place_days(spark, sf).where("lead = 1"), "excess_deaths")),
     with_ctes(", r AS (SELECT excess_deaths AS e, row_number() OVER (ORDER BY excess_deaths) - 1 AS i, count(*) OVER () AS n FROM place_days WHERE lead = 1) SELECT round(greatest(e, 0.02e0), 4) + 0.0e0 AS ceiling FROM r WHERE i = floor(0.95e0 * n)", *BASE),

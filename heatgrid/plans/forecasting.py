@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from heatgrid.operators import alerts, features, forecast, metrics, ranking
+from heatgrid.operators import alerts, features, forecast, metrics, ranking, serve
 from heatgrid.operators.climatology import climatology_means
-from heatgrid.params import BAND_EDGES
+from heatgrid.params import BAND_EDGES, ExposureResponse
 from heatgrid.plans import alerting
 from heatgrid.plans import fixtures as fx
 from heatgrid.plans.common import Query, pick, rounded, table, with_ctes
 from heatgrid.session import cut_lineage, scratch_path
+from heatgrid.sources import documents
 from heatgrid.sources import weather as weather_source
 from heatgrid.streaming import alerts as alert_streams
 from heatgrid.streaming import daily as daily_streams
@@ -308,6 +309,33 @@ def model_importance(spark, sf):
 
 QUERIES["model_importance"] = (model_importance, None)
 
+QUERIES["model_card"] = (
+    lambda spark, sf: serve.model_card(fx.panel(spark, sf).select("date"), TRAIN_END, VALID_END),
+    with_ctes(
+        f"""SELECT CASE WHEN date <= DATE '{TRAIN_END}' THEN 'train' WHEN date <= DATE '{VALID_END}' THEN 'validation' ELSE 'test' END AS part,
+count(*) AS rows, min(date) AS first, max(date) AS last FROM panel GROUP BY 1""",
+        fx.PANEL,
+    ),
+)
+
+
+def validation_bundle(spark, sf):
+    """Monthly rule rates exported with their provenance and read back, one row for each rate."""
+    path, curve = scratch_path(spark, "bundle"), ExposureResponse()
+    rates = metrics.monthly_rates(_verified(spark, sf), dict(zip(("index_rule", "temp_rule"), _rules())))
+    documents.write_bundle({"rates": rates}, documents.metadata("2024-06-01T00:00:00+05:30", BAND_EDGES, {"gate": 0.5}, curve), path)
+    meta = spark.read.schema(documents.META).json(f"{path}/metadata")
+    back = spark.read.schema(rates.schema).json(f"{path}/rates")
+    one = meta.select(F.struct(F.element_at("bandEdges", 2).alias("edge"), F.col("exposureResponse.threshold").alias("threshold"))).scalar()
+    out = back.withColumn("m", one).select(F.col("month").cast("int").alias("month"), "index_rule", "temp_rule", F.col("m.edge").alias("warning_edge"), F.col("m.threshold").alias("threshold"))
+    return rounded(out)
+
+
+QUERIES["validation_bundle"] = (
+    validation_bundle,
+    with_ctes("SELECT month(date)::INTEGER AS month, round(100 * avg((y >= 48.5e0)::INT), 4) + 0.0e0 AS index_rule, round(100 * avg((t2m_max >= 40.0e0)::INT), 4) + 0.0e0 AS temp_rule, 59.5e0 AS warning_edge, 48.5e0 AS threshold FROM ver GROUP BY 1", *V),
+)
+
 # --- streams -----------------------------------------------------------------------------
 
 

@@ -9,6 +9,8 @@ from heatgrid.functions import utci as climate_index
 from heatgrid.operators import climatology, daily, ingest
 from heatgrid.plans import fixtures as fx
 from heatgrid.plans.common import Query, pick, rounded, table, with_ctes
+from heatgrid.session import scratch_path
+from heatgrid.sources import weather as weather_source
 
 QUERIES: dict[str, Query] = {}
 
@@ -537,6 +539,17 @@ QUERIES["qc_report"] = (
     lambda spark, sf: ingest.qc_report(_weather_with_faults(spark, sf)),
     with_ctes("SELECT *, rows - rows_expected AS rows_delta FROM qc", fx.HOURLY, FAULTS_SQL, QC_SQL),
 )
+
+
+def qc_report_csv(spark, sf):
+    """The report as a CSV file and back."""
+    report, path = ingest.qc_report(_weather_with_faults(spark, sf)), scratch_path(spark, "qc")
+    weather_source.write_csv(report, path)
+    return spark.read.schema(report.schema).option("header", True).csv(path)
+
+
+QUERIES["qc_report_csv"] = (qc_report_csv, QUERIES["qc_report"][1])
+
 _QC_COLS = [f"{n}_{k}" for n, *_ in _QC for k in ("nan", "out_of_range")] + ["dewpoint_exceeds_temp", "irradiance_at_midnight"]
 QUERIES["qc_summary"] = (
     lambda spark, sf: ingest.qc_summary(ingest.qc_report(_weather_with_faults(spark, sf))),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,20 @@ def read_log(spark: SparkSession, path: str, limit: int = 200) -> DataFrame:
     return log.orderBy(F.col("at").desc(), F.col("id").desc()).limit(limit)
 
 
+def write_bundle(tables: dict[str, DataFrame], meta: dict[str, object], path: str) -> None:
+    """An export as one folder: every table as JSON lines, and what it was made with beside them."""
+    for name, df in tables.items():
+        write_json(df, f"{path}/{name}")
+        spark = df.sparkSession
+    write_json(spark.range(1).select(F.from_json(F.lit(json.dumps(meta)), META).alias("m")).select("m.*"), f"{path}/metadata")
+
+
+META = (
+    "generatedAt string, bandEdges array<double>, indexWeights map<string, double>, "
+    "exposureResponse struct<threshold: double, reference: double, rrAtReference: array<double>, lagWeights: array<double>>"
+)
+
+
 def metadata(generated_at: str, edges: tuple, weights: dict, curve) -> dict[str, object]:
     """Provenance fields of an export as plain values."""
     return {
