@@ -379,7 +379,7 @@ annual AS (SELECT ahs_code, median(wt) AS a FROM yearly WHERE wt > 0 GROUP BY 1)
 share AS (SELECT ahs_code, coalesce(sum(wt) FILTER (WHERE age_years >= 65), 0)::DOUBLE / greatest(sum(wt)::DOUBLE, 1e-9) AS s65 FROM deaths WHERE year BETWEEN 2007 AND 2011 GROUP BY 1),
 lvl0 AS (SELECT d.ahs_code, d.district, pop_2011, a, 1000.0e0 * a / pop_2011 AS cdr, (SELECT 1000.0e0 * sum(a2.a) / sum(d2.pop_2011) FROM districts d2 LEFT JOIN annual a2 USING (ahs_code)) AS st, s65
   FROM districts d LEFT JOIN annual USING (ahs_code) LEFT JOIN share USING (ahs_code)),
-lvl AS (SELECT *, least(greatest(cdr / st, 0.7e0), 1.4e0) AS rel_rate, round_even(pop_2011 * 1.12e0, 0)::BIGINT AS pop_now FROM lvl0),
+lvl AS (SELECT *, CASE WHEN cdr / st IS NOT NULL THEN least(greatest(cdr / st, 0.7e0), 1.4e0) END AS rel_rate, round_even(pop_2011 * 1.12e0, 0)::BIGINT AS pop_now FROM lvl0),
 level AS (SELECT *, 7.3e0 * rel_rate AS cdr_now, 7.3e0 * rel_rate / 1000.0e0 * pop_now / 365.0e0 AS daily_deaths_mean FROM lvl)"""
 
 
