@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -21,15 +21,15 @@ SEED = 42
 STEP = 1 << 16  # shingles hashed at once
 #: Reference fingerprints, from a fixed seed: eight to a packed coordinate column.
 PIVOTS = [int(x) for x in np.random.default_rng(20260101).integers(-(1 << 63), 1 << 63, 16, dtype=np.int64)]
-#: Likeness of whole texts: shingles of five words that are shared by four texts in five, from a sketch of the smallest
-#: hash in each of SKETCH bins. Such texts differ in about ten bits, too many for equal blocks: REACH bits are allowed
-#: for, and buckets are TABLES choices of TABLE_BITS bits (97 % of pairs at ten bits meet in one of them).
-ALIKE_WIDTH, ALIKE, SKETCH, REACH, TABLES, TABLE_BITS = 5, 0.8, 128, 13, 36, 14
-SLACK = 0.035  # standard error of a sketch at that likeness: texts are not told apart beyond it
-
-_BITS = 5, 0.8, 128, 14, 48, 16
+#: Likeness of whole texts: four in five of their distinct shingles of five words are shared. Candidates agree in one of
+#: BANDS bands of ROWS smallest hashes: a pair of likeness j meets with probability 1 - (1 - j^ROWS)^BANDS, 0.9993 at 0.8.
+ALIKE_WIDTH, ALIKE, BANDS, ROWS = 5, 0.8, 24, 6
 SLACK = 0.035  # standard error of a sketch at that likeness: texts are not told apart beyond it
+BLOCK = 1 << 11  # shingles permuted at once
 
+#: The permutations behind the smallest hashes, from a fixed seed: a flip and an odd factor each.
+_FLIPS, _FACTORS = np.random.default_rng(20260106).integers(0, 1 << 32, (2, BANDS * ROWS, 1), dtype=np.uint32)
+_FACTORS = _FACTORS | np.uint32(1)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _LANES = np.arange(8, dtype=np.int64) * 256
 
@@ -45,52 +45,69 @@ def shingles(text: bytes | None, width: int) -> Iterator[np.ndarray]:
         yield np.fromiter((digest(canon[i:j], SEED) for i, j in zip(a, b)), dtype=np.uint64, count=len(a))
 
 
-def fingerprint(text: bytes | None, width: int = WIDTH, sketch: np.ndarray | None = None) -> int:
-    """Bit i is 1 if it is set in over half the shingles' XXH64; 0 without words. Signed, as Spark holds it.
-
-    ``sketch``, where given, takes each bin's smallest hash.
-    """
+def fingerprint(text: bytes | None, width: int = WIDTH) -> int:
+    """Bit i is 1 if it is set in over half the shingles' XXH64; 0 without words. Signed, as Spark holds it."""
     votes, n = np.zeros(2048, dtype=np.int64), 0
     for hashes in shingles(text, width):
         n += len(hashes)
         votes += np.bincount((hashes.view(np.uint8).reshape(-1, 8) + _LANES).ravel(), minlength=2048)
-        if sketch is not None:
-            np.minimum.at(sketch, (hashes >> np.uint64(57)).astype(np.int64), hashes & np.uint64((1 << 57) - 1))
     ones = (votes.reshape(8, 256) @ _BITS).ravel()
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH, sketched: bool = False) -> DataFrame:
-    """(doc_id, fp[, sketch]) of every row; a null or empty text has fingerprint 0. A sketch holds 16 bits of each bin's
-    smallest hash, 0 for an empty bin."""
+def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(doc_id, fp) of every row; a null or empty text has fingerprint 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [fingerprint(t.as_py(), width) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, fp bigint")
+
+
+def shingle_set(text: bytes | None, width: int = ALIKE_WIDTH) -> np.ndarray:
+    """Distinct shingle hashes in order; none without words."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles(text, width)]))
+
+
+def set_digest(hashes: np.ndarray) -> int:
+    """XXH3 of a set of shingles: texts with the same set are one node. Signed, as Spark holds it."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes(), SEED)).astype(np.int64))
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """16 bits of the smallest hash under each permutation."""
+    low, short = np.full(BANDS * ROWS, 0xFFFFFFFF, dtype=np.uint32), hashes.astype(np.uint32)
+    for at in range(0, len(short), BLOCK):
+        low = np.minimum(low, ((short[at : at + BLOCK] ^ _FLIPS) * _FACTORS).min(axis=1))
+    return ((low ^ (low >> np.uint32(16))) & np.uint32(0xFFFF)).astype("<u2").tobytes()
+
+
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, sketch) of every row; fp is the digest of the text's shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, sketches = [], []
-            for text in batch.column("text"):
-                low = np.full(SKETCH, 1 << 57, dtype=np.uint64) if sketched else None
-                fps.append(fingerprint(text.as_py(), width, low))
-                if sketched:
-                    sketches.append(np.where(low == 1 << 57, 0, low % np.uint64(65535) + np.uint64(1)).astype("<u2").tobytes())
-            arrays = [batch.column("doc_id"), pa.array(fps, pa.int64()), *([pa.array(sketches, pa.binary())] if sketched else [])]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "sketch"][: len(arrays)])
+            sets = [shingle_set(t.as_py()) for t in batch.column("text")]
+            arrays = [batch.column("doc_id"), pa.array(map(set_digest, sets), pa.int64()), pa.array(map(sketch, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint" + ", sketch binary" * sketched)
+    return rows.mapInArrow(run, "doc_id bigint, fp bigint, sketch binary")
 
 
-def alike(pairs: DataFrame, sketches: DataFrame, least: float = ALIKE) -> DataFrame:
-    """The pairs (u, v, any others) of fingerprints whose texts' sketches (fp, sketch) agree in ``least`` of their bins."""
+def alike(pairs: DataFrame, nodes: DataFrame, least: float = ALIKE - SLACK) -> DataFrame:
+    """The pairs (u, v, any others) of nodes whose sketches (fp, sketch) agree in ``least`` of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, SKETCH) for c in ("sketch_u", "sketch_v"))
-            used = (a > 0) | (b > 0)
-            same = ((a == b) & used).sum(axis=1)
-            yield batch.filter(pa.array(same >= (least - SLACK) * used.sum(axis=1))).drop_columns(["sketch_u", "sketch_v"])
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, BANDS * ROWS) for c in ("sketch_u", "sketch_v"))
+            yield batch.filter(pa.array((a == b).mean(axis=1) >= least)).drop_columns(["sketch_u", "sketch_v"])
 
-    both = pairs.join(sketches.select(F.col("fp").alias("u"), F.col("sketch").alias("sketch_u")), "u")
-    both = cut_lineage(both).join(sketches.select(F.col("fp").alias("v"), F.col("sketch").alias("sketch_v")), "v")
+    both = pairs.join(nodes.select(F.col("fp").alias("u"), F.col("sketch").alias("sketch_u")), "u")
+    both = cut_lineage(both).join(nodes.select(F.col("fp").alias("v"), F.col("sketch").alias("sketch_v")), "v")
     kept = both.select(*pairs.columns, "sketch_u", "sketch_v")
     return kept.mapInArrow(run, pairs.schema)
 
@@ -119,50 +136,58 @@ def block_masks(radius: int = RADIUS, blocks: int = BLOCKS) -> list[int]:
     return [sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
 
 
-def drawn_masks(tables: int = TABLES, bits: int = TABLE_BITS) -> list[int]:
-    """Random choices of bits, from a fixed seed."""
-    rng = np.random.default_rng(20260104)
-    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
-
-
 def _keys(fp: Column, masks: list[int]) -> Column:
     """(choice, key): a hash of the bits under each mask. Buckets that share a hash by chance do no harm."""
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     return F.explode(F.array(*[F.struct(F.lit(n).alias("choice"), F.xxhash64(F.lit(n), fp.bitwiseAND(F.lit(m))).alias("key")) for n, m in enumerate(signed)]))
 
 
-def links(fps: DataFrame, radius: int = RADIUS, masks: list[int] | None = None, sketches: DataFrame | None = None) -> DataFrame:
+def _bands(sketch: Column) -> Column:
+    """(choice, key): a hash of each band of a sketch."""
+    return F.explode(F.array(*[F.struct(F.lit(n).alias("choice"), F.xxhash64(F.lit(n), F.substring(sketch, 2 * ROWS * n + 1, 2 * ROWS)).alias("key")) for n in range(BANDS)]))
+
+
+def links(fps: DataFrame, radius: int = RADIUS, masks: list[int] | None = None) -> DataFrame:
     """Distinct fingerprints (fp) -> (fp, root); root stands for the component.
 
-    Fingerprints meet in buckets of equal bits. First every bucket's members are held against one of them, drawn anew for
-    every choice of bits; this alone joins a group of near copies, however many they are. Then only buckets that still
-    hold several components are searched: members outside the bucket's largest component meet the others, pairs whose
-    coordinates in the distance table differ by more than the radius are discarded, and the survivors are verified. So a
-    group of copies is never expanded into its pairs, and with :func:`block_masks` no link between different components
-    is missed. ``sketches`` (fp, sketch) adds :func:`alike` as a condition of a link.
+    Fingerprints meet in buckets of equal bits, see :func:`_joined`; pairs whose coordinates in the distance table differ
+    by more than the radius are discarded, and the survivors are verified. With :func:`block_masks` no link between
+    different components is missed.
     """
     masks = masks or block_masks(radius)
-    within = lambda pairs: pairs if sketches is None else alike(cut_lineage(pairs.distinct()), sketches)
-    draws = [int(x) for x in np.random.default_rng(20260105).integers(-(1 << 63), 1 << 63, len(masks), dtype=np.int64)]
     nodes = cut_lineage(fps.select("fp", _distances(F.col("fp"), PIVOTS[:8]).alias("p0"), _distances(F.col("fp"), PIVOTS[8:]).alias("p1")))
-    keyed = nodes.select("fp", _keys(F.col("fp"), masks).alias("k")).select("k.key", "fp", F.col("fp").bitwiseXOR(F.get(F.array(*[F.lit(d) for d in draws]), F.col("k.choice"))).alias("drawn"), "k.choice")
+    close = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius
+    return _joined(nodes, _keys(F.col("fp"), masks), len(masks), F.bit_count(F.col("head").bitwiseXOR(F.col("fp"))) <= radius, _near("a", "b", radius) & close)
+
+
+def _joined(nodes: DataFrame, keys: Column, choices: int, held: Column, near: Column, within: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+    """Nodes (fp, any others) that meet in buckets -> (fp, root).
+
+    First every bucket's members are held against one of them, drawn anew for every choice of buckets; this alone joins a
+    group of near copies, however many they are. Then only buckets that still hold several components are searched:
+    members outside the bucket's largest component meet the others. So a group of copies is never expanded into its
+    pairs. ``held`` is the condition on a member and its head, ``near`` that on a pair (a, b); ``within`` keeps the pairs
+    (u, v, any others) that are links.
+    """
+    draws = [int(x) for x in np.random.default_rng(20260105).integers(-(1 << 63), 1 << 63, choices, dtype=np.int64)]
+    others = [c for c in nodes.columns if c not in ("fp", "sketch")]
+    keyed = nodes.select("fp", keys.alias("k")).select("k.key", "fp", F.col("fp").bitwiseXOR(F.get(F.array(*[F.lit(d) for d in draws]), F.col("k.choice"))).alias("drawn"), "k.choice")
     heads = keyed.groupBy("key").agg(F.count("fp").alias("n"), F.min("drawn").alias("low"), F.min("choice").alias("choice"))
     head = F.col("low").bitwiseXOR(F.get(F.array(*[F.lit(d) for d in draws]), F.col("choice")))
     heads = cut_lineage(heads.where("n > 1").select("key", head.alias("head")))
-    met = keyed.select("key", "fp").join(heads, "key").where((F.bit_count(F.col("head").bitwiseXOR(F.col("fp"))) <= radius) & (F.col("head") != F.col("fp")))
+    met = keyed.select("key", "fp").join(heads, "key").where(held & (F.col("head") != F.col("fp")))
     first = cut_lineage(components(within(met.select(F.col("fp").alias("u"), F.col("head").alias("v")))))
 
     sizes = first.groupBy("root").agg(F.count("node").alias("size"))
     first = cut_lineage(first.join(cut_lineage(sizes), "root"))
-    known = nodes.join(first, nodes.fp == first.node, "left").select("fp", "p0", "p1", F.coalesce("root", "fp").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
+    known = nodes.join(first, nodes.fp == first.node, "left").select(*nodes.columns, F.coalesce("root", "fp").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
     known = cut_lineage(known)
-    keyed = known.select("*", _keys(F.col("fp"), masks).alias("k")).select("k.key", "fp", "p0", "p1", "comp", "size")
+    keyed = known.select("*", keys.alias("k")).select("k.key", "fp", *others, "comp", "size")
     mixed = keyed.groupBy("key").agg(F.max_by("comp", "size").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     mixed = cut_lineage(mixed.where("lo <> hi").select("key", "main"))
     rows = cut_lineage(keyed.drop("size").join(mixed, "key"))
     a, b = rows.where("comp <> main").drop("main").alias("a"), rows.drop("main").alias("b")
-    close = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= radius
-    found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & _near("a", "b", radius) & close)
+    found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & near)
     found = found.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"), F.col("a.comp").alias("cu"), F.col("b.comp").alias("cv"))
     more = components(within(found).select(F.col("cu").alias("u"), F.col("cv").alias("v")))
     return known.join(more, known.comp == more.node, "left").select("fp", F.coalesce("root", "comp").alias("root"))
@@ -200,14 +225,14 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, b
 def alike_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id, n_class): rows whose texts share four in five of their five-word shingles, and theirs in turn.
 
-    Fingerprints of up to REACH differing bits are candidates, sketches of the texts decide. Null and empty texts are
-    alike; nulls and repeated rows are treated as in :func:`near_duplicates`.
+    Texts that agree in a band of their sketches are candidates, the sketches decide. Null and empty texts are alike;
+    nulls and repeated rows are treated as in :func:`near_duplicates`.
     """
-    marked = cut_lineage(fingerprints(docs, ALIKE_WIDTH, sketched=True))
-    ids = _ids(marked)
-    sketches = cut_lineage(marked.where("doc_id IS NOT NULL").select("doc_id", "fp", "sketch").join(ids.select(F.col("fp").alias("f"), "first"), (F.col("fp") == F.col("f")) & (F.col("doc_id") == F.col("first"))).select("fp", "sketch").dropDuplicates(["fp"]))
-    roots = cut_lineage(links(ids.select("fp"), REACH, drawn_masks(), sketches))
-    return _classes(marked.drop("sketch"), ids, roots).drop("fp")
+    marked = cut_lineage(sketches(docs))
+    nodes = cut_lineage(marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("rows"), F.any_value("sketch").alias("sketch")))
+    within = lambda pairs: alike(cut_lineage(pairs.distinct()), nodes)
+    roots = cut_lineage(_joined(nodes.select("fp", "sketch"), _bands(F.col("sketch")), BANDS, F.lit(True), F.lit(True), within))
+    return _classes(marked.drop("sketch"), nodes.drop("sketch"), roots).drop("fp")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

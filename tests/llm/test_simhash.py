@@ -118,6 +118,25 @@ def test_alike_documents(spark):
     assert right >= 0.97 * len(group)
 
 
+def shingle_pair(rnd, tag, n, shared):
+    """Two texts of n words that share their first ``shared`` words, and the likeness of their five-word shingles."""
+    words = [f"{tag}{rnd.getrandbits(32):x}" for _ in range(n)]
+    other = words[:shared] + [f"{tag}{rnd.getrandbits(32):x}" for _ in range(n - shared)]
+    sets = [{tuple(w[i : i + 5]) for i in range(n - 4)} for w in (words, other)]
+    return " ".join(words), " ".join(other), len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_isolated_pairs_of_four_in_five(spark):
+    rnd = random.Random(11)
+    pairs = [shingle_pair(rnd, f"p{n}x", 304, 273 + n % 7) for n in range(400)]
+    assert all(0.81 < j < 0.85 for *_, j in pairs)
+    rows = [(2 * n + k, pairs[n][k]) for n in range(len(pairs)) for k in (0, 1)]
+    got = {r.doc_id: r.component_id for r in simhash.alike_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    found = sum(got[2 * n + 1] == 2 * n for n in range(len(pairs)))
+    assert found >= 0.9 * len(pairs)
+    assert all(got[2 * n] == 2 * n and got[2 * n + 1] in (2 * n, 2 * n + 1) for n in range(len(pairs)))
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], T.StructType.fromDDL("doc_id bigint, text string"))
     assert simhash.near_duplicates(empty).count() == 0
