@@ -23,8 +23,8 @@ STEP = 1 << 16  # shingles hashed at once
 PIVOTS = [int(x) for x in np.random.default_rng(20260101).integers(-(1 << 63), 1 << 63, 16, dtype=np.int64)]
 #: Likeness of whole texts: four in five of their distinct shingles of five words are shared. Candidates agree in one of
 #: BANDS bands of ROWS smallest hashes: a pair of likeness j meets with probability 1 - (1 - j^ROWS)^BANDS, 0.9993 at 0.8.
-ALIKE_WIDTH, ALIKE, BANDS, ROWS = 5, 0.8, 24, 6
-SLACK = 0.035  # standard error of a sketch at that likeness: texts are not told apart beyond it
+ALIKE_WIDTH, ALIKE, BANDS, ROWS = 5, (4, 5), 24, 6
+LOOSE = 0.65  # part of two sketches that agrees if the texts are to be compared: 4.5 standard errors below ALIKE
 BLOCK = 1 << 11  # shingles permuted at once
 
 #: The permutations behind the smallest hashes, from a fixed seed: a flip and an odd factor each.
@@ -90,15 +90,15 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column("text")]
-            arrays = [batch.column("doc_id"), pa.array(map(set_digest, sets), pa.int64()), pa.array(map(sketch, sets), pa.binary())]
+            found = [(set_digest(h), sketch(h)) for h in (shingle_set(t.as_py()) for t in batch.column("text"))]
+            arrays = [batch.column("doc_id"), pa.array([d for d, _ in found], pa.int64()), pa.array([k for _, k in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, fp bigint, sketch binary")
 
 
-def alike(pairs: DataFrame, nodes: DataFrame, least: float = ALIKE - SLACK) -> DataFrame:
+def alike(pairs: DataFrame, nodes: DataFrame, least: float = LOOSE) -> DataFrame:
     """The pairs (u, v, any others) of nodes whose sketches (fp, sketch) agree in ``least`` of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,6 +112,34 @@ def alike(pairs: DataFrame, nodes: DataFrame, least: float = ALIKE - SLACK) -> D
     return kept.mapInArrow(run, pairs.schema)
 
 
+def shingle_table(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(fp, shingles) of the nodes ``wanted`` (fp, first): the distinct shingle hashes, read from the document ``first``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for n, text in enumerate(batch.column("text"), 1):
+                held.append(shingle_set(text.as_py()))
+                size += len(held[-1])
+                if size > STEP or n == batch.num_rows:
+                    arrays = [pa.array(map(set_digest, held), pa.int64()), pa.array([h.view(np.int64) for h in held], pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["fp", "shingles"])
+                    held, size = [], 0
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    rows = rows.join(wanted.select("first").distinct(), F.col("doc_id") == F.col("first"), "left_semi")
+    read = rows.select("text").mapInArrow(run, "fp bigint, shingles array<bigint>")
+    return read.join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.any_value("shingles").alias("shingles"))
+
+
+def settled(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (u, v, any others) whose shingles (fp, shingles) have a Jaccard likeness of ALIKE or more."""
+    both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("set_u")), "u")
+    both = both.join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("set_v")), "v")
+    shared = F.size(F.array_intersect("set_u", "set_v"))
+    return both.where(sum(ALIKE) * shared >= ALIKE[0] * (F.size("set_u") + F.size("set_v"))).select(*pairs.columns)
+
+
 def _distances(fp: Column, pivots: list[int]) -> Column:
     """Distances to eight reference fingerprints, one in each byte of a bigint."""
     out = F.lit(0).cast("bigint")
@@ -225,12 +253,18 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, b
 def alike_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id, n_class): rows whose texts share four in five of their five-word shingles, and theirs in turn.
 
-    Texts that agree in a band of their sketches are candidates, the sketches decide. Null and empty texts are alike;
-    nulls and repeated rows are treated as in :func:`near_duplicates`.
+    Texts that agree in a band of their sketches are candidates; sketches that are far apart rule pairs out, and the
+    shingles themselves settle the others. Null and empty texts are alike; nulls and repeated rows are treated as in
+    :func:`near_duplicates`.
     """
     marked = cut_lineage(sketches(docs))
     nodes = cut_lineage(marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("rows"), F.any_value("sketch").alias("sketch")))
-    within = lambda pairs: alike(cut_lineage(pairs.distinct()), nodes)
+
+    def within(pairs: DataFrame) -> DataFrame:
+        pairs = cut_lineage(alike(cut_lineage(pairs.distinct()), nodes))
+        ends = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
+        return settled(pairs, cut_lineage(shingle_table(docs, cut_lineage(nodes.select("fp", "first").join(ends, "fp")))))
+
     roots = cut_lineage(_joined(nodes.select("fp", "sketch"), _bands(F.col("sketch")), BANDS, F.lit(True), F.lit(True), within))
     return _classes(marked.drop("sketch"), nodes.drop("sketch"), roots).drop("fp")
 
