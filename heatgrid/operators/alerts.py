@@ -261,10 +261,11 @@ def transition_history(moves: DataFrame, limit: int = 200) -> DataFrame:
     return moves.orderBy(F.col("date").desc(), "scope", "place_id").limit(limit)
 
 
-def match_subscriptions(alerts: DataFrame, subs: DataFrame) -> DataFrame:
+def match_subscriptions(alerts: DataFrame, subs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """(alert, subscriber) pairs by ward, district or city, at or above the level asked for.
 
     The three alternatives become one equality join on (scope, kind, key).
+    ``carry`` names further columns of an alert.
     """
     def keys(scope: str, kind: str, c: str) -> Column:
         listed = F.coalesce(F.col(c), F.array().cast("array<string>"))
@@ -281,11 +282,11 @@ def match_subscriptions(alerts: DataFrame, subs: DataFrame) -> DataFrame:
         F.col("scope") == "ward",
         F.array(F.struct(F.lit("id").alias("kind"), F.col("place_id").cast("string").alias("key")), F.struct(F.lit("city").alias("kind"), F.col("city").cast("string").alias("key"))),
     ).otherwise(F.array(F.struct(F.lit("district").alias("kind"), F.col("district").cast("string").alias("key"))))
-    sides = alerts.select("alert_id", "scope", "level", F.explode(offered).alias("o")).select("alert_id", "scope", "level", "o.*")
+    sides = alerts.select("alert_id", *carry, "scope", "level", F.explode(offered).alias("o")).select("alert_id", *carry, "scope", "level", "o.*")
     return (
         sides.join(asked, ["scope", "kind", "key"])
         .where(F.col("level") >= F.col("min_level"))
-        .select("alert_id", "subscription_id")
+        .select("alert_id", "subscription_id", *carry)
         .distinct()
     )
 

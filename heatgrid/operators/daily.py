@@ -108,6 +108,19 @@ def daily_aggregates(indices: Sequence[str]) -> list[Column]:
     return [f(c).alias(f"{c}_{n}") for c in indices for n, f in (("max", F.max), ("mean", F.avg), ("min", F.min))]
 
 
+def day_statistics(indices: Sequence[str], ts: str = "ts_ist") -> list[Column]:
+    """Aggregates of a day's hours; the night's two parts stand on the date they fall on."""
+    hour = F.hour(ts)
+    night = [c for c in NIGHT_INDICES if c in indices]
+    return [
+        *daily_aggregates(indices),
+        *[F.min(F.when(hour >= NIGHT_START_HOUR, F.col(c))).alias(f"{c}_evening") for c in night],
+        *[F.min(F.when(hour < NIGHT_END_HOUR, F.col(c))).alias(f"{c}_morning") for c in night],
+        degree_hours("wbgt").alias("wbgt_degree_hours"),
+        *exceedance_counts("wbgt", WBGT_HOUR_THRESHOLDS, "wbgt_hours_above_"),
+    ]
+
+
 def aggregate_daily(hourly: DataFrame, indices: Sequence[str] = DAILY_INDICES) -> DataFrame:
     """One row per (cell, local date) with statistics, night minima and heat hours.
 
@@ -115,24 +128,15 @@ def aggregate_daily(hourly: DataFrame, indices: Sequence[str] = DAILY_INDICES) -
     evening and morning minima are taken on the date they fall on and combined
     on the small daily result.
     """
-    hour = F.hour("ts_ist")
     night = [c for c in NIGHT_INDICES if c in indices]
-    evening = [F.min(F.when(hour >= NIGHT_START_HOUR, F.col(c))).alias(f"_{c}_evening") for c in night]
-    morning = [F.min(F.when(hour < NIGHT_END_HOUR, F.col(c))).alias(f"_{c}_morning") for c in night]
-    per_day = hourly.groupBy("cell_id", F.to_date("ts_ist").alias("date")).agg(
-        *daily_aggregates(indices),
-        *evening,
-        *morning,
-        degree_hours("wbgt").alias("wbgt_degree_hours"),
-        *exceedance_counts("wbgt", WBGT_HOUR_THRESHOLDS, "wbgt_hours_above_"),
-    )
+    per_day = hourly.groupBy("cell_id", F.to_date("ts_ist").alias("date")).agg(*day_statistics(indices))
     w = Window.partitionBy("cell_id").orderBy("date")
     adjacent = F.lag("date").over(w) == F.date_sub("date", 1)
     minima = {
-        f"{c}_night_min": F.least(F.col(f"_{c}_morning"), F.when(adjacent, F.lag(f"_{c}_evening").over(w)))
+        f"{c}_night_min": F.least(F.col(f"{c}_morning"), F.when(adjacent, F.lag(f"{c}_evening").over(w)))
         for c in night
     }
-    return per_day.withColumns(minima).drop(*[f"_{c}_{part}" for c in night for part in ("evening", "morning")])
+    return per_day.withColumns(minima).drop(*[f"{c}_{part}" for c in night for part in ("evening", "morning")])
 
 
 def night_minimum(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heatgrid.functions import scaling
@@ -24,15 +24,23 @@ def compute_index(
     ``daily`` must carry the anomaly rank; a stored 90th percentile marks hot
     days, otherwise a rank of 90 does.
     """
-    weights = weights or IndexWeights()
-    rank, p90 = f"{value}_pct_rank", f"{value}_p90"
-    missing = [c for c in (rank, utci, night) if c not in daily.columns]
+    missing = [c for c in (f"{value}_pct_rank", utci, night) if c not in daily.columns]
     if missing:
         raise KeyError(f"the index needs {missing}; attach the climatology first")
-    hot = F.col(value) >= F.col(p90) if p90 in daily.columns else F.col(rank) >= 90.0
-    w = weights.normalised()
-    gate = scaling.physiological_gate(value)
-    parts = spell_length(daily, hot, calendar=calendar).withColumns(
+    return score(spell_length(daily, hot_day(daily, value), calendar=calendar), weights, value, utci, night)
+
+
+def hot_day(daily: DataFrame, value: str = "wbgt_max") -> Column:
+    """Whether a day counts towards a spell."""
+    rank, p90 = f"{value}_pct_rank", f"{value}_p90"
+    return F.col(value) >= F.col(p90) if p90 in daily.columns else F.col(rank) >= 90.0
+
+
+def score(spells: DataFrame, weights: IndexWeights | None = None, value: str = "wbgt_max", utci: str = "utci_max", night: str = "wbgt_night_min") -> DataFrame:
+    """Components, index and band of days that carry their anomaly rank and ``spell_days``."""
+    weights = weights or IndexWeights()
+    rank, w, gate = f"{value}_pct_rank", weights.normalised(), scaling.physiological_gate(value)
+    parts = spells.withColumns(
         {
             "htsi_gate": gate,
             "htsi_intensity": scaling.scale_intensity(utci),

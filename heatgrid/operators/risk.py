@@ -50,10 +50,12 @@ def excess_deaths(df: DataFrame, lags: Sequence[str], curve: ExposureResponse |
 
 def district_daily(daily: DataFrame) -> DataFrame:
     """District-day means over the cells a district owns."""
+    return daily.groupBy("ahs_code", "date").agg(*district_statistics(daily.columns))
+
+
+def district_statistics(columns: Sequence[str]) -> list[Column]:
     means = ("wbgt_max", "utci_max", "t2m_max", "wbgt_night_min")
-    return daily.groupBy("ahs_code", "date").agg(
-        F.avg("htsi").alias("htsi"), F.max("htsi").alias("htsi_max"), *[F.avg(c).alias(c) for c in means if c in daily.columns]
-    )
+    return [F.avg("htsi").alias("htsi"), F.max("htsi").alias("htsi_max"), *[F.avg(c).alias(c) for c in means if c in columns]]
 
 
 def attach_baseline(district_days: DataFrame, baseline: DataFrame, vuln: DataFrame) -> DataFrame:

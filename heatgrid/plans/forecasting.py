@@ -14,7 +14,6 @@ from heatgrid.plans.common import Query, pick, rounded, table, with_ctes
 from heatgrid.session import cut_lineage, scratch_path
 from heatgrid.sources import documents
 from heatgrid.sources import weather as weather_source
-from heatgrid.streaming import alerts as alert_streams
 from heatgrid.streaming import daily as daily_streams
 
 QUERIES: dict[str, Query] = {}
@@ -382,29 +381,6 @@ QUERIES["stream_nights"] = (
 )
 
 
-def stream_levels(spark, sf):
-    """Alert changes from a stream of forecasts, up to a week before the last; equal to the batch fold."""
-    days = alerts.as_days(fx.place_days(spark, sf))
-    stream = alert_streams.stream_state(_landed(days, spark, "days"), alerting.POLICY, "7 days")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        out = daily_streams.run_to_table(stream, "levels")
-    finally:
-        spark.conf.set(provider, before)
-    return out.select("scope", "place_id", "date", "from_level", "to_level")
-
-
-QUERIES["stream_levels"] = (
-    stream_levels,
-    with_ctes(
-        f"SELECT scope, place_id, date, {alerting._NAME.format(l='was')} AS from_level, {alerting._NAME.format(l='level')} AS to_level FROM states_moves WHERE date <= (SELECT max(as_of) FROM targets) - INTERVAL 7 DAY",
-        *alerting.STATE, recursive=True,
-    ),
-)
-
-
 def nwp_daily(spark, sf):
     """Forecast responses nested from the events, unfolded and indexed per day."""
     h = fx.hourly(spark, sf)

@@ -522,11 +522,15 @@ QUERIES["group_quantiles"] = (
 # --- district risk ------------------------------------------------------------------
 
 
+def risk_inputs(spark, sf):
+    """Baseline deaths and vulnerability of the districts."""
+    base = mortality.build_baseline(fx.deaths(spark, sf), _districts(spark))
+    return base, _districts(spark).select("ahs_code", (F.lit(0.75) + F.lit(0.6) * F.col("ahs_code") / F.lit(30.0)).alias("vuln_mult"))
+
+
 def _risk(spark, sf):
     daily = fx.indexed(spark, sf).withColumn("ahs_code", (F.col("cell_id") % 10 + 1).cast("int"))
-    base = mortality.build_baseline(fx.deaths(spark, sf), _districts(spark))
-    vuln = _districts(spark).select("ahs_code", (F.lit(0.75) + F.lit(0.6) * F.col("ahs_code") / F.lit(30.0)).alias("vuln_mult"))
-    return risk.district_risk(daily, base, vuln)
+    return risk.district_risk(daily, *risk_inputs(spark, sf))
 
 
 def _rr(name: str) -> str:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,13 +62,26 @@ def late_rows(query: StreamingQuery, seen: dict[int, int]) -> None:
         seen[p["batchId"]] = max(seen.get(p["batchId"], 0), sum(op["numRowsDroppedByWatermark"] for op in p["stateOperators"]))
 
 
-def run_to_table(stream: DataFrame, name: str, stats: dict | None = None) -> DataFrame:
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed processors need, for as long as a query starts and runs."""
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(provider, before)
+
+
+def run_to_table(stream: DataFrame, name: str, stats: dict | None = None, places: tuple[str, str] | None = None) -> DataFrame:
     """Process everything available into a table in the shared folder and read it back.
 
-    ``stats`` receives the number of late rows.
+    ``stats`` receives the number of late rows. ``places``, the table's folder and
+    that of the state, lets a later call go on where this one ended.
     """
     spark = stream.sparkSession
-    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+    out, state = places or (scratch_path(spark, name), scratch_path(spark, f"{name}-state"))
     query = (
         stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     )

@@ -8,10 +8,11 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from heatgrid.operators import alerts, daily
+from heatgrid.operators import alerts, climatology, daily, index, risk
 from heatgrid.params import AlertParams
 from heatgrid.streaming import alerts as alert_streams
 from heatgrid.streaming import daily as daily_streams
+from heatgrid.streaming import live
 
 HOURLY = "cell_id int, ts_ist timestamp_ntz, t2m double, wbgt double, utci double"
 DAY = "struct<lead: int, htsi: double, band: string, p_warning: double, p_watch: double, q10: double, q90: double>"
@@ -84,9 +85,12 @@ def test_levels_as_a_stream_equal_the_fold(spark, tmp_path, rocksdb):
     df = spark.createDataFrame(rows, schema)
     for i, (a, b) in enumerate([("2024-05-01", "2024-05-09"), ("2024-05-10", "2024-05-17"), ("2024-05-18", "2024-05-31")]):
         land(df.where(F.col("as_of").between(a, b)), tmp_path, f"{i}")
-    out = daily_streams.run_to_table(alert_streams.stream_state(source(spark, schema, tmp_path, 1000), cfg, "0 seconds"), "levels")
+    land(alert_streams.closing_day(df, 3), tmp_path, "end")
+    out = daily_streams.run_to_table(alert_streams.stream_state(source(spark, schema, tmp_path, 1000), cfg, "3 days"), "levels")
+    changes, rejected = alert_streams.split_outcomes(out)
     fold = alerts.transitions(alerts.run_state(alerts.target_level(df, cfg), cfg))
-    got = sorted((r.place_id, r.date, r.from_level, r.to_level) for r in out.collect())
+    got = sorted((r.place_id, r.date, r.from_level, r.to_level) for r in changes.collect())
+    assert rejected.count() == 0 and max(r[1] for r in got) >= date(2024, 5, 23)  # the last days are there
     want = sorted((r.place_id, r.date, r["from"], r.to) for r in fold.collect())
     assert got == want and len(got) > 10
 
@@ -106,11 +110,15 @@ def test_a_late_emergency_still_raises_the_alert(spark, tmp_path, rocksdb):
                 os.utime(os.path.join(root, f), (stamp, stamp))
     found = {}
     for lateness in ("10 days", "1 day"):
-        stats = {}
-        out = daily_streams.run_to_table(alert_streams.stream_state(source(spark, schema, tmp_path), cfg, lateness), "late-levels", stats)
-        found[lateness] = [(str(r.date), r.to_level) for r in out.orderBy("date", F.desc("level")).collect()], stats["late_rows"]
-    assert found["10 days"][0][0] == ("2024-05-04", "Emergency") and found["10 days"][1] == 0
-    assert found["1 day"] == ([], 1)
+        out = daily_streams.run_to_table(alert_streams.stream_state(source(spark, schema, tmp_path), cfg, lateness), "late-levels")
+        changes, rejected = alert_streams.split_outcomes(out)
+        found[lateness] = [(str(r.date), r.to_level) for r in changes.orderBy("date", F.desc("level")).collect()], [tuple(r) for r in rejected.collect()]
+    assert found["10 days"][0][0] == ("2024-05-04", "Emergency") and found["10 days"][1] == []
+    assert found["1 day"] == ([], [("ward", "1", date(2024, 5, 4), "Emergency", 3)])
+
+
+def test_closing_an_empty_feed(spark):
+    assert alert_streams.closing_day(spark.createDataFrame([], f"as_of date, scope string, place_id string, days array<{DAY}>"), 3).count() == 0
 
 
 def test_late_rows_of_more_batches_than_a_query_remembers(spark, tmp_path):
@@ -134,15 +142,61 @@ def test_late_rows_of_more_batches_than_a_query_remembers(spark, tmp_path):
 
 
 def test_dispatch_owes_nothing_twice(spark, tmp_path):
-    schema = "alert_id string, scope string, place_id string, city string, district string, level int"
-    a = spark.createDataFrame([("A", "ward", "1", "c", "9", 2)], schema)
+    schema = "alert_id string, scope string, place_id string, city string, district string, level int, since date"
+    a = spark.createDataFrame([("A", "ward", "1", "c", "9", 2, date(2024, 5, 1)), ("B", "ward", "2", "c", "9", 2, date(2024, 5, 2))], schema)
     subs = spark.createDataFrame([(1, 1, ["1"], None, ["c"])], "id long, min_level int, wards array<string>, districts array<string>, cities array<string>")
-    log = str(tmp_path / "log")
+    log = tmp_path / "log"
     for i in range(2):
         land(a, tmp_path / "in", f"{i}")
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-        alert_streams.dispatch_stream(stream, subs, log, str(tmp_path / f"ck{i}")).awaitTermination()
-    assert [tuple(r) for r in spark.read.parquet(log).collect()] == [("A", 1, "sent")]
+        alert_streams.dispatch_stream(stream, subs, str(log), str(tmp_path / f"ck{i}")).awaitTermination()
+    rows = lambda: sorted((r.alert_id, r.subscription_id, r.status) for r in spark.read.schema(alert_streams.LOG).parquet(str(log)).collect())
+    assert rows() == [("A", 1, "sent"), ("B", 1, "sent")]
+
+
+def test_dispatch_reads_the_log_of_its_own_days_alone(spark, tmp_path):
+    schema = "alert_id string, scope string, place_id string, city string, district string, level int, since date"
+    subs = spark.createDataFrame([(1, 1, ["1"], None, None)], "id long, min_level int, wards array<string>, districts array<string>, cities array<string>")
+    log = tmp_path / "log"
+    spark.createDataFrame([("A", 1, "sent", date(2024, 5, 1)), ("F", 1, "failed", date(2024, 5, 1))], alert_streams.LOG).write.partitionBy("since").parquet(str(log))
+    (log / "since=2020-01-01").mkdir()
+    (log / "since=2020-01-01" / "old.parquet").write_text("an old day that cannot be read")
+    land(spark.createDataFrame([(x, "ward", "1", None, "9", 2, date(2024, 5, 1)) for x in "AFN"], schema), tmp_path / "in", "0")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    alert_streams.dispatch_stream(stream, subs, str(log), str(tmp_path / "ck")).awaitTermination()
+    sent = spark.read.schema(alert_streams.LOG).parquet(str(log)).where("since = date'2024-05-01' AND status = 'sent'")
+    assert sorted(r.alert_id for r in sent.collect()) == ["A", "F", "N"]
+
+
+def live_inputs(spark):
+    doys = range(1, 366)
+    clim = spark.createDataFrame([(c, d, 26.0 + c, 30.0, 32.0, 34.0) for c in (1, 2, 3) for d in doys], "cell_id int, doy int, wbgt_max_p50 double, wbgt_max_p90 double, wbgt_max_p95 double, wbgt_max_p98 double")
+    cells = spark.createDataFrame([(1, 1), (2, 1), (3, 2)], "cell_id int, ahs_code int")
+    base = spark.createDataFrame([(a, d, 1e6 * a, 30.0 + a) for a in (1, 2) for d in doys], "ahs_code int, doy int, pop_now double, expected_deaths double")
+    return clim, cells, base, spark.createDataFrame([(1, 1.0), (2, 1.2)], "ahs_code int, vuln_mult double")
+
+
+@pytest.mark.parametrize("files", [2, 1000])
+def test_live_payload_equals_the_batch_chain(spark, tmp_path, rocksdb, files):
+    """Days with holes, cells without a district or a climatology, several batches and one."""
+    import time
+
+    rnd, cols = random.Random(6), ("t2m", "wbgt", "utci")
+    start = datetime(2024, 5, 1)
+    rows = [(c, start + timedelta(hours=h), *(rnd.choice([None, rnd.uniform(20, 36), rnd.uniform(20, 36)]) for _ in cols)) for c in (1, 2, 3, 4) for h in range(24 * 6) if rnd.random() < 0.7 and not (c == 2 and 48 <= h < 72)]
+    df = spark.createDataFrame(rows, HOURLY)
+    for d in range(1, 7):
+        land(df.where(F.dayofmonth("ts_ist") == d), tmp_path, f"d{d}")
+        time.sleep(0.05)
+    land(spark.createDataFrame([(-1, datetime(2024, 5, 20), 1.0, 1.0, 1.0)], HOURLY), tmp_path, "end")
+    clim, cells, base, vuln = live_inputs(spark)
+    out = daily_streams.run_to_table(live.live_payload(source(spark, HOURLY, tmp_path, files), clim, cells, base, vuln, cols), "live")
+    days = index.compute_index(climatology.attach_anomaly(daily.aggregate_daily(df, cols), clim)).join(cells, "cell_id")
+    batch = risk.district_risk(days, base, vuln)
+    names = [c for c in batch.columns if c != "date"]
+    value = lambda df: [[r.date, *(None if r[c] is None else round(r[c], 9) for c in names)] for r in df.orderBy("ahs_code", "date").collect()]
+    assert value(out) == value(batch) and out.count() == 12
+    assert out.where("lag1 IS NOT NULL").count() == 10
 
 
 def test_live_feed_uses_the_batch_projection(spark, tmp_path):
