@@ -280,33 +280,110 @@ c AS (SELECT *, greatest(htsi - CASE lead WHEN 0 THEN 0.0e0 ELSE (7 + lead) / 2.
 
 # --- models ------------------------------------------------------------------------------
 
-SMALL_TREES = forecast.TreeParams(max_iter=8, depth=4, leaf_depth=4, min_rows=20, step=0.2)
+SMALL_TREES = forecast.TreeParams(max_iter=3, depth=3, leaf_depth=3, min_rows=20, step=0.3)
+LEADS = (1, 2, 3, 4, 5)
 
 
-def _trained(spark, sf):
-    f = cut_lineage(_features(spark, sf, 1)).withColumn("clim_p90_target", F.coalesce("clim_p90_target", F.lit(30.0)))
-    parts = features.temporal_split(f, TRAIN_END, VALID_END)
-    return forecast.train_horizon(parts, 1, SMALL_TREES), parts
+def _long(spark, sf, horizons):
+    df = cut_lineage(_frame(spark, sf))
+    long = features.build_all_features(df, climatology_means(df, "1999-12-31"), horizons)
+    return cut_lineage(long.withColumn("clim_p90_target", F.coalesce("clim_p90_target", F.lit(30.0))))
+
+
+#: Rows of the long feature table by part: an outcome, a full two-week window.
+LONG_SQL = f"""rolled AS (SELECT cell_id, date, count(htsi) OVER (PARTITION BY cell_id ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS full14,
+  {', '.join(f'lead(htsi, {h}) OVER (PARTITION BY cell_id ORDER BY date) AS y{h}' for h in LEADS)} FROM indexed),
+long AS (SELECT h::INTEGER AS horizon, cell_id, date, (date + h)::DATE AS target_date, CASE WHEN date + h <= DATE '{TRAIN_END}' THEN 'train' WHEN date + h <= DATE '{VALID_END}' THEN 'valid' ELSE 'test' END AS part
+  FROM rolled, (SELECT unnest([{', '.join(map(str, LEADS))}]) AS h) WHERE full14 = 14 AND [{', '.join(f'y{h}' for h in LEADS)}][h] IS NOT NULL)"""
 
 
 def model_forecast(spark, sf):
-    """One-day models fitted on the early years and scored on the later ones."""
-    models, parts = _trained(spark, sf)
-    return rounded(forecast.predict(models, parts["test"]), 3)
+    """Models of five lead times fitted on the early years, later days forecast by all: one row each, and what must hold."""
+    long = _long(spark, sf, LEADS)
+    models = forecast.train_horizons(long, TRAIN_END, VALID_END, SMALL_TREES)
+    out = forecast.predict_all(models, features.temporal_split(long, TRAIN_END, VALID_END)["test"])
+    ordered = (F.col("htsi_q10") <= F.col("htsi_q50")) & (F.col("htsi_q50") <= F.col("htsi_q90"))
+    likely = F.col("p_warning").between(0, 1) & F.col("p_watch").between(0, 1)
+    points = F.col("wbgt_max").isNotNull() & F.col("utci_max").isNotNull() & F.col("wbgt_night_min").isNotNull()
+    return out.select("horizon", "cell_id", "date", "target_date", ordered.alias("ordered"), likely.alias("likely"), points.alias("points"))
+
+
+QUERIES["model_forecast"] = (
+    model_forecast,
+    with_ctes("SELECT horizon, cell_id, date, target_date, true AS ordered, true AS likely, true AS points FROM long WHERE part = 'test'", *fx.INDEX_CTES, LONG_SQL),
+)
+
 
+def model_verification(spark, sf):
+    """Forecasts of two lead times on the validation year against persistence and climatology, with what must hold there."""
+    long = _long(spark, sf, (1, 3))
+    models = forecast.train_horizons(long, TRAIN_END, VALID_END, SMALL_TREES)
+    valid = features.temporal_split(long, TRAIN_END, VALID_END)["valid"]
+    found = forecast.verify(cut_lineage(forecast.predict_all(models, valid)))
+    sizes = F.create_map(*[F.lit(x) for h, m in models.items() for x in (h, m.sizes["train"])])
+    fell = F.create_map(*[F.lit(x) for h, m in models.items() for x in (h, all(min(q.losses) <= q.losses[0] for q in m.quantiles.values()))])
+    skill = F.abs(F.col("skill_vs_persistence") - (1 - F.col("mae_model") / F.col("mae_persistence"))) < 1e-12
+    return found.select(
+        "horizon", F.try_element_at(sizes, "horizon").cast("long").alias("n_train"), F.col("n").alias("n_valid"), (F.col("coverage") >= 0.8).alias("covered"),
+        (F.col("band_width") >= 0).alias("wide"), F.try_element_at(fell, "horizon").alias("loss_fell"), skill.alias("skill_holds"),
+        F.round("mae_persistence", 4).alias("mae_persistence"),
+    )
 
-QUERIES["model_forecast"] = (model_forecast, None)
 
+QUERIES["model_verification"] = (
+    model_verification,
+    with_ctes(
+        """SELECT horizon, count(*) FILTER (WHERE part = 'train') AS n_train, count(*) FILTER (WHERE part = 'valid') AS n_valid, true AS covered, true AS wide, true AS loss_fell, true AS skill_holds,
+round(avg(abs(h0.htsi - h1.htsi)) FILTER (WHERE part = 'valid'), 4) AS mae_persistence FROM long JOIN indexed h0 USING (cell_id, date) JOIN ahead h1 USING (cell_id, date, horizon) WHERE horizon IN (1, 3) GROUP BY 1""",
+        *fx.INDEX_CTES, LONG_SQL,
+        "ahead AS (SELECT cell_id, date, 1 AS horizon, lead(htsi, 1) OVER (PARTITION BY cell_id ORDER BY date) AS htsi FROM indexed UNION ALL SELECT cell_id, date, 3, lead(htsi, 3) OVER (PARTITION BY cell_id ORDER BY date) FROM indexed)",
+    ),
+)
 
-def model_importance(spark, sf):
-    f = cut_lineage(_features(spark, sf, 1)).withColumn("clim_p90_target", F.coalesce("clim_p90_target", F.lit(30.0)))
-    parts = features.temporal_split(f, TRAIN_END, VALID_END)
+
+def _drivers(spark, sf):
+    """What each feature adds to the one-day median of every later day."""
+    parts = features.temporal_split(_long(spark, sf, (1,)), TRAIN_END, VALID_END)
     train, valid = (cut_lineage(forecast.assemble(parts[k])) for k in ("train", "valid"))
-    models = forecast.fit_quantiles(train, valid, 1, SMALL_TREES)
-    return rounded(forecast.importance(models, spark), 4)
+    median = forecast.fit_pinball(train, valid, 0.5, SMALL_TREES)
+    return cut_lineage(forecast.contributions(forecast.HorizonModels(1, {0.5: median}), parts["test"]))
+
+
+def row_drivers(spark, sf):
+    """Expected forecast and contributions of every row add up to its forecast; the largest drivers come first."""
+    known = _drivers(spark, sf)
+    total = F.col("expected") + F.aggregate("drivers", F.lit(0.0), lambda a, d: a + d["contribution"])
+    top = forecast.row_drivers(known.withColumn("adds_up", F.abs(total - F.col("q50")) < 1e-9))
+    sizes = F.transform("drivers", lambda d: F.abs(d["contribution"]))
+    return top.select("cell_id", "date", "adds_up", (F.size("drivers") <= 4).alias("few"), (sizes == F.reverse(F.array_sort(sizes))).alias("largest_first"))
+
+
+QUERIES["row_drivers"] = (
+    row_drivers,
+    with_ctes("SELECT cell_id, date, true AS adds_up, true AS few, true AS largest_first FROM long WHERE horizon = 1 AND part = 'test'", *fx.INDEX_CTES, LONG_SQL),
+)
 
 
-QUERIES["model_importance"] = (model_importance, None)
+def model_importance(spark, sf):
+    """Mean absolute contribution by feature against the same sum taken row by row."""
+    known = _drivers(spark, sf)
+    n_features = len(features.feature_columns())
+    listed = forecast.importance(known, n_features)
+    by_row = known.agg(F.avg(F.aggregate("drivers", F.lit(0.0), lambda a, d: a + F.abs(d["contribution"]))).alias("t"), F.count("*").alias("rows"))
+    total = listed.agg(F.struct(F.sum("importance").alias("s"), F.min("importance").alias("low"), F.count("*").alias("k")).alias("x")).scalar()
+    both = by_row.withColumn("x", total)
+    return both.select("rows", (F.abs(F.col("x.s") - F.col("t")) < 1e-9).alias("adds_up"), (F.col("x.low") >= 0).alias("no_sign"), (F.col("x.k") <= n_features).alias("known"))
+
+
+QUERIES["model_importance"] = (
+    model_importance,
+    with_ctes("SELECT count(*) AS rows, true AS adds_up, true AS no_sign, true AS known FROM long WHERE horizon = 1 AND part = 'test'", *fx.INDEX_CTES, LONG_SQL),
+)
+
+QUERIES["long_features"] = (
+    lambda spark, sf: rounded(_long(spark, sf, (1, 2)).where("horizon = 2").select("cell_id", "date", "target_date", "spell_days", *[c for c in _DOUBLES if c != "clim_p90_target"])),
+    with_ctes(pick(["cell_id", "date", "target_date", "spell_days"], [c for c in _DOUBLES if c != "clim_p90_target"], "feat"), *FEATURE_CTES),
+)
 
 QUERIES["model_card"] = (
     lambda spark, sf: serve.model_card(fx.panel(spark, sf).select("date"), TRAIN_END, VALID_END),
