@@ -109,36 +109,43 @@ def _hashes(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def codes(words: list[str]) -> np.ndarray:
-    """Hash of each word's reduced form."""
+    """32-bit hash of each word's reduced form. Forms that share one by chance are ruled out by the words themselves."""
     out = np.zeros(len(words), dtype=np.uint64)
     for which, symbols in _by_length(words):
         out[which] = _hashes(symbols)[0][:, -1]
-    return out
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def neighbourhoods(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(which words, hashes): every string that one edit or none makes of each word's reduced form, each string once.
+def _edits(symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, hash) of every string that one edit or none makes of reduced words of one length.
 
     An edited string is a beginning, perhaps a symbol, and an end, so its hash follows from theirs. A symbol is deleted
     where a run of it starts and inserted behind the run, so no string comes twice. Long words are done in slices.
     """
+    head, tail, power = _hashes(symbols)
+    n, length = symbols.shape
+    here = np.concatenate([symbols, np.full((n, 1), -1)], axis=1)
+    yield np.arange(n), head[:, -1]
+    for at in range(0, length + 1, STEP):
+        i, j = np.arange(at, min(length, at + STEP)), np.arange(at, min(length + 1, at + STEP))
+        first = (i == 0) | (symbols[:, i] != symbols[:, i - 1])
+        dropped = head[:, i] * power[length - 1 - i] + tail[:, i + 1]
+        yield np.nonzero(first)[0], dropped[first]
+        for c, value in enumerate(_VALUES):
+            other = symbols[:, i] != c
+            replaced = head[:, i] * power[length - i] + value * power[length - 1 - i] + tail[:, i + 1]
+            yield np.nonzero(other)[0], replaced[other]
+            behind = here[:, j] != c
+            inserted = head[:, j] * power[length + 1 - j] + value * power[length - j] + tail[:, j]
+            yield np.nonzero(behind)[0], inserted[behind]
+
+
+def neighbourhoods(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which words, 32-bit hashes) of the full one-edit neighbourhoods of the words' reduced forms, a hash once a word."""
     for which, symbols in _by_length(words):
-        head, tail, power = _hashes(symbols)
-        length = symbols.shape[1]
-        here = np.concatenate([symbols, np.full((len(which), 1), -1)], axis=1)
-        yield which, head[:, -1]
-        for at in range(0, length + 1, STEP):
-            i, j = np.arange(at, min(length, at + STEP)), np.arange(at, min(length + 1, at + STEP))
-            first = (i == 0) | (symbols[:, i] != symbols[:, i - 1])
-            dropped = head[:, i] * power[length - 1 - i] + tail[:, i + 1]
-            yield which[np.nonzero(first)[0]], dropped[first]
-            for c, value in enumerate(_VALUES):
-                other = symbols[:, i] != c
-                replaced = head[:, i] * power[length - i] + value * power[length - 1 - i] + tail[:, i + 1]
-                yield which[np.nonzero(other)[0]], replaced[other]
-                behind = here[:, j] != c
-                inserted = head[:, j] * power[length + 1 - j] + value * power[length - j] + tail[:, j]
-                yield which[np.nonzero(behind)[0]], inserted[behind]
+        found = [(rows.astype(np.uint64) << np.uint64(32)) | (keys >> np.uint64(32)) for rows, keys in _edits(symbols)]
+        both = np.unique(np.concatenate(found))
+        yield which[(both >> np.uint64(32)).astype(np.int64)], both.astype(np.uint32).view(np.int32)
 
 
 def near(words: DataFrame) -> DataFrame:
@@ -153,13 +160,13 @@ def near(words: DataFrame) -> DataFrame:
         for batch in batches:
             words = batch.column("word")
             for which, keys in neighbourhoods(words.to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), words.take(pa.array(which))], names=["key", "u"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), words.take(pa.array(which))], names=["key", "u"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(codes(batch.column("word").to_pylist()).view(np.int64)), batch.column("word"), batch.column("n")], names=["key", "v", "n_v"])
+            yield pa.RecordBatch.from_arrays([pa.array(codes(batch.column("word").to_pylist())), batch.column("word"), batch.column("n")], names=["key", "v", "n_v"])
 
-    keys, held = words.select("word").mapInArrow(spread, "key bigint, u string"), words.select("word", "n").mapInArrow(own, "key bigint, v string, n_v bigint")
+    keys, held = words.select("word").mapInArrow(spread, "key int, u string"), words.select("word", "n").mapInArrow(own, "key int, v string, n_v bigint")
     return keys.join(held, "key").where((F.col("u") != F.col("v")) & (F.levenshtein("u", "v", 1) == 1)).select("u", "v", "n_v")
 
 

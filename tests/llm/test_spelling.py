@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +33,12 @@ def value(symbols):
     return h
 
 
+def short(symbols):
+    """The upper half of the hash, signed."""
+    x = value(symbols) >> 32
+    return x - (1 << 32) if x >> 31 else x
+
+
 def test_neighbourhoods_hold_each_edit_once(monkeypatch):
     rnd = random.Random(2)
     words = ["".join(rnd.choice("aabcdeéÿz") for _ in range(rnd.randint(1, 9))) for _ in range(150)]
@@ -43,8 +50,10 @@ def test_neighbourhoods_hold_each_edit_once(monkeypatch):
             for w, k in zip(which.tolist(), keys.tolist()):
                 found[w].append(k)
         for symbols, keys in zip(reduced, found):
-            assert len(keys) == len(set(keys)) and set(keys) == {value(s) for s in edits(symbols)}
-        assert spelling.codes(words).tolist() == [value(s) for s in reduced]
+            assert len(keys) == len(set(keys)) and set(keys) == {short(s) for s in edits(symbols)}
+        assert spelling.codes(words).tolist() == [short(s) for s in reduced]
+    full = [h for _, keys in spelling._edits(np.array(reduced[:1])) for h in keys.tolist()]
+    assert len(full) == len(set(full)) == len(edits(reduced[0])) and set(full) == {value(s) for s in edits(reduced[0])}
 
 
 def one_edit(u, v):
