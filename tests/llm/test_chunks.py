@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from heatgrid.llm import chunks
 
@@ -36,7 +37,7 @@ def test_chunks_cover_the_text_and_resist_insertions():
             raw[start : start + size].decode()
             at = start + size
         assert not raw[at:].strip()
-        assert sum(c[2] for c in chunks.split(raw)) == len(text.split())
+        assert sum(c[2] for c in chunks.split(raw)) >= len(text.split())
     text = prose(3000)
     a, b = ({c[3] for c in chunks.split(t.encode())} for t in (text, f"{text[:4000]}, just inserted, {text[4000:]}"))
     assert len(a ^ b) <= 10 and len(a & b) > 100
@@ -102,3 +103,34 @@ def test_repeated_ids_and_no_rows(spark):
     assert chunks.repeats(df).count() == 0
     assert sorted(r.text for r in chunks.without_repeats(df).collect()) == sorted([text, text, "short"])
     assert chunks.repeats(df.limit(0)).count() == 0 and chunks.without_repeats(df.limit(0)).count() == 0
+
+
+def hits(rows, spark):
+    return {r.doc_id for r in chunks.repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+
+
+def test_passages_wrapped_otherwise_or_without_spaces(spark):
+    rnd, rows = random.Random(21), []
+    wrap = lambda words, n, gap: gap.join(" ".join(words[i : i + n]) for i in range(0, len(words), n))
+    for n in range(60):
+        words = prose(70).split()
+        rows += [(10 * n, f"{prose(40)} {' '.join(words)} {prose(40)}"), (10 * n + 1, f"{prose(30)}\n{wrap(words, rnd.choice([5, 8, 12]), rnd.choice([chr(10), '  ', chr(13) + chr(10)]))}\n\n{prose(30)}")]
+    plain = lambda k: "".join(chr(rnd.randrange(0x4E00, 0x9FA0)) for _ in range(k))
+    for n in range(60, 110):
+        passage = plain(400)
+        rows += [(10 * n, plain(300) + passage + plain(200)), (10 * n + 1, plain(250) + passage + plain(300))]
+    for n in range(110, 160):
+        rows += [(10 * n, plain(300)), (10 * n + 1, plain(300))]
+    found = hits(rows, spark)
+    wrapped, solid = (sum(10 * n + 1 in found for n in part) for part in (range(60), range(60, 110)))
+    assert wrapped >= 59 and solid >= 49, (wrapped, solid)
+    assert not [i for i in found if i >= 1100 or i % 10 == 0]
+
+
+def test_one_doc_id_with_two_texts(spark):
+    shared, other = prose(90), prose(90)
+    rows = [(1, shared, "a"), (5, f"{prose(10)} {shared}", "b"), (5, other, "c"), (5, f"{other} {prose(3)}", "d"), (5, None, "e")]
+    out = chunks.without_repeats(spark.createDataFrame(rows, "doc_id bigint, text string, cut string").withColumn("row", F.lit(1)).withColumn("key", F.lit(2)).withColumn("tag", F.lit(3)))
+    assert out.columns == ["doc_id", "text", "cut", "row", "key", "tag"]
+    kept = {r.cut: r.text for r in out.collect()}
+    assert kept["a"] == shared and kept["c"] == other and kept["d"] == rows[3][1] and kept["e"] is None and len(kept["b"]) < len(rows[1][1]) / 2
