@@ -43,19 +43,23 @@ def coverage_pairs(sites: DataFrame, points: DataFrame, radius_km: float, by: st
     return s.join(p, [by, "_band", "_col"]).withColumn("distance_km", dist).where(F.col("distance_km") <= radius_km).select(by, "site_id", "ward_id", "distance_km")
 
 
-def max_cover(pairs: DataFrame, demand: DataFrame, n: int, by: str = "city") -> tuple[DataFrame, DataFrame]:
+def max_cover(pairs: DataFrame, demand: DataFrame, n: int, by: str = "city", recomputed: list[int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Greedy maximal cover of every city at once.
 
-    Each round sums the uncovered demand per site, takes the best site of every
-    city and removes what it covers. A city stops once the best gain is zero
-    (after its first pick). Returns the chosen sites (city, rank, site, gain)
-    and the covered points (city, ward, rank).
+    The gain of every site is summed once. Each round takes the best site of
+    every city; then only the sites that share a newly covered point with it
+    are summed again, over their points that are still uncovered: the gains of
+    the others stand. The pairs are written once and never rewritten. A city
+    stops once the best gain is zero (after its first pick). Returns the chosen
+    sites (city, rank, site, gain) and the covered points (city, ward, rank).
+    ``recomputed`` receives the number of pairs summed in every round.
     """
-    left = pairs.join(demand.select("ward_id", "demand"), "ward_id").select(by, "site_id", "ward_id", "demand")
-    left = cut_lineage(left)
+    left = cut_lineage(pairs.join(demand.select("ward_id", "demand"), "ward_id").select(by, "site_id", "ward_id", "demand"))
+    gains = cut_lineage(left.groupBy(by, "site_id").agg(F.sum("demand").alias("gain")))
+    if recomputed is not None:
+        recomputed.append(left.count())
     chosen = covered = None
     for rank in range(1, n + 1):
-        gains = left.groupBy(by, "site_id").agg(F.sum("demand").alias("gain"))
         best = gains.groupBy(by).agg(F.min(F.struct((-F.col("gain")).alias("g"), F.col("site_id"))).alias("b"))
         best = best.select(by, F.col("b.site_id").alias("site_id"), (-F.col("b.g")).alias("gain"))
         if rank > 1:
@@ -63,20 +67,43 @@ def max_cover(pairs: DataFrame, demand: DataFrame, n: int, by: str = "city") ->
         best = cut_lineage(best.withColumn("rank", F.lit(rank)))
         if best.isEmpty():
             break
-        got = left.join(best.select(by, "site_id"), [by, "site_id"], "left_semi").select(by, "ward_id").withColumn("rank", F.lit(rank))
-        got = cut_lineage(got)
+        got = left.join(best.select(by, "site_id"), [by, "site_id"], "left_semi").select(by, "ward_id")
+        if covered is not None:
+            got = got.join(covered.select(by, "ward_id"), [by, "ward_id"], "left_anti")
+        got = cut_lineage(got.withColumn("rank", F.lit(rank)))
         chosen = best if chosen is None else chosen.unionByName(best)
         covered = got if covered is None else covered.unionByName(got)
         if rank < n:
-            rest = left.join(got.select(by, "ward_id"), [by, "ward_id"], "left_anti")
-            taken = best.select(by, "site_id")
-            left = cut_lineage(rest.join(taken, [by, "site_id"], "left_anti"))
+            touched = cut_lineage(left.join(got.select(by, "ward_id"), [by, "ward_id"], "left_semi").select(by, "site_id").distinct())
+            open_pairs = left.join(touched, [by, "site_id"], "left_semi").join(covered.select(by, "ward_id"), [by, "ward_id"], "left_anti")
+            fresh = open_pairs.groupBy(by, "site_id").agg(F.sum("demand").alias("gain"), F.count("*").alias("_n"))
+            fresh = cut_lineage(fresh)
+            if recomputed is not None:
+                recomputed.append(int(fresh.agg(F.sum("_n")).first()[0] or 0))
+            gains = cut_lineage(gains.join(touched, [by, "site_id"], "left_anti").unionByName(fresh.drop("_n")))
     return chosen, covered
 
 
 def locations(wards: DataFrame, by: str = "city") -> DataFrame:
-    """Wards at the same spot as one location under their smallest id."""
-    return wards.groupBy(by, "lat", "lon").agg(F.min("ward_id").alias("ward_id"), F.sum("demand").alias("demand"))
+    """Wards at the same spot as one location under their smallest id, with their number."""
+    return wards.groupBy(by, "lat", "lon").agg(F.min("ward_id").alias("ward_id"), F.sum("demand").alias("demand"), F.count("*").alias("n_wards"))
+
+
+def coverage(wards: DataFrame, radius_km: float = InterventionParams.radius_km, by: str = "city") -> tuple[DataFrame, DataFrame]:
+    """Coverage between the wards of a city, compressed: (pairs of spots, membership).
+
+    Pairs are (city, site_spot, ward_spot, distance_km, n_sites, n_wards): every
+    ward at the first spot reaches every ward at the second. A spot goes by its
+    smallest ward_id; the membership (city, spot, ward_id) has one row for each
+    ward. Their join is the list of all pairs, which grows with the square of a
+    crowded spot and is never formed here.
+    """
+    spots = cut_lineage(locations(wards, by))
+    size = lambda spot, name: spots.select(by, F.col("ward_id").alias(spot), F.col("n_wards").alias(name))
+    pairs = coverage_pairs(spots, spots, radius_km, by, site_id="ward_id").withColumnsRenamed({"site_id": "site_spot", "ward_id": "ward_spot"})
+    pairs = pairs.join(size("site_spot", "n_sites"), [by, "site_spot"]).join(size("ward_spot", "n_wards"), [by, "ward_spot"])
+    members = wards.select(by, "lat", "lon", "ward_id").join(spots.select(by, "lat", "lon", F.col("ward_id").alias("spot")), [by, "lat", "lon"])
+    return pairs.select(by, "site_spot", "ward_spot", "distance_km", "n_sites", "n_wards"), members.select(by, "spot", "ward_id")
 
 
 def cooling_plan(wards: DataFrame, n: int, radius_km: float = InterventionParams.radius_km, by: str = "city") -> tuple[DataFrame, DataFrame]:
@@ -85,7 +112,7 @@ def cooling_plan(wards: DataFrame, n: int, radius_km: float = InterventionParams
     Pairs are formed between distinct locations only; wards that share a spot
     are covered together and expanded at the end.
     """
-    spots = cut_lineage(locations(wards, by))
+    spots = cut_lineage(locations(wards, by).drop("n_wards"))
     chosen, covered = max_cover(coverage_pairs(spots, spots, radius_km, by, site_id="ward_id"), spots, n, by)
     at = spots.withColumnRenamed("ward_id", "_spot").drop("demand")
     members = wards.select(by, "lat", "lon", "ward_id").join(at, [by, "lat", "lon"])

@@ -389,18 +389,26 @@ CASE WHEN lead > 0 THEN 'alerts@example.org,' || scope || '-' || place_id || '-'
 
 
 def action_plans(spark, sf):
-    """Agency actions joined to the alerts of their level."""
+    """The plan of every level that has alerts: agencies with their actions, and how many alerts ask for them."""
     _, a = _dictionaries(spark)
-    st = _states(spark, sf).where("level > 0")
-    plan = a.where("language = 'en'").select("band", "audience", F.size("actions").alias("actions"))
-    return st.select("alert_id", "band").join(plan, "band").groupBy("band", "audience").agg(F.count("*").alias("alerts"), F.max("actions").alias("actions"))
+    counts = cut_lineage(_states(spark, sf).where("level > 0").groupBy("band").agg(F.count("*").alias("alerts")))
+    out = None
+    for band in ("Watch", "Warning", "Emergency"):
+        plan = alerts.action_plan(a, band, agencies=("public", "hospitals", "municipal")).select(F.lit(band).alias("band"), F.explode("plan").alias("audience", "actions"))
+        out = plan if out is None else out.unionByName(plan)
+    return out.join(counts, "band").select("band", "audience", F.array_join("actions", "|").alias("actions"), "alerts")
+
+
+def _plan_rows() -> str:
+    rows = [f"('{b}', '{a}', '{'|'.join(x.replace('{unknown}', '') for x in actions)}')" for lang, a, b, actions in _AUDIENCES if lang == "en"]
+    return f"plans(band, audience, actions) AS (VALUES {', '.join(rows)})"
 
 
 QUERIES["action_plans"] = (
     action_plans,
     with_ctes(
-        f"SELECT {_NAME.format(l='level')} AS band, audience, count(*) AS alerts, 3 AS actions FROM act, (VALUES ('public'), ('hospitals'), ('municipal')) v(audience) WHERE level > 0 GROUP BY 1, 2",
-        *STATE, ACTIVE_SQL, recursive=True,
+        f"SELECT band, audience, actions, alerts FROM plans JOIN (SELECT {_NAME.format(l='level')} AS band, count(*) AS alerts FROM act WHERE level > 0 GROUP BY 1) USING (band)",
+        *STATE, ACTIVE_SQL, _plan_rows(), recursive=True,
     ),
 )
 
@@ -425,11 +433,20 @@ CITY_SQL = """cw AS (SELECT city, ward_id, 20.0e0 + city * 0.2e0 + (ward_id * 37
 pairs AS (SELECT a.city, a.ward_id AS site_id, b.ward_id, 2 * 6371.0e0 * asin(sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2)) AS km
   FROM cw a JOIN cw b ON a.city = b.city)"""
 
+SPOT_SQL = """spots AS (SELECT city, lat, lon, min(ward_id) AS spot, count(*) AS n FROM cw GROUP BY 1, 2, 3),
+spot_pairs AS (SELECT a.city, a.spot AS site_spot, b.spot AS ward_spot, a.n AS n_sites, b.n AS n_wards,
+  2 * 6371.0e0 * asin(sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2)) AS km
+  FROM spots a JOIN spots b ON a.city = b.city AND abs(a.lat - b.lat) < 0.02)"""
+
 QUERIES["coverage_pairs"] = (
-    lambda spark, sf: rounded(siting.coverage_pairs(_city_wards(spark, sf), _city_wards(spark, sf), 1.5, site_id="ward_id")),
-    with_ctes("SELECT city, site_id, ward_id, round(km, 4) + 0.0e0 AS distance_km FROM pairs WHERE km <= 1.5e0", fx.WARDS, CITY_SQL),
+    lambda spark, sf: rounded(siting.coverage(_city_wards(spark, sf), 1.5)[0]),
+    with_ctes("SELECT city, site_spot, ward_spot, n_sites, n_wards, round(km, 4) + 0.0e0 AS distance_km FROM spot_pairs WHERE km <= 1.5e0", fx.WARDS, CITY_SQL, SPOT_SQL),
 )
 
+QUERIES["coverage_members"] = (
+    lambda spark, sf: siting.coverage(_city_wards(spark, sf), 1.5)[1],
+    with_ctes("SELECT cw.city, spot, ward_id FROM cw JOIN spots USING (city, lat, lon)", fx.WARDS, CITY_SQL, SPOT_SQL),
+)
 
 ROUNDS = 5
 

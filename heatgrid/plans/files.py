@@ -35,6 +35,33 @@ QUERIES["panel_roundtrip"] = (
 )
 
 
+def cell_year_files(spark, sf):
+    """Hourly files named by cell and year, with others beside them that do not match, scanned back and counted by file."""
+    h = fx.hourly(spark, sf).withColumns({"year": F.year("ts_utc"), "stamp": F.date_format("ts_utc", "yyyyMMddHH")})
+    path = scratch_path(spark, "hourly")
+    weather.write_cell_years(h, path)
+    h.select("stamp").limit(3).write.mode("append").csv(path)
+    raw = weather.read_hourly_csv(spark, path)
+    cells = weather.inventory(raw)
+    by_file = raw.groupBy("lat", "lon", "year").agg(F.count("*").alias("n"), F.min("stamp").alias("first"), F.max("stamp").alias("last"), F.avg("T2M").alias("t2m"), F.max("PS").alias("ps"))
+    return rounded(by_file.join(cells, ["lat", "lon", "year"]))
+
+
+QUERIES["cell_year_files"] = (
+    cell_year_files,
+    with_ctes("SELECT lat, lon, year(ts_utc)::INTEGER AS year, count(*) AS n, min(strftime(ts_utc, '%Y%m%d%H')) AS first, max(strftime(ts_utc, '%Y%m%d%H')) AS last, round(avg(t2m), 4) + 0.0e0 AS t2m, round(max(ps), 4) + 0.0e0 AS ps FROM hourly GROUP BY 1, 2, 3", fx.HOURLY),
+)
+
+
+def worst_offenders(spark, sf):
+    """The first ten rows that break a rule, as an error message lists them."""
+    e = table(spark, sf, "events").select("event_id", "value").where("event_id % 7 = 3 AND value < 40")
+    return spark.createDataFrame(geojson.sample_violations(e, "event_id", 10), e.schema)
+
+
+QUERIES["worst_offenders"] = (worst_offenders, "SELECT event_id, value FROM events WHERE event_id % 7 = 3 AND value < 40 ORDER BY event_id LIMIT 10")
+
+
 def sorted_table(spark, sf):
     """Range-sorted table, with the place at which each row lies in its files."""
     path = scratch_path(spark, "sorted")

@@ -395,15 +395,30 @@ count(*) AS rows, min(date) AS first, max(date) AS last FROM panel GROUP BY 1"""
 )
 
 
+def _bundle(spark, sf):
+    """Every metric table of the verification, published as one unit with its provenance."""
+    v = cut_lineage(_verified(spark, sf))
+    coverage = metrics.interval_coverage(v, 1.5, by=["cell_id"])
+    tables = {
+        "rates": metrics.monthly_rates(v, dict(zip(("index_rule", "temp_rule"), _rules()))),
+        "errors": metrics.forecast_error(v),
+        "coverage": coverage,
+        "warnings": metrics.prf(v, F.col("q50") >= EDGE, _obs()),
+        "brier": metrics.brier(v, "p", _obs()),
+        "reliability": metrics.reliability(v, "p", _obs()),
+        "thresholds": metrics.best_threshold(v, "p", _obs()),
+        "disagreement": metrics.rule_disagreement(v, *_rules()),
+    }
+    path = scratch_path(spark, "bundle")
+    documents.write_bundle(tables, documents.metadata("2024-06-01T00:00:00+05:30", BAND_EDGES, {"gate": 0.5}, ExposureResponse()), path)
+    return path
+
+
 def validation_bundle(spark, sf):
-    """Monthly rule rates exported with their provenance and read back, one row for each rate."""
-    path, curve = scratch_path(spark, "bundle"), ExposureResponse()
-    rates = metrics.monthly_rates(_verified(spark, sf), dict(zip(("index_rule", "temp_rule"), _rules())))
-    documents.write_bundle({"rates": rates}, documents.metadata("2024-06-01T00:00:00+05:30", BAND_EDGES, {"gate": 0.5}, curve), path)
-    meta = spark.read.schema(documents.META).json(f"{path}/metadata")
-    back = spark.read.schema(rates.schema).json(f"{path}/rates")
-    one = meta.select(F.struct(F.element_at("bandEdges", 2).alias("edge"), F.col("exposureResponse.threshold").alias("threshold"))).scalar()
-    out = back.withColumn("m", one).select(F.col("month").cast("int").alias("month"), "index_rule", "temp_rule", F.col("m.edge").alias("warning_edge"), F.col("m.threshold").alias("threshold"))
+    """Monthly rule rates of a bundle with their provenance, read back, one row for each rate."""
+    back = documents.read_bundle(spark, _bundle(spark, sf))
+    one = back["metadata"].select(F.struct(F.element_at("bandEdges", 2).alias("edge"), F.col("exposureResponse.threshold").alias("threshold"))).scalar()
+    out = back["rates"].withColumn("m", one).select(F.col("month").cast("int").alias("month"), "index_rule", "temp_rule", F.col("m.edge").alias("warning_edge"), F.col("m.threshold").alias("threshold"))
     return rounded(out)
 
 
@@ -412,6 +427,15 @@ QUERIES["validation_bundle"] = (
     with_ctes("SELECT month(date)::INTEGER AS month, round(100 * avg((y >= 48.5e0)::INT), 4) + 0.0e0 AS index_rule, round(100 * avg((t2m_max >= 40.0e0)::INT), 4) + 0.0e0 AS temp_rule, 59.5e0 AS warning_edge, 48.5e0 AS threshold FROM ver GROUP BY 1", *V),
 )
 
+QUERIES["bundle_manifest"] = (
+    lambda spark, sf: documents.check_bundle(spark, _bundle(spark, sf)),
+    with_ctes(
+        """SELECT 'rates' AS name, count(DISTINCT month(date)) AS rows, true AS intact FROM ver UNION ALL SELECT 'coverage', count(DISTINCT cell_id), true FROM ver UNION ALL SELECT 'reliability', 10, true
+UNION ALL SELECT unnest(['errors', 'warnings', 'brier', 'thresholds', 'disagreement']), 1, true""",
+        *V,
+    ),
+)
+
 # --- streams -----------------------------------------------------------------------------
 
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
+from pyspark.sql.types import StructType
 
 
 def r(c: str, digits: int) -> Column:
@@ -71,12 +73,61 @@ def read_log(spark: SparkSession, path: str, limit: int = 200) -> DataFrame:
     return log.orderBy(F.col("at").desc(), F.col("id").desc()).limit(limit)
 
 
-def write_bundle(tables: dict[str, DataFrame], meta: dict[str, object], path: str) -> None:
-    """An export as one folder: every table as JSON lines, and what it was made with beside them."""
+MANIFEST = "name string, rows long, checksum long, schema string"
+
+
+def _marks(df: DataFrame) -> DataFrame:
+    """(rows, checksum) of a table, whatever the order of its rows."""
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(F.xxhash64(*df.columns)), F.lit(0)).alias("checksum"))
+
+
+def write_bundle(tables: dict[str, DataFrame], meta: dict[str, object], path: str) -> str:
+    """Publish tables and what they were made with as one unit; returns the folder of this version.
+
+    Every call writes a version of its own. The manifest, with rows, checksum and
+    schema of every table, is written last from the tables as they lie there; a
+    version without a finished manifest is no version, so a bundle that broke off
+    half-way is never read, and the version before it still is.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = f"{path}/versions/{time.time_ns():020d}-{uuid.uuid4().hex}"
+    listed = None
+    for name, df in tables.items():
+        write_json(df, f"{version}/{name}")
+        row = _marks(spark.read.schema(df.schema).json(f"{version}/{name}")).select(F.lit(name).alias("name"), "rows", "checksum", F.lit(df.schema.json()).alias("schema"))
+        listed = row if listed is None else listed.unionByName(row)
+    write_json(spark.range(1).select(F.from_json(F.lit(json.dumps(meta)), META).alias("m")).select("m.*"), f"{version}/metadata")
+    write_json(listed, f"{version}/manifest")
+    return version
+
+
+def current_bundle(spark: SparkSession, path: str) -> str:
+    """Folder of the newest version whose manifest was finished."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/versions/*/manifest/_SUCCESS")
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop) or []
+    if not len(found):
+        raise FileNotFoundError(f"no finished bundle in {path}")
+    return f"{path}/versions/{max(f.getPath().getParent().getParent().getName() for f in found)}"
+
+
+def read_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the current version, with the schemas they were written with, and its metadata."""
+    version = current_bundle(spark, path)
+    manifest = spark.read.schema(MANIFEST).json(f"{version}/manifest").collect()  # one row for each table
+    tables = {r.name: spark.read.schema(StructType.fromJson(json.loads(r.schema))).json(f"{version}/{r.name}") for r in manifest}
+    return {**tables, "metadata": spark.read.schema(META).json(f"{version}/metadata")}
+
+
+def check_bundle(spark: SparkSession, path: str) -> DataFrame:
+    """(name, rows, intact) of every table of the current version: what the manifest says, and whether it still holds."""
+    version, tables = current_bundle(spark, path), read_bundle(spark, path)
+    manifest = spark.read.schema(MANIFEST).json(f"{version}/manifest")
+    found = None
     for name, df in tables.items():
-        write_json(df, f"{path}/{name}")
-        spark = df.sparkSession
-    write_json(spark.range(1).select(F.from_json(F.lit(json.dumps(meta)), META).alias("m")).select("m.*"), f"{path}/metadata")
+        if name != "metadata":
+            row = _marks(df).select(F.lit(name).alias("name"), F.col("rows").alias("_rows"), F.col("checksum").alias("_checksum"))
+            found = row if found is None else found.unionByName(row)
+    return manifest.join(found, "name").select("name", "rows", ((F.col("rows") == F.col("_rows")) & (F.col("checksum") == F.col("_checksum"))).alias("intact"))
 
 
 META = (

@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from heatgrid.functions import calendar
 from heatgrid.params import VALUE_COLUMNS
+from heatgrid.session import scratch_path
 
 #: ``{lat}_{lon}_{year}.csv``: fixed pattern.
 FILE_GLOB = "*_*_[0-9][0-9][0-9][0-9].csv"
@@ -60,6 +61,27 @@ def read_hourly_csv(spark: SparkSession, path: str, strict: bool = True) -> Data
     return named.select("stamp", *VALUE_COLUMNS, "file").withColumns(file_parts(F.col("file"))).where(F.col("year").isNotNull())
 
 
+def write_cell_years(hours: DataFrame, path: str) -> None:
+    """Hourly rows (lat, lon, year, stamp and the value columns) as one file for each cell and year, named by them.
+
+    Spark names its files itself, so each lies in a folder of the wanted name
+    first and is moved in the folder's place at the end. A file holds a cell's
+    hours of one year, which bounds it.
+    """
+    spark = hours.sparkSession
+    name = F.concat_ws("_", F.col("lat").cast("string"), F.col("lon").cast("string"), F.col("year").cast("string"))
+    rows = hours.select(F.concat(name, F.lit(".csv")).alias("file"), "stamp", *VALUE_COLUMNS)
+    header = rows.toDF("file", "", *VALUE_COLUMNS)
+    staged = scratch_path(spark, "cell-years")
+    header.repartition("file").sortWithinPartitions("file", header[""]).write.partitionBy("file").option("header", True).option("emptyValue", "").csv(staged)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    goal = jvm.org.apache.hadoop.fs.Path(path)
+    fs = goal.getFileSystem(conf)
+    fs.mkdirs(goal)
+    for part in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staged}/file=*/part-*.csv")):
+        fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(goal, part.getPath().getParent().getName().removeprefix("file=")))
+
+
 def inventory(raw: DataFrame) -> DataFrame:
     """Distinct (lat, lon, year) on disk; stops when there is none."""
     found = raw.select("lat", "lon", "year").distinct()

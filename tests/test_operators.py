@@ -238,6 +238,25 @@ def test_dedupe_keeps_one_of_many_copies(spark):
     assert [(r.k, r.survey, r.x) for r in got] == [("a", "0", 0), ("b", "9", 1)]
 
 
+def test_dedupe_equals_a_plain_sort(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.choice([None, "a", "b", str(rnd.randrange(200))]), rnd.choice([None, "x", "y"]), rnd.choice("123"), rnd.choice([None, 1, 2])) for _ in range(600)]
+    df = spark.createDataFrame(rows, "k string, l string, survey string, x int").repartition(5)
+    first = {}
+    for r in sorted(rows, key=lambda r: (r[2], r[3] is not None, r[3] or 0)):
+        first.setdefault(r[:2], r)
+    out = mortality.dedupe_first(df, ["k", "l"], ["survey"])
+    assert out.columns == df.columns
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, first.values()))
+
+
+def test_dedupe_does_not_sort_rows_that_stand_alone(spark):
+    df = spark.range(5000).select(F.col("id").cast("string").alias("k"), F.lit("t").alias("survey"))
+    plan = mortality.dedupe_first(df, ["k"], ["survey"])._jdf.queryExecution().executedPlan().toString()
+    alone = plan.split("SortAggregate")[0]
+    assert "LeftAnti" in alone and "Sort " not in alone
+
+
 def test_features_know_nothing_ahead(spark):
     df, _ = daily_frame(spark, 120, 1)
     base = df.withColumns({"htsi": F.col("wbgt_max"), "utci_max": F.col("wbgt_max"), "t2m_max": F.col("wbgt_max"), "wbgt_night_min": F.col("wbgt_max"), "spell_days": F.lit(0), "wbgt_max_p90": F.lit(30.0), "lat": F.lit(20.0), "lon": F.lit(85.0)})
@@ -271,6 +290,32 @@ def test_never_more_centres_than_asked_or_sites(spark):
     assert cover(spark, wards, 9, 1.0)[0].count() == 5
 
 
+def test_only_touched_sites_are_summed_again(spark):
+    """Far groups of wards: a round looks at the pairs of one group, not at all."""
+    rnd = random.Random(2)
+    wards = [("c", f"{g:02d}{i}", 20 + g * 0.2 + rnd.random() * 0.002, 85.0, float(rnd.randint(1, 50))) for g in range(20) for i in range(8)]
+    w = spark.createDataFrame(wards, "city string, ward_id string, lat double, lon double, demand double")
+    pairs = siting.coverage_pairs(w, w, 1.0, site_id="ward_id")
+    recomputed = []
+    chosen, _ = siting.max_cover(pairs, w, 6, recomputed=recomputed)
+    assert [r.site_id for r in chosen.orderBy("rank").collect()] == greedy(wards, 6, 1.0)
+    assert recomputed[0] == 20 * 64 and all(n <= 64 for n in recomputed[1:]) and len(recomputed) == 6
+
+
+def test_coverage_is_compressed_and_whole(spark):
+    rnd = random.Random(5)
+    spots = [(20 + rnd.random() * 0.02, 85 + rnd.random() * 0.02) for _ in range(12)]
+    wards = [("c", f"{i:04d}", *rnd.choice(spots), 1.0) for i in range(400)]
+    w = spark.createDataFrame(wards, "city string, ward_id string, lat double, lon double, demand double")
+    pairs, members = siting.coverage(w, 1.0)
+    assert pairs.count() <= 12 * 12 and members.count() == 400
+    left, right = (members.select(F.col("spot").alias(f"{side}_spot"), F.col("ward_id").alias(side)) for side in ("site", "ward"))
+    whole = pairs.join(left, "site_spot").join(right, "ward_spot").select("site", "ward")
+    want = siting.coverage_pairs(w, w, 1.0, site_id="ward_id").select("site_id", "ward_id")
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, want.collect()))
+    assert pairs.agg(F.sum(F.col("n_sites") * F.col("n_wards"))).first()[0] == want.count()
+
+
 def greedy(wards, n, radius):
     def km(a, b):
         p = math.pi / 180

@@ -158,3 +158,27 @@ def test_no_stages_are_left_after_a_job(spark, tmp_path, monkeypatch):
     assert step.count() == 5 and len(glob.glob(f"{tmp_path}/*/*")) == 3
     session.clear_scratch(spark)
     assert os.listdir(tmp_path) == []
+
+
+def test_half_written_bundle_is_never_read(spark, tmp_path):
+    import shutil
+
+    from heatgrid.sources import documents
+
+    meta = {"generatedAt": "2024", "bandEdges": [1.0], "indexWeights": {}, "exposureResponse": {"threshold": 1.0, "reference": 2.0, "rrAtReference": [1.0], "lagWeights": [1.0]}}
+    table = lambda n: {"a": spark.range(n).withColumn("x", F.col("id") / 3), "b": spark.createDataFrame([], "d date, e string")}
+    path = str(tmp_path / "bundle")
+    with pytest.raises(FileNotFoundError):
+        documents.current_bundle(spark, path)
+    first = documents.write_bundle(table(5), meta, path)
+    second = documents.write_bundle(table(7), meta, path)
+    assert documents.current_bundle(spark, path).endswith(second.rsplit("/", 1)[1])
+    back = documents.read_bundle(spark, path)
+    assert sorted(back) == ["a", "b", "metadata"] and back["a"].schema == table(1)["a"].schema
+    assert sorted(map(tuple, back["a"].collect())) == sorted(map(tuple, table(7)["a"].collect())) and back["b"].count() == 0
+    assert sorted(map(tuple, documents.check_bundle(spark, path).collect())) == [("a", 7, True), ("b", 0, True)]
+    shutil.rmtree(f"{second}/manifest")  # as if the job had died before its last step
+    assert documents.read_bundle(spark, path)["a"].count() == 5
+    broken = next((tmp_path / "bundle" / "versions" / first.rsplit("/", 1)[1] / "a").glob("part-*.json"))
+    broken.write_text(broken.read_text().replace("0.0", "0.5") + "\n")
+    assert not documents.check_bundle(spark, path).where("name = 'a' AND intact").count()
