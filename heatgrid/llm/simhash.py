@@ -24,6 +24,7 @@ PIVOTS = [int(x) for x in np.random.default_rng(20260101).integers(-(1 << 63), 1
 #: Likeness of whole texts: four in five of their distinct shingles of five words are shared. Candidates agree in one of
 #: BANDS bands of ROWS smallest hashes: a pair of likeness j meets with probability 1 - (1 - j^ROWS)^BANDS, 0.9993 at 0.8.
 ALIKE_WIDTH, ALIKE, BANDS, ROWS = 5, (4, 5), 24, 6
+HEADS = 2  # rounds of drawn members after the first
 LOOSE = 0.65  # part of two sketches that agrees if the texts are to be compared: 4.5 standard errors below ALIKE
 BLOCK = 1 << 11  # shingles permuted at once
 
@@ -86,16 +87,18 @@ def sketch(hashes: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, sketch) of every row; fp is the digest of the text's shingles."""
+    """(doc_id, text_mark, fp, sketch) of every row; fp is the digest of the text's shingles, text_mark the text's XXH64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(set_digest(h), sketch(h)) for h in (shingle_set(t.as_py()) for t in batch.column("text"))]
-            arrays = [batch.column("doc_id"), pa.array([d for d, _ in found], pa.int64()), pa.array([k for _, k in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "sketch"])
+            texts = [t.as_py() for t in batch.column("text")]
+            found = [(set_digest(h), sketch(h)) for h in map(shingle_set, texts)]
+            marks = np.array([xxhash.xxh64_intdigest(t or b"", SEED) for t in texts], dtype=np.uint64).view(np.int64)
+            arrays = [batch.column("doc_id"), pa.array(marks), pa.array([d for d, _ in found], pa.int64()), pa.array([k for _, k in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_mark", "fp", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, fp bigint, sketch binary")
+    return rows.mapInArrow(run, "doc_id bigint, text_mark bigint, fp bigint, sketch binary")
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, least: float = LOOSE) -> DataFrame:
@@ -136,8 +139,12 @@ def settled(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v, any others) whose shingles (fp, shingles) have a Jaccard likeness of ALIKE or more."""
     both = pairs.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("set_u")), "u")
     both = both.join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("set_v")), "v")
-    shared = F.size(F.array_intersect("set_u", "set_v"))
-    return both.where(sum(ALIKE) * shared >= ALIKE[0] * (F.size("set_u") + F.size("set_v"))).select(*pairs.columns)
+    return both.where(_likeness("set_u", "set_v")).select(*pairs.columns)
+
+
+def _likeness(a: str, b: str) -> Column:
+    """Whether two sets of shingles have a Jaccard likeness of ALIKE or more."""
+    return sum(ALIKE) * F.size(F.array_intersect(a, b)) >= ALIKE[0] * (F.size(a) + F.size(b))
 
 
 def _distances(fp: Column, pivots: list[int]) -> Column:
@@ -188,17 +195,9 @@ def links(fps: DataFrame, radius: int = RADIUS, masks: list[int] | None = None)
     return _joined(nodes, _keys(F.col("fp"), masks), len(masks), F.bit_count(F.col("head").bitwiseXOR(F.col("fp"))) <= radius, _near("a", "b", radius) & close)
 
 
-def _joined(nodes: DataFrame, keys: Column, choices: int, held: Column, near: Column, within: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
-    """Nodes (fp, any others) that meet in buckets -> (fp, root).
-
-    First every bucket's members are held against one of them, drawn anew for every choice of buckets; this alone joins a
-    group of near copies, however many they are. Then only buckets that still hold several components are searched:
-    members outside the bucket's largest component meet the others. So a group of copies is never expanded into its
-    pairs. ``held`` is the condition on a member and its head, ``near`` that on a pair (a, b); ``within`` keeps the pairs
-    (u, v, any others) that are links.
-    """
+def _headed(nodes: DataFrame, keys: Column, choices: int, held: Column, within: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Nodes (fp, any others) -> the same with comp and size, after holding every bucket's members against one of them."""
     draws = [int(x) for x in np.random.default_rng(20260105).integers(-(1 << 63), 1 << 63, choices, dtype=np.int64)]
-    others = [c for c in nodes.columns if c not in ("fp", "sketch")]
     keyed = nodes.select("fp", keys.alias("k")).select("k.key", "fp", F.col("fp").bitwiseXOR(F.get(F.array(*[F.lit(d) for d in draws]), F.col("k.choice"))).alias("drawn"), "k.choice")
     heads = keyed.groupBy("key").agg(F.count("fp").alias("n"), F.min("drawn").alias("low"), F.min("choice").alias("choice"))
     head = F.col("low").bitwiseXOR(F.get(F.array(*[F.lit(d) for d in draws]), F.col("choice")))
@@ -209,7 +208,19 @@ def _joined(nodes: DataFrame, keys: Column, choices: int, held: Column, near: Co
     sizes = first.groupBy("root").agg(F.count("node").alias("size"))
     first = cut_lineage(first.join(cut_lineage(sizes), "root"))
     known = nodes.join(first, nodes.fp == first.node, "left").select(*nodes.columns, F.coalesce("root", "fp").alias("comp"), F.coalesce("size", F.lit(1)).alias("size"))
-    known = cut_lineage(known)
+    return cut_lineage(known)
+
+
+def _joined(nodes: DataFrame, keys: Column, choices: int, held: Column, near: Column) -> DataFrame:
+    """Nodes (fp, any others) that meet in buckets -> (fp, root).
+
+    First every bucket's members are held against one of them, drawn anew for every choice of buckets; this alone joins a
+    group of near copies, however many they are. Then only buckets that still hold several components are searched:
+    members outside the bucket's largest component meet the others. So a group of copies is never expanded into its
+    pairs. ``held`` is the condition on a member and its head, ``near`` that on a pair (a, b).
+    """
+    others = [c for c in nodes.columns if c != "fp"]
+    known = _headed(nodes, keys, choices, held, lambda pairs: pairs)
     keyed = known.select("*", keys.alias("k")).select("k.key", "fp", *others, "comp", "size")
     mixed = keyed.groupBy("key").agg(F.max_by("comp", "size").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     mixed = cut_lineage(mixed.where("lo <> hi").select("key", "main"))
@@ -217,17 +228,60 @@ def _joined(nodes: DataFrame, keys: Column, choices: int, held: Column, near: Co
     a, b = rows.where("comp <> main").drop("main").alias("a"), rows.drop("main").alias("b")
     found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & near)
     found = found.select(F.col("a.fp").alias("u"), F.col("b.fp").alias("v"), F.col("a.comp").alias("cu"), F.col("b.comp").alias("cv"))
-    more = components(within(found).select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    more = components(found.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
     return known.join(more, known.comp == more.node, "left").select("fp", F.coalesce("root", "comp").alias("root"))
 
 
+def _unsettled(keyed: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (key, fp) of buckets with members of several components, with their comp and the bucket's largest one, main."""
+    rows = cut_lineage(keyed.join(known.select("fp", "comp", "size"), "fp"))
+    mixed = rows.groupBy("key").agg(F.max_by("comp", "size").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    return cut_lineage(rows.drop("size").join(cut_lineage(mixed.where("lo <> hi").select("key", "main")), "key"))
+
+
+def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Known nodes (fp, comp, size) after the links (cu, cv) between components."""
+    more = cut_lineage(components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v"))))
+    moved = known.join(more, known.comp == more.node, "left").select("fp", F.coalesce("root", "comp").alias("comp"))
+    moved = cut_lineage(moved)
+    return cut_lineage(moved.join(cut_lineage(moved.groupBy("comp").agg(F.count("fp").alias("size"))), "comp").select("fp", "comp", "size"))
+
+
+def _alike_roots(nodes: DataFrame, within: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Nodes (fp, sketch) -> (fp, root), joined by every pair that meets in a band and is a link.
+
+    Every bucket's members are held against one of them. In buckets that still hold several components, a member outside
+    the largest is drawn and held against all members of others, HEADS times over: work in proportion to the members.
+    Then the few that are still outside meet the others of their bucket in a join whose condition is the likeness itself,
+    so that it makes links alone, however many texts of a family are nearly alike. ``within`` keeps the pairs (u, v, any
+    others) that are links; ``sets`` gives the shingles of nodes (fp).
+    """
+    known = _headed(nodes, _bands(F.col("sketch")), BANDS, F.lit(True), within).select("fp", "comp", "size")
+    keyed = nodes.select("fp", _bands(F.col("sketch")).alias("k")).select("k.key", "fp")
+    rows = _unsettled(keyed, known)
+    for seed in np.random.default_rng(20260107).integers(-(1 << 63), 1 << 63, HEADS, dtype=np.int64).tolist():
+        low = rows.where("comp <> main").groupBy("key").agg(F.min(F.col("fp").bitwiseXOR(F.lit(seed))).alias("low"))
+        heads = low.select("key", F.col("low").bitwiseXOR(F.lit(seed)).alias("head"))
+        heads = cut_lineage(heads.join(known.select(F.col("fp").alias("head"), F.col("comp").alias("head_comp")), "head"))
+        met = rows.join(heads, "key").where("comp <> head_comp").select(F.col("fp").alias("u"), F.col("head").alias("v"), F.col("comp").alias("cu"), F.col("head_comp").alias("cv"))
+        known = _merged(known, within(met))
+        rows = _unsettled(rows.select("key", "fp"), known)
+    held = cut_lineage(sets(cut_lineage(rows.select("fp").distinct())))
+    rows = cut_lineage(rows.join(held, "fp"))
+    a, b = rows.where("comp <> main").alias("a"), rows.alias("b")
+    once = (F.col("b.comp") == F.col("b.main")) | (F.col("a.fp") < F.col("b.fp"))
+    sizes = ALIKE[0] * F.greatest(F.size("a.shingles"), F.size("b.shingles")) <= ALIKE[1] * F.least(F.size("a.shingles"), F.size("b.shingles"))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & once & sizes & _likeness("a.shingles", "b.shingles"))
+    return _merged(known, met.select(F.col("a.comp").alias("cu"), F.col("b.comp").alias("cv"))).select("fp", F.col("comp").alias("root"))
+
+
 def _classes(marked: DataFrame, ids: DataFrame, roots: DataFrame) -> DataFrame:
-    """(doc_id, fp, component_id, n_class) of fingerprinted rows, by the components of their fingerprints (fp, first, rows)."""
+    """Fingerprinted rows (doc_id, fp, any others) with component_id and n_class, by the components of their fingerprints (fp, first, rows)."""
     named = cut_lineage(ids.join(roots, "fp"))
     totals = cut_lineage(named.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("rows").alias("n_class")))
     classes = cut_lineage(named.join(totals, "root").select("fp", "component_id", "n_class"))
     hidden = lambda c: F.when(F.col("doc_id").isNotNull(), F.col(c)).alias(c)
-    return marked.join(classes, "fp", "left").select("doc_id", "fp", hidden("component_id"), hidden("n_class"))
+    return marked.join(classes, "fp", "left").select(*marked.columns, hidden("component_id"), hidden("n_class"))
 
 
 def _ids(marked: DataFrame) -> DataFrame:
@@ -251,32 +305,38 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, b
 
 
 def alike_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id, n_class): rows whose texts share four in five of their five-word shingles, and theirs in turn.
+    """(doc_id, text_mark, component_id, n_class): rows whose texts share four in five of their five-word shingles, and theirs in turn.
 
-    Texts that agree in a band of their sketches are candidates; sketches that are far apart rule pairs out, and the
+    text_mark is the XXH64 of the text, as Spark's ``xxhash64`` gives it. Texts that agree in a band of their sketches are candidates; sketches that are far apart rule pairs out, and the
     shingles themselves settle the others. Null and empty texts are alike; nulls and repeated rows are treated as in
     :func:`near_duplicates`.
     """
     marked = cut_lineage(sketches(docs))
     nodes = cut_lineage(marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("rows"), F.any_value("sketch").alias("sketch")))
 
+    def sets(ends: DataFrame) -> DataFrame:
+        return shingle_table(docs, cut_lineage(nodes.select("fp", "first").join(ends, "fp")))
+
     def within(pairs: DataFrame) -> DataFrame:
         pairs = cut_lineage(alike(cut_lineage(pairs.distinct()), nodes))
         ends = pairs.select(F.col("u").alias("fp")).union(pairs.select(F.col("v").alias("fp"))).distinct()
-        return settled(pairs, cut_lineage(shingle_table(docs, cut_lineage(nodes.select("fp", "first").join(ends, "fp")))))
+        return settled(pairs, cut_lineage(sets(ends)))
 
-    roots = cut_lineage(_joined(nodes.select("fp", "sketch"), _bands(F.col("sketch")), BANDS, F.lit(True), F.lit(True), within))
+    roots = cut_lineage(_alike_roots(nodes.select("fp", "sketch"), within, sets))
     return _classes(marked.drop("sketch"), nodes.drop("sketch"), roots).drop("fp")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its class of :func:`alike_documents`.
 
-    Rows that repeat a kept doc_id are kept once; rows with a null doc_id stay.
+    Rows that repeat a kept doc_id and its text are kept once; a different text under the same doc_id is judged by itself.
+    Rows with a null doc_id stay. Columns keep their names, whatever these are.
     """
-    chosen = lambda: alike_documents(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    known = docs.join(distilled(docs.sparkSession, chosen), F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.where("doc_id IS NULL"))
+    known = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs.doc_id.cast("bigint").alias("key"), F.xxhash64(F.coalesce(docs.text, F.lit(""))).alias("mark"))
+    chosen = lambda: alike_documents(docs).where("doc_id = component_id").select("doc_id", "text_mark").distinct()
+    kept = distilled(docs.sparkSession, chosen)
+    rows = known.join(kept, (F.col("key") == kept.doc_id) & (F.col("mark") == kept.text_mark), "left_semi").dropDuplicates(["key", "mark"])
+    return rows.select("row.*").unionByName(known.where("key IS NULL").select("row.*"))
 
 
 def op1_simhash_pivots(spark: SparkSession, sf: str) -> DataFrame:
