@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from heatgrid.llm.common import documents
+from heatgrid.llm.common import documents, spread_join
 from heatgrid.session import cut_lineage, distilled
 
 REACH = 24  # bytes on either side over which a cut's hash is the smallest: chunks have 49 bytes on average
@@ -144,13 +144,13 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 def _runs(docs: DataFrame, min_words: int) -> DataFrame:
     """:func:`repeats` with ``tag``, which tells texts of the same doc_id apart."""
-    once = digests(docs).groupBy("d1").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    once = cut_lineage(once.where("first <> last").select("d1"))
-    found = cut_lineage(chunks(docs).join(once, "d1", "left_semi"))
-    kept = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    kept = cut_lineage(kept.where("first <> last").select("d1", "d2", "first"))
+    once = digests(docs).groupBy("d1").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    once = cut_lineage(once.where("first <> last").select("d1", "n"))
+    found = cut_lineage(spread_join(chunks(docs), once, ["d1"], "left_semi"))
+    kept = found.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
+    kept = cut_lineage(kept.where("first <> last").select("d1", "d2", "first", "n"))
     size, words = F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftright("span", 32).bitwiseAND(F.lit(0xFFFF))
-    later = found.join(kept, ["d1", "d2"]).where("doc_id <> first").distinct()
+    later = spread_join(found, kept, ["d1", "d2"]).where("doc_id <> first").distinct()
     later = later.select("doc_id", F.shiftrightunsigned("span", 48).alias("tag"), "start", (F.col("start") + size).alias("end"), words.alias("words"), "first")
     line = Window.partitionBy("doc_id", "tag").orderBy("start")
     fresh = F.coalesce(F.col("start") > F.lag("end").over(line), F.lit(True)).cast("int")
@@ -166,8 +166,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     chunks kept elsewhere count from ``min_words`` words on; start and length are bytes. first_doc_id keeps most of the
     run's chunks. The texts are cut twice: first half digests alone are shuffled, to find those that several documents
     hold, then the chunks with one of these are taken; nothing is kept of the others. Digests are summed up before the
-    shuffle as far as partitions allow; a passage that very many documents share is a skewed join of two tables, which
-    Spark splits. Null and empty texts and rows with a null doc_id have no chunks; a passage repeated within one
+    shuffle as far as partitions allow; a passage that very many documents share is dealt over all partitions. Null and empty texts and rows with a null doc_id have no chunks; a passage repeated within one
     document, or in rows that repeat a doc_id, stays. Rows of one doc_id with different texts have spans of their own.
     """
     return _runs(docs, min_words).drop("tag")

@@ -51,6 +51,21 @@ def folded(text: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     return kept.tobytes(), np.append(0, ends[:-1] + 1), ends
 
 
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``groups`` (keys, n, any others; one row a key, written), hot keys dealt over all partitions.
+
+    n tells how many rows a key has. A key with a share of 1 / partitions of them or more is hot; there are at most as
+    many hot keys as partitions, so these are broadcast to the rows, whose other columns then choose the partition.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * parts >= total
+    marks = F.broadcast(groups.where(hot).select(*keys, F.lit(True).alias("_hot")))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[c for c in rows.columns if c not in keys]), F.lit(parts)).cast("int")).otherwise(0)
+    salted = groups.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).drop("n")
+    return rows.join(marks, keys, "left").withColumn("_salt", salt).drop("_hot").join(salted, [*keys, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the edges (u, v), both bigint, as (node, root): root is the smallest node reachable.
 
