@@ -50,6 +50,16 @@ def running(rows: DataFrame, keys: list[str], order: list[str], weights: dict[st
     return out.select(*rows.columns, *[(F.col(n) + F.col(f"base_{n}")).alias(n) for n in weights])
 
 
+def goes_right(half: Column) -> Column:
+    """Whether the middle of a row's bytes lies behind ``half`` of the node's ``left`` leaves.
+
+    In twice the bytes, to stay with whole numbers, and in decimals: bytes times leaves outgrow 64 bits.
+    """
+    wide = lambda c: c.cast("decimal(22,0)")
+    few = lambda c: c.cast("decimal(14,0)")
+    return wide(2 * F.col("before") + F.col("size")) * few(F.col("left")) > wide(2 * F.col("bytes")) * few(half)
+
+
 def leaves(rows: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
     """``rows`` of :func:`measured` with ``node``, the leaf from 0 on.
 
@@ -71,8 +81,7 @@ def leaves(rows: DataFrame, shards: int | None = None, target_bytes: int | None
         order = ["at", "text_crc32", "doc_id"]
         placed = running(dealt(placed, "node", *order), ["node"], order, {"before": F.col("size")})
         half = F.floor(F.col("left") / 2).cast("int")
-        # A row belongs where its middle lies; in twice the bytes to stay with integers.
-        right = (2 * F.col("before") + F.col("size")) * F.col("left") > 2 * F.col("bytes") * half
+        right = goes_right(half)
         split = placed.select(*rows.columns, (F.col("node") + F.when((F.col("left") > 1) & right, half).otherwise(0)).alias("node"), F.when(F.col("left") <= 1, F.col("left")).when(right, F.col("left") - half).otherwise(half).alias("left"))
         now, k = cut_lineage(split), -(-k // 2)
     return now.drop("left")

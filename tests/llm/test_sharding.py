@@ -7,6 +7,7 @@ from collections import defaultdict
 from zlib import crc32
 
 import pytest
+from pyspark.sql import functions as F
 
 from heatgrid.llm import sharding
 
@@ -52,3 +53,17 @@ def test_repeated_and_no_rows(spark):
     got = sharding.shard(df, shards=2).collect()
     assert sorted(r.doc_id for r in got) == [1] * 6 + [2] and {r.shard for r in got} == {0, 1}
     assert sharding.shard(df.limit(0)).count() == 0
+
+
+def test_sizes_beyond_64_bits(spark):
+    """10^14 bytes in 781,250 leaves: the products of a node's bytes and leaves pass 2^63."""
+    rows = spark.createDataFrame([(0, 5, 10**14, 781_250), (6 * 10**13, 10**9, 10**14, 781_250), (5 * 10**13 - 5, 10, 10**14, 781_250)], "before bigint, size bigint, bytes bigint, left int")
+    got = [r[0] for r in rows.select(sharding.goes_right(F.floor(F.col("left") / 2).cast("int"))).collect()]
+    assert got == [(2 * b + s) * n > 2 * t * (n // 2) for b, s, t, n in [(0, 5, 10**14, 781_250), (6 * 10**13, 10**9, 10**14, 781_250), (5 * 10**13 - 5, 10, 10**14, 781_250)]]
+
+
+def test_target_bytes_of_large_documents(spark):
+    """Leaves of 128 MB over 13 TB in few rows: every leaf holds a row at most, and the tree ends."""
+    rows = spark.createDataFrame([(i, 2 * 10**11 + i, i, i, i % 3, i % 2) for i in range(64)], "doc_id bigint, size bigint, text_crc32 bigint, axis0 bigint, axis1 bigint, axis2 bigint")
+    got = sharding.leaves(rows, None, 2 * 10**11).groupBy("node").count().collect()
+    assert sum(r["count"] for r in got) == 64 and max(r["count"] for r in got) <= 2
