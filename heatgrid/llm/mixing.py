@@ -16,9 +16,8 @@ BUCKETS = 1024  # hashed words of the classifier
 EVIDENCE = 32.0  # words that a document's words weigh as much as, at most
 ROUNDS = 25
 TOLERANCE = 1e-7  # of the target totals
-#: Target shares of the tokens, and the tokens asked for as a part of all.
+#: Target shares of the tokens.
 SHARES = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
-BUDGET = 0.6
 
 
 def domains(labels: DataFrame) -> DataFrame:
@@ -89,8 +88,29 @@ def rate(steps: list[np.ndarray], start: float) -> Column:
     return r
 
 
-def fit_rates(soft: DataFrame, targets: np.ndarray, start: float) -> list[np.ndarray]:
-    """Steps of projected-gradient least squares for rates r >= 0 with sum of r * n_tokens * p = targets.
+@dataclass
+class Fit:
+    """A classifier, the steps that lead to the rates, and how they end.
+
+    budget: tokens asked for as a part of all; totals and targets by domain, in tokens; converged: whether every total is
+    within TOLERANCE of its target. Where no rates reach the targets, it is not, and the totals are the nearest.
+    """
+
+    by: Classifier
+    steps: list[np.ndarray]
+    budget: float
+    totals: np.ndarray
+    targets: np.ndarray
+    converged: bool
+
+    @property
+    def rate(self) -> Column:
+        return rate(self.steps, self.budget)
+
+
+def fit_rates(soft: DataFrame, targets: np.ndarray, start: float) -> tuple[list[np.ndarray], np.ndarray, bool]:
+    """Steps of projected-gradient least squares for rates r >= 0 with sum of r * n_tokens * p = targets; the totals they
+    reach; whether these are the targets.
 
     The unknowns are scaled by the square root of the tokens and the residuals by the inverse of their Gram matrix, which
     makes a step of 1 safe; one sum over ``soft`` (n_tokens, p) is taken for each step. Where no rates reach the targets,
@@ -104,43 +124,55 @@ def fit_rates(soft: DataFrame, targets: np.ndarray, start: float) -> list[np.nda
     gram = gram + np.triu(gram, 1).T
     scale = np.linalg.pinv(gram, rcond=1e-10, hermitian=True)
     steps: list[np.ndarray] = []
-    for _ in range(ROUNDS):
+    while True:
         now = soft.agg(*[F.sum(rate(steps, start) * t * p(i)).alias(f"s{i}") for i in range(k)]).first()
-        gap = np.array([x or 0.0 for x in now]) - targets
-        step = scale @ gap
-        if np.abs(gap).max() <= TOLERANCE * max(targets.sum(), 1e-300) or np.abs(step).max() < 1e-12:
-            break
+        totals = np.array([x or 0.0 for x in now])
+        step = scale @ (totals - targets)
+        done = bool(np.abs(totals - targets).max() <= TOLERANCE * max(targets.sum(), 1e-300))
+        if done or np.abs(step).max() < 1e-12 or len(steps) == ROUNDS:
+            return steps, totals, done
         steps.append(step)
-    return steps
 
 
-def fitted(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] = SHARES, budget: float = BUDGET) -> tuple[Classifier, list[np.ndarray], DataFrame]:
-    """Classifier, steps and the written table (doc_id, n_tokens, p) of all documents."""
+def fitted(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] = SHARES, budget: float | None = None) -> tuple[Fit, DataFrame]:
+    """The fit, and the written table (doc_id, n_tokens, p) of all documents.
+
+    Without a ``budget`` it is the largest for which no rate exceeds 1, so that the whole usable corpus is asked for and no
+    document twice. Rates are in proportion to the budget: they are fitted for all tokens, and the largest rate of a
+    document with tokens gives the budget.
+    """
     names = sorted(shares)
     by = fit(docs, labelled, names)
     soft = cut_lineage(posteriors(docs.select("doc_id", "text"), by).select("row.doc_id", "n_tokens", "p"))
     total = soft.agg(F.sum("n_tokens").alias("n")).first().n or 0
-    want = np.array([shares[n] for n in names]) / sum(shares.values()) * budget * total
-    return by, fit_rates(soft, want, budget), soft
+    want = np.array([shares[n] for n in names]) / sum(shares.values()) * total
+    start = 1.0 if budget is None else budget
+    steps, totals, done = fit_rates(soft, want * start, start)
+    if budget is None:
+        top = soft.where("n_tokens > 0").agg(F.max(rate(steps, start))).first()[0]
+        start = 1.0 / top if top else 1.0
+        steps, totals = [s * start for s in steps], totals * start
+    return Fit(by, steps, start, totals, want * start, done), soft
 
 
-def rates(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] = SHARES, budget: float = BUDGET) -> DataFrame:
+def rates(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] = SHARES, budget: float | None = None) -> DataFrame:
     """(doc_id, n_tokens, p_<domain>..., rate) of every row of ``docs`` (doc_id, text, any others).
 
     ``labelled`` (doc_id, domain) trains the classifier; ``shares`` names the domains and their part of ``budget`` times
-    all tokens. The rates are nonnegative and near ``budget``; the tokens they are expected to give each domain match the
-    targets as far as rates can. Null and empty texts have no tokens and the prior; rows with a null doc_id and
-    repeated rows have rates of their own. An empty table gives no rows.
+    all tokens, see :func:`fitted` for the default. The rates are nonnegative and move as little as the targets need; the
+    tokens they are expected to give each domain match the targets as far as rates can, and :class:`Fit` says how far.
+    Null and empty texts have no tokens and the prior; rows with a null doc_id and repeated rows have rates of their own.
+    An empty table gives no rows.
     """
-    by, steps, soft = fitted(docs, labelled, shares, budget)
-    return soft.select("doc_id", "n_tokens", *[F.col("p")[k].alias(f"p_{n}") for k, n in enumerate(by.names)], rate(steps, budget).alias("rate"))
+    found, soft = fitted(docs, labelled, shares, budget)
+    return soft.select("doc_id", "n_tokens", *[F.col("p")[k].alias(f"p_{n}") for k, n in enumerate(found.by.names)], found.rate.alias("rate"))
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] = SHARES, budget: float = BUDGET) -> DataFrame:
+def mixed(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] = SHARES, budget: float | None = None) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says: the whole part, and once more by a draw from its id and text."""
-    by, steps, _ = fitted(docs, labelled, shares, budget)
+    found, _ = fitted(docs, labelled, shares, budget)
     draw = F.pmod(F.xxhash64("row.doc_id", "row.text", F.lit(6)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    soft = posteriors(docs, by).select("row", F.floor(rate(steps, budget) + draw).cast("int").alias("copies"), F.monotonically_increasing_id().alias("n"))
+    soft = posteriors(docs, found.by).select("row", F.floor(found.rate + draw).cast("int").alias("copies"), F.monotonically_increasing_id().alias("n"))
     return soft.where("copies > 0 AND n >= 0").select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")
 
 

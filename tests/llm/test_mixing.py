@@ -12,6 +12,7 @@ from heatgrid.llm import mixing
 
 RND = random.Random(12)
 COMMON = [f"w{i}" for i in range(60)]
+BUDGET = 0.6
 OWN = {n: [f"{n}{i}" for i in range(15)] for n in mixing.SHARES}
 
 
@@ -48,18 +49,18 @@ def test_posteriors_and_rates(spark, corpus):
 
     all_rows = [(i, t) for i, t, _ in rows] + [(None, "w1 w2"), (900, None), (901, ""), (7, rows[7][1])]
     p, n = np.array([soft(t) for _, t in all_rows]), np.array([len((t or "").split()) for _, t in all_rows])
-    got = mixing.rates(docs, labelled).collect()
+    got = mixing.rates(docs, labelled, budget=BUDGET).collect()
     assert len(got) == len(all_rows)
     key = lambda r: (str(r[0]), r[1])
     want = sorted((str(i), int(n[k]), *p[k]) for k, (i, _) in enumerate(all_rows))
     mine = sorted((str(r.doc_id), r.n_tokens, *[r[f"p_{x}"] for x in names]) for r in got)
     for a, b in zip(mine, want):
         assert key(a) == key(b) and a[2:] == pytest.approx(b[2:], abs=1e-9)
-    target = np.array([mixing.SHARES[x] for x in names]) * mixing.BUDGET * n.sum()
+    target = np.array([mixing.SHARES[x] for x in names]) * BUDGET * n.sum()
     totals = [sum(r.rate * r.n_tokens * r[f"p_{x}"] for r in got) for x in names]
     assert totals == pytest.approx(target, rel=1e-5) and min(r.rate for r in got) >= 0
 
-    r, gram = np.full(len(n), mixing.BUDGET), (p * n[:, None]).T @ p
+    r, gram = np.full(len(n), BUDGET), (p * n[:, None]).T @ p
     for _ in range(mixing.ROUNDS):
         r = np.maximum(0, r - p @ np.linalg.solve(gram, (r * n) @ p - target))
     assert sorted(x.rate for x in got) == pytest.approx(sorted(r), abs=1e-5)
@@ -73,9 +74,30 @@ def test_hard_targets_are_projected(spark, corpus):
     assert sum(r.rate * r.n_tokens * r.p_good for r in got) == pytest.approx(0.9 * total, rel=0.1)
 
 
+def test_the_default_budget_is_the_largest_without_repeats(spark, corpus):
+    _, docs, labelled = corpus
+    found, soft = mixing.fitted(docs, labelled)
+    rates = [r.rate for r in soft.where("n_tokens > 0").select(found.rate.alias("rate")).collect()]
+    assert max(rates) == pytest.approx(1.0) and min(rates) >= 0 and found.converged
+    total = soft.agg(F.sum("n_tokens")).first()[0]
+    names = sorted(mixing.SHARES)
+    want = [mixing.SHARES[n] * found.budget * total for n in names]
+    assert list(found.targets) == pytest.approx(want) and list(found.totals) == pytest.approx(want, rel=1e-5)
+    given = mixing.fitted(docs, labelled, budget=found.budget)[0]  # the same fit, asked for by its number
+    assert sorted(r.rate for r in soft.select(given.rate.alias("rate")).collect()) == pytest.approx(sorted(r.rate for r in soft.select(found.rate.alias("rate")).collect()), abs=1e-5)
+    copies = mixing.mixed(docs, labelled).groupBy("doc_id", "text").count().where("doc_id IS NOT NULL AND doc_id <> 7").agg(F.max("count")).first()[0]
+    assert copies == 1
+
+
+def test_a_fit_says_whether_it_reached_its_targets(spark, corpus):
+    _, docs, labelled = corpus
+    found, _ = mixing.fitted(docs, labelled, {"good": 1.0, "poor": 0.0, "toxic": 0.0}, 0.9)
+    assert not found.converged and np.abs(found.totals - found.targets).max() > 0
+
+
 def test_mixed_rows(spark, corpus):
     rows, docs, labelled = corpus
-    out = mixing.mixed(docs, labelled)
+    out = mixing.mixed(docs, labelled, budget=BUDGET)
     assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
     kept = out.collect()
     assert 0.4 * len(rows) < len(kept) < 0.8 * len(rows) and sorted(map(str, kept)) == sorted(map(str, out.collect()))

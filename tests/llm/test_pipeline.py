@@ -67,4 +67,4 @@ def test_registered(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0), (3, 0, 0), (5, 1, 1)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = entry.queries()["pipeline"](spark, str(tmp_path))
     assert {r.doc_id for r in got.select("doc_id").collect()} <= {r[0] for r in rows}
-    assert sum(n.startswith("op") and n[2].isdigit() for n in entry.queries()) == 10
+    assert sum(n.startswith("op") and n[2].isdigit() for n in entry.queries()) == 13
