@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -165,8 +166,13 @@ class Page:
             self.marks.pop()
 
 
-def cell_rows(table: Node) -> tuple[list[str], list[list[tuple[str, int]]]]:
-    """Captions and rows of (text, columns) of a table; blocks and tables within a cell run on in its line."""
+def _span(node: Node, name: str) -> int:
+    given = node.attrs.get(name) or "1"
+    return max(1, min(int(given), 1000)) if given.isascii() and given.isdigit() else 1
+
+
+def cell_rows(table: Node) -> tuple[list[str], list[list[tuple[str, int, int]]]]:
+    """Captions and rows of (text, columns, rows) of a table; blocks and tables within a cell run on in its line."""
     captions, rows, todo = [], [], [*reversed(table.children)]
     while todo:
         node = todo.pop()
@@ -178,35 +184,63 @@ def cell_rows(table: Node) -> tuple[list[str], list[list[tuple[str, int]]]]:
         elif node.tag in ("td", "th"):
             if not rows:
                 rows.append([])
-            span = node.attrs.get("colspan") or "1"
-            rows[-1].append((render(node, True), min(int(span), 1000) if span.isascii() and span.isdigit() and int(span) else 1))
+            rows[-1].append((render(node, True), _span(node, "colspan"), _span(node, "rowspan")))
         elif node.tag in ("tr", "tbody", "thead", "tfoot"):
             if node.tag == "tr":
                 rows.append([])
             todo.extend(reversed(node.children))
         else:
             captions.append(render(node, True))
-    return [c for c in captions if c], [r for r in rows if any(t for t, _ in r)]
+    return [c for c in captions if c], rows
+
+
+def columns(text: str) -> int:
+    """Places a text takes in a line of even letters: two for each wide character, none for a combining one."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if combining(c) else 2 if east_asian_width(c) in "WF" else 1 for c in text)
+
+
+def placed_rows(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, str, int]]]:
+    """Rows of (first column, text, columns): a cell goes to the first place that no cell from above reaches into."""
+    out, taken = [], {}  # column -> rows below that a cell still covers
+    for row in rows:
+        line, at, fresh = [], 0, {}
+        for text, wide, deep in row:
+            while taken.get(at, 0):
+                at += 1
+            line.append((at, text, wide))
+            if deep > 1:
+                fresh.update(dict.fromkeys(range(at, at + wide), deep - 1))
+            at += wide
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | fresh
+        out.append(line)
+    return out
 
 
 def table_lines(table: Node) -> str:
-    """Cells of a column start below one another, two spaces behind the widest of the column before."""
+    """Cells of a column start below one another, two spaces behind the widest of the column before.
+
+    A cell of several rows stands in the first of them and keeps its columns free in the others. Rows without text give no line.
+    """
     captions, rows = cell_rows(table)
     widths: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for text, span in row:
+    placed = placed_rows(rows)
+    for row in placed:
+        for at, text, span in row:
             if span == 1:
-                widths[at] = max(widths.get(at, 0), len(text))
-            at += span
-    lines = list(captions)
-    for row in rows:
-        line, at = "", 0
-        for text, span in row:
-            room = sum(widths.get(c, 0) for c in range(at, at + span)) + 2 * (span - 1)
-            line += text.ljust(room) + "  "
-            at += span
-        lines.append(line.rstrip())
+                widths[at] = max(widths.get(at, 0), columns(text))
+    lines, starts = list(captions), [0]
+    for c in range(max(widths, default=-1) + 1):
+        starts.append(starts[-1] + widths.get(c, 0) + 2)
+    begin = lambda c: starts[c] if c < len(starts) else starts[-1] + 2 * (c - len(starts) + 1)
+    for row in placed:
+        line, used = "", 0
+        for at, text, _ in row:
+            gap = max(begin(at) - used, 2 if line else 0)
+            line, used = line + " " * gap + text, used + gap + columns(text)
+        if line.strip():
+            lines.append(line.rstrip())
     return "\n".join(lines)
 
 

@@ -21,6 +21,11 @@ CASES = {
     "<ul><li></li><li>x</li></ul>": "- x",
     "<dl><dt>t<dd>d<dt>u<dd>e</dl>": "t\n  d\nu\n  e",
     "<table><caption>C</caption><tr><th>Name<th>N<tr><td>apple<td>1<tr><td colspan=2>wide cell here<tr><td>x<td>22</table>": "C\nName   N\napple  1\nwide cell here\nx      22",
+    "<table><tr><td rowspan=2>a<td>b<tr><td>c<td>d</table>": "a  b\n   c  d",
+    "<table><tr><td rowspan=3>long<td>b<td rowspan=2>x<tr><td>c<tr><td>d<td>e</table>": "long  b  x\n      c\n      d  e",
+    "<table><tr><td rowspan=2 colspan=2>ab<td>b<tr><td>c<tr><td>d<td>e<td>f</table>": "ab    b\n      c\nd  e  f",
+    "<table><tr><td rowspan=0>a<td rowspan=x>b<tr><td>c</table>": "a  b\nc",
+    "<table><tr><td>日本<td>x<tr><td>abcd<td>y</table>": "日本  x\nabcd  y",
     "<table><tr><td><p>a</p><p>b</p><td><table><tr><td>i<td>j</table></table>after": "a b  i j\n\nafter",
     "<pre>  x\n    <b>y</b> z\n</pre>w": "  x\n    y z\n\nw",
     "<head><title>t</title><style>p{}</style><p>body starts": "body starts",
