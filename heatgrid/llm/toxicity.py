@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,64 +16,76 @@ from heatgrid.llm.common import documents, held_out
 from heatgrid.session import cut_lineage
 
 PER_CLASS = 10_000  # labelled rows of each class that are learned from, at most; those with the smallest hashes
-WORD_BITS, PAIR_BITS = 20, 21  # hashed slots of words and of word pairs: the model's size, whatever the corpus
 DISCOUNT = 4.0  # off every count: what a class has seen four times or less is left to the shared counts
 STRONG = 1.5  # log-likelihood gain of a word from which on it also counts by itself
 CUT = 0.7  # score from which on a document is called toxic
 CALIBRATION = 4  # one learning row in so many sets the scale of the scores and is kept out of the counts
 CACHED_WORDS = 500_000  # words a task remembers at a time; a memory bound only
+HELD = 1 << 18  # distinct words, and pairs of learned texts, that a task counts before it hands them on
 
 _FOLD = bytes(32 if c < 48 or 57 < c < 65 or 90 < c < 97 or 122 < c < 128 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_START = np.zeros(1, dtype=np.int64)  # what comes before the first word
+START = 0  # key of what comes before the first word
 
 
-class Slots(dict):
-    """Word -> hashed slot, from 1 on; slot 0 stands for the start of a text."""
+def word_key(word: bytes) -> int:
+    """64-bit hash of a word, signed."""
+    return xxhash.xxh3_64_intdigest(word) - (1 << 63)
+
+
+def split(text: bytes | None) -> list[bytes]:
+    """Words of a text: A-Z folded, ASCII marks apart."""
+    return (text or b"").translate(_FOLD).split()
+
+
+class Places(dict):
+    """Word -> its place among the model's words; the last place stands for every word that the classes never held."""
+
+    def __init__(self, keys: np.ndarray):
+        super().__init__()
+        self.keys = keys
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        slot = self[word] = 1 + xxhash.xxh3_64_intdigest(word) % ((1 << WORD_BITS) - 1)
-        return slot
+        key = word_key(word)
+        at = int(np.searchsorted(self.keys, key))
+        place = self[word] = at if at < len(self.keys) and self.keys[at] == key else len(self.keys)
+        return place
 
     def of(self, text: bytes | None) -> np.ndarray:
-        """Slots of a text's words: A-Z folded, ASCII marks apart."""
-        found = (text or b"").translate(_FOLD).split()
+        found = split(text)
         return np.fromiter(map(self.__getitem__, found), dtype=np.int64, count=len(found))
 
 
-def pair_keys(words: np.ndarray) -> np.ndarray:
-    """Each word with the one before it."""
-    return np.concatenate([_START, words[:-1]]) << WORD_BITS | words if len(words) else words
-
-
-def pair_slots(keys: np.ndarray) -> np.ndarray:
-    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
-
-
 class Model:
-    """Interpolated Kneser-Ney probabilities of both classes, as arrays over hashed slots.
+    """Interpolated Kneser-Ney probabilities of both classes, as arrays over the words of the learned texts.
 
     A pair's count less a discount, then the class's continuation counts of the word (how many words it follows) less a
-    discount, then the word's count in the whole corpus, which both classes share.
+    discount, then the word's count in the whole corpus, which both classes share. A word that no learned text holds has
+    the shared count alone in both classes, so that count cancels and is not needed. Pairs seen no more often than the
+    discount add nothing of their own. So the arrays are as large as the learned texts' vocabulary, whatever the corpus.
     """
 
-    def __init__(self, pairs: pd.DataFrame, before: pd.DataFrame, after: pd.DataFrame, shared: pd.DataFrame):
-        size, d = 1 << WORD_BITS, DISCOUNT
+    def __init__(self, pairs: pd.DataFrame, before: pd.DataFrame, after: pd.DataFrame, shared: pd.DataFrame, n_all: int, n_kinds: int):
+        self.keys = np.unique(np.concatenate([before["key"].to_numpy(np.int64), after["key"].to_numpy(np.int64), np.array([START])]))
+        size, d = len(self.keys) + 1, DISCOUNT
+        at = lambda keys: np.searchsorted(self.keys, keys.to_numpy(np.int64))
         base = np.ones(size, dtype=np.float64)
-        base[shared["slot"]] += shared["n"]
-        base /= base.sum()
+        base[at(shared["key"])] += shared["n"]
+        base /= max(n_all + n_kinds, 1)
+        codes = at(pairs["prev"]) * size + at(pairs["key"])
+        order = np.argsort(codes)
+        self.codes, self.start = codes[order], int(np.searchsorted(self.keys, START))
         self.pair, self.rest, self.word = [], [], []
         for c in ("toxic", "plain"):
-            uses, spare, follows, pair = np.zeros(size), np.zeros(size), np.zeros(size), np.zeros(1 << PAIR_BITS)
-            uses[before["slot"]], spare[before["slot"]] = before[f"n_{c}"], before[f"d_{c}"]
-            follows[after["slot"]] = after[f"k_{c}"]
-            pair[pairs["slot"]] = pairs[f"n_{c}"]
+            uses, spare, follows = np.zeros(size), np.zeros(size), np.zeros(size)
+            uses[at(before["key"])], spare[at(before["key"])] = before[f"n_{c}"], before[f"d_{c}"]
+            follows[at(after["key"])] = after[f"k_{c}"]
             total = max(follows.sum(), 1.0)
             word = np.maximum(follows - d, 0) / total
             word += (1 - word.sum()) * base
             self.word.append(word.astype(np.float32))
-            self.pair.append(np.maximum(pair - d, 0).astype(np.float32))
+            self.pair.append(np.append(np.maximum(pairs[f"n_{c}"].to_numpy(np.float64)[order] - d, 0), 0).astype(np.float32))
             seen = np.maximum(uses, 1)
             self.rest.append((np.where(uses > 0, spare / seen, 1.0).astype(np.float32), (1 / seen).astype(np.float32)))
         self.gain = np.log(self.word[0] / self.word[1])
@@ -81,10 +94,15 @@ class Model:
         """Log-likelihood per word, toxic less ordinary, and its part from words beyond ``STRONG``; zeros without words."""
         if not len(words):
             return 0.0, 0.0
-        keys = pair_keys(words)
-        first, slots, logs = keys >> WORD_BITS, pair_slots(keys), []
+        first = np.concatenate([[self.start], words[:-1]])
+        codes = first * (len(self.keys) + 1) + words
+        slots = np.searchsorted(self.codes, codes)
+        met = slots < len(self.codes)
+        met[met] = self.codes[slots[met]] == codes[met]
+        slots = np.where(met, slots, len(self.codes))
+        logs = []
         for pair, (rest, share), word in zip(self.pair, self.rest, self.word):
-            logs.append(np.log(np.minimum(pair[slots] * share[first], 1.0) + rest[first] * word[words]))
+            logs.append(np.log(pair[slots] * share[first] + rest[first] * word[words]))
         gain = float(np.mean(logs[0] - logs[1], dtype=np.float64))
         return gain, float(np.mean(np.maximum(self.gain[words] - STRONG, 0), dtype=np.float64))
 
@@ -125,56 +143,65 @@ def learning_rows(labels: DataFrame) -> tuple[dict[int, int], list[int]]:
     return dict.fromkeys(toxic, 1) | dict.fromkeys(plain, 0), scale
 
 
-COUNTS = "pair boolean, key bigint, slot bigint, n_toxic bigint, n_plain bigint, n bigint"
-STEP = 1 << 19  # words of learned texts that are counted at once
+COUNTS = "prev bigint, key bigint, n_toxic bigint, n_plain bigint, n bigint"
 
 
 def counts(docs: DataFrame, learned: dict[int, int]) -> DataFrame:
-    """Word counts of all documents and pair counts of the learned ones by class, summed over partitions."""
+    """Counts by 64-bit hashes, in one pass: of words in all documents (prev null, n), and of each word with the one
+    before it in the learned documents by class. Both are summed inside the tasks first, and grow with the corpus."""
     known = docs.sparkSession.sparkContext.broadcast(learned)
 
-    def pairs(held: list[list[np.ndarray]]) -> pa.RecordBatch:
-        toxic, plain = (np.concatenate(h) if h else np.zeros(0, np.int64) for h in (held[1], held[0]))
-        keys, where = np.unique(np.concatenate([toxic, plain]), return_inverse=True)
-        a, b = np.bincount(where[: len(toxic)], minlength=len(keys)), np.bincount(where[len(toxic) :], minlength=len(keys))
-        return rows(True, keys, pair_slots(keys), a, b, np.zeros(len(keys), np.int64))
+    def rows(prev: list | None, key: list, toxic: list, plain: list, n: list) -> pa.RecordBatch:
+        before = pa.nulls(len(key), pa.int64()) if prev is None else pa.array(prev, pa.int64())
+        return pa.RecordBatch.from_arrays([before, *(pa.array(c, pa.int64()) for c in (key, toxic, plain, n))], names=["prev", "key", "n_toxic", "n_plain", "n"])
+
+    def words(held: Counter) -> pa.RecordBatch:
+        zero = [0] * len(held)
+        return rows(None, list(map(word_key, held)), zero, zero, list(held.values()))
 
-    def rows(pair: bool, *columns: np.ndarray) -> pa.RecordBatch:
-        arrays = [pa.array(np.full(len(columns[0]), pair)), *(pa.array(c.astype(np.int64)) for c in columns)]
-        return pa.RecordBatch.from_arrays(arrays, names=["pair", "key", "slot", "n_toxic", "n_plain", "n"])
+    def pairs(held: tuple[Counter, Counter]) -> pa.RecordBatch:
+        plain, toxic = held
+        both = list(plain.keys() | toxic.keys())
+        key = lambda w: START if w is None else word_key(w)
+        return rows([key(a) for a, _ in both], [key(b) for _, b in both], [toxic[x] for x in both], [plain[x] for x in both], [0] * len(both))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, every, held, size = Slots(), np.zeros(1 << WORD_BITS, dtype=np.int64), [[], []], 0
+        every, held = Counter(), (Counter(), Counter())
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                found = slots.of(text.as_py())
-                np.add.at(every, found, 1)
+                found = split(text.as_py())
+                every.update(found)
                 toxic = known.value.get(doc_id)
                 if toxic is not None:
-                    held[toxic].append(pair_keys(found))
-                    size += len(found)
-                    if size > STEP:
-                        yield pairs(held)
-                        held, size = [[], []], 0
+                    held[toxic].update(zip([None, *found], found))
+                if len(every) > HELD:
+                    yield words(every)
+                    every.clear()
+                if len(held[0]) + len(held[1]) > HELD:
+                    yield pairs(held)
+                    held = (Counter(), Counter())
+        yield words(every)
         yield pairs(held)
-        used = np.flatnonzero(every)
-        zero = np.zeros(len(used), np.int64)
-        yield rows(False, used, used, zero, zero, every[used])
 
-    sums = docs.mapInArrow(run, COUNTS).groupBy("pair", "key", "slot")
+    sums = docs.mapInArrow(run, COUNTS).groupBy("prev", "key")
     return sums.agg(*[F.sum(c).alias(c) for c in ("n_toxic", "n_plain", "n")])
 
 
 def model(counted: DataFrame) -> Model:
-    """The counts as arrays; their number is bounded by the slots."""
-    pairs = counted.where("pair")
+    """The written counts as arrays. What comes here has a row for each word of the learned texts, and one for each of
+    their pairs that is more frequent than the discount: PER_CLASS bounds the texts."""
+    pairs = counted.where("prev IS NOT NULL")
+    every = counted.where("prev IS NULL")
     least = {f"d_{c}": F.sum(F.least(F.col(f"n_{c}").cast("double"), F.lit(DISCOUNT))) for c in ("toxic", "plain")}
     total = {f"n_{c}": F.sum(f"n_{c}") for c in ("toxic", "plain")}
     kinds = {f"k_{c}": F.sum(F.when(F.col(f"n_{c}") > 0, 1).otherwise(0)) for c in ("toxic", "plain")}
-    table = lambda df, by, what: df.groupBy(by.alias("slot")).agg(*[c.alias(k) for k, c in what.items()]).toArrow().to_pandas()
-    before = table(pairs, F.shiftrightunsigned("key", WORD_BITS), total | least)
-    after = table(pairs, F.col("key").bitwiseAND(F.lit((1 << WORD_BITS) - 1)), kinds)
-    return Model(table(pairs, F.col("slot"), total), before, after, counted.where("NOT pair").select("slot", "n").toArrow().to_pandas())
+    table = lambda df: df.toArrow().to_pandas()
+    by = lambda c, what: pairs.groupBy(F.col(c).alias("key")).agg(*[x.alias(k) for k, x in what.items()])
+    after = cut_lineage(by("key", kinds))
+    frequent = pairs.where((F.col("n_toxic") > DISCOUNT) | (F.col("n_plain") > DISCOUNT)).select("prev", "key", "n_toxic", "n_plain")
+    shared = every.join(after.select("key"), "key", "left_semi").select("key", "n")
+    size = every.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("key").alias("kinds")).first()
+    return Model(table(frequent), table(by("prev", total | least)), table(after), table(shared), size.n, size.kinds)
 
 
 def evidence(docs: DataFrame, fitted: Model) -> DataFrame:
@@ -182,11 +209,15 @@ def evidence(docs: DataFrame, fitted: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = Slots()
+        places = Places(shared.value.keys)
         for batch in batches:
-            found = [slots.of(t.as_py()) for t in batch.column("text")]
-            pairs = np.array([shared.value.evidence(w) for w in found], dtype=np.float64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(w) for w in found], pa.int64()), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["doc_id", "n_words", "mean", "strong"])
+            found, pairs = [], []
+            for text in batch.column("text"):
+                at = places.of(text.as_py())
+                found.append(len(at))
+                pairs.append(shared.value.evidence(at))
+            both = np.array(pairs, dtype=np.float64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["doc_id", "n_words", "mean", "strong"])
 
     return docs.mapInArrow(run, "doc_id bigint, n_words bigint, mean double, strong double")
 

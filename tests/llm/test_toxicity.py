@@ -7,10 +7,10 @@ import random
 from collections import Counter, defaultdict
 from zlib import crc32
 
-import numpy as np
 import pytest
 
 from heatgrid.llm import toxicity as tox
+from heatgrid.session import cut_lineage
 
 RND = random.Random(5)
 POOL = ["".join(RND.choice("aeinrst") for _ in range(RND.randrange(2, 8))) for _ in range(400)]
@@ -42,20 +42,18 @@ def test_model_equals_plain_counts(spark, learned):
     assert not set(chosen) & set(scale) and all(crc32(str(i).encode()) % 3 != 1 for i in [*chosen, *scale])
     assert sum(chosen.values()) * 2 == len(chosen)
     plain = docs.selectExpr("doc_id", "cast(text as binary) AS text")
-    fitted = tox.model(tox.counts(plain, chosen))
-    slot = lambda a, b: int(tox.pair_slots(np.array([a << tox.WORD_BITS | b]))[0])
-    slots, pair, follows, uses, every = tox.Slots(), [Counter(), Counter()], [defaultdict(set), defaultdict(set)], [defaultdict(Counter), defaultdict(Counter)], Counter()
+    fitted = tox.model(cut_lineage(tox.counts(plain, chosen)))
+    follows, uses, every = [defaultdict(set), defaultdict(set)], [defaultdict(Counter), defaultdict(Counter)], Counter()
     for i, t, _ in data:
-        w = slots.of(t.encode()).tolist()
+        w = tox.split(t.encode())
         every.update(w)
         if i in chosen:
             c = 1 - chosen[i]
-            for a, b in zip([0, *w], w):
-                pair[c][slot(a, b)] += 1
+            for a, b in zip([None, *w], w):
                 follows[c][b].add(a)
                 uses[c][a][b] += 1
-    d, size = tox.DISCOUNT, 1 << tox.WORD_BITS
-    base = lambda b: (1 + every[b]) / (size + sum(every.values()))
+    d = tox.DISCOUNT
+    base = lambda b: (1 + every[b]) / (len(every) + sum(every.values()))
 
     def p(c, a, b):
         total = sum(map(len, follows[c].values()))
@@ -63,12 +61,25 @@ def test_model_equals_plain_counts(spark, learned):
         word = max(len(follows[c][b]) - d, 0) / total + rest * base(b)
         n = sum(uses[c][a].values())
         back = sum(min(x, d) for x in uses[c][a].values()) / n if n else 1
-        return (max(pair[c][slot(a, b)] - d, 0) / n if n else 0) + back * word
+        return (max(uses[c][a][b] - d, 0) / n if n else 0) + back * word
 
+    places = tox.Places(fitted.keys)
     for i, t, _ in data[:40]:
-        w = slots.of(t.encode()).tolist()
-        want = sum(math.log(p(0, a, b) / p(1, a, b)) for a, b in zip([0, *w], w)) / len(w)
-        assert fitted.evidence(np.array(w))[0] == pytest.approx(want, abs=2e-3)
+        w = tox.split(t.encode())
+        want = sum(math.log(p(0, a, b) / p(1, a, b)) for a, b in zip([None, *w], w)) / len(w)
+        assert fitted.evidence(places.of(t.encode()))[0] == pytest.approx(want, abs=2e-3)
+    for c in (0, 1):  # the shared counts and the discounts leave a whole distribution
+        for a in (None, "vile".encode(), POOL[0].encode()):
+            assert sum(p(c, a, b) for b in every) == pytest.approx(1, abs=1e-9)
+
+
+def test_model_does_not_depend_on_how_tasks_hand_on(spark, learned, monkeypatch):
+    _, docs, labels = learned
+    chosen, _ = tox.learning_rows(labels)
+    plain = docs.selectExpr("doc_id", "cast(text as binary) AS text")
+    whole = sorted(map(str, tox.counts(plain, chosen).collect()))
+    monkeypatch.setattr(tox, "HELD", 50)
+    assert sorted(map(str, tox.counts(plain.repartition(3), chosen).collect())) == whole
 
 
 def test_held_out_rows(spark, learned):
