@@ -128,38 +128,47 @@ def explained_horizon(lead) -> Column:
     return F.when(k == 0, F.lit(None).cast("int")).when(k <= 1, 1).when(k <= 3, 3).otherwise(5)
 
 
+# Sentences of the explanations: fixed values. Blanks in braces take the named figures.
+SENTENCES = {
+    "driver": "{label} ({sign}{points} pts)",
+    "no_driver": "seasonal conditions",
+    "observed": "Today's observed stress in {name} is {htsi} ({band}).",
+    "forecast": "The D+{lead} forecast for {name} (HTSI {htsi}, {band}) is driven by {drivers}.",
+    "heat_island": "Urban heat island adds {points} HTSI points (built-up fraction {built_up}%).",
+    "risk": "Expected {expected} deaths/day at baseline x relative risk {rr} (vulnerability x{multiplier} on the log scale) = {excess} excess.",
+}
+
+
+def sentence(key: str, **parts: Column) -> Column:
+    """A sentence with its blanks filled; NULL if one of the parts is."""
+    pieces = re.split(r"\{(\w+)\}", SENTENCES[key])
+    return F.concat(*[parts[x] if i % 2 else F.lit(x) for i, x in enumerate(pieces) if x])
+
+
 def driver_phrases(drivers, n: int = 3) -> Column:
     """``label (+x.x pts)`` of the first drivers, comma separated."""
 
     def phrase(d: Column) -> Column:
         sign = F.when(d["contribution"] >= 0, F.lit("+")).otherwise(F.lit(""))
-        return F.concat(d["label"], F.lit(" ("), sign, F.format_string("%.1f", d["contribution"]), F.lit(" pts)"))
+        return sentence("driver", label=d["label"], sign=sign, points=F.format_string("%.1f", d["contribution"]))
 
     return F.array_join(F.transform(F.slice(col(drivers), 1, n), phrase), ", ")
 
 
 def forecast_sentence(name, lead, htsi, band, drivers) -> Column:
-    parts = F.coalesce(F.nullif(driver_phrases(drivers), F.lit("")), F.lit("seasonal conditions"))
-    observed = F.concat(
-        F.lit("Today's observed stress in "), col(name), F.lit(" is "), fixed(htsi, 1), F.lit(" ("), col(band), F.lit(").")
-    )
-    ahead = F.concat(
-        F.lit("The D+"), col(lead).cast("string"), F.lit(" forecast for "), col(name), F.lit(" (HTSI "), fixed(htsi, 1),
-        F.lit(", "), col(band), F.lit(") is driven by "), parts, F.lit("."),
-    )
-    return F.when(col(lead) == 0, observed).otherwise(ahead)
+    parts = F.coalesce(F.nullif(driver_phrases(drivers), F.lit("")), F.lit(SENTENCES["no_driver"]))
+    given = {"name": col(name), "htsi": fixed(htsi, 1), "band": col(band)}
+    ahead = sentence("forecast", lead=col(lead).cast("string"), drivers=parts, **given)
+    return F.when(col(lead) == 0, sentence("observed", **given)).otherwise(ahead)
+
+
+def _places(value, digits: int) -> Column:
+    return F.format_string(f"%.{digits}f", col(value))
 
 
 def heat_island_sentence(points, built_up) -> Column:
-    return F.format_string(
-        "Urban heat island adds %.2f HTSI points (built-up fraction %d%%).",
-        col(points),
-        F.round(col(built_up) * 100).cast("int"),
-    )
+    return sentence("heat_island", points=_places(points, 2), built_up=F.format_string("%d", F.round(col(built_up) * 100).cast("int")))
 
 
 def risk_sentence(expected, rr, multiplier, excess) -> Column:
-    return F.format_string(
-        "Expected %.2f deaths/day at baseline x relative risk %.3f (vulnerability x%.3f on the log scale) = %.3f excess.",
-        col(expected), col(rr), col(multiplier), col(excess),
-    )
+    return sentence("risk", expected=_places(expected, 2), rr=_places(rr, 3), multiplier=_places(multiplier, 3), excess=_places(excess, 3))

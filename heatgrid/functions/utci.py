@@ -1,9 +1,9 @@
 """Universal Thermal Climate Index: published regression polynomial.
 
 The polynomial has total degree six in four variables -- air temperature,
-10 m wind, radiant excess and vapour pressure -- so its exponents follow from a
-rule. The weights are the published ones (Broede et al. 2012), listed in that
-order in ``utci_weights.txt`` next to this module; another file may be passed.
+10 m wind, radiant excess and vapour pressure. The weights are the published
+ones (Broede et al. 2012), each listed with its four powers in
+``utci_weights.txt`` next to this module; another file may be passed.
 """
 
 from __future__ import annotations
@@ -38,11 +38,12 @@ def exponents() -> list[tuple[int, int, int, int]]:
 
 @lru_cache(maxsize=4)
 def load_weights(path: str = str(WEIGHTS)) -> tuple[float, ...]:
-    lines = Path(path).read_text().splitlines()
-    values = tuple(float(x) for x in lines if x.strip() and not x.startswith("#"))
-    if len(values) != len(exponents()):
-        raise ValueError(f"expected {len(exponents())} weights, found {len(values)}")
-    return values
+    """Weights in the order of :func:`exponents`; the file names the powers of each."""
+    rows = [line.split() for line in Path(path).read_text().splitlines() if line.strip() and not line.startswith("#")]
+    held = {tuple(int(x) for x in powers): float(weight) for *powers, weight in rows}
+    if set(held) != set(exponents()) or len(rows) != len(held):
+        raise ValueError(f"expected {len(exponents())} weights, one for each set of powers")
+    return tuple(held[powers] for powers in exponents())
 
 
 @lru_cache(maxsize=4)

@@ -13,40 +13,40 @@ from heatgrid.functions.base import clip, col
 from heatgrid.operators.nearest import nearest_k
 from heatgrid.params import RiskParams
 
-# District table: fixed values (codes, spellings, head-quarters, Census 2011
-# population, approximate centroid, area in km2, further aliases).
-DISTRICTS = """\
-1|BARGARH|BARGARH|Bargarh|Bargarh|21.333|83.619|1481255|21.25|83.45|5837|
-2|JHARSUGUDA|JHARSUGUDA|Jharsuguda|Jharsuguda|21.855|84.006|579505|21.8|84.05|2081|
-3|SAMBALPUR|SAMBALPUR|Sambalpur|Sambalpur|21.467|83.981|1041099|21.45|84.25|6657|
-4|DEBAGARH|DEOGARH|Debagarh|Debagarh|21.538|84.733|312520|21.55|84.75|2940|DEOGARH
-5|SUNDARGARH|SUNDARGARH|Sundargarh|Sundargarh|22.117|84.030|2093437|22.1|84.45|9712|
-6|KENDUJHAR|KEONJHAR (KENDUJHAR)|Kendujhar|Kendujhar|21.630|85.582|1801733|21.55|85.55|8303|KEONJHAR
-7|MAYURBHANJ|MAYURBHANJ|Mayurbhanj|Baripada|21.936|86.727|2519738|21.9|86.3|10418|
-8|BALESHWAR|BALASORE|Baleshwar|Balasore|21.494|86.932|2320529|21.45|86.75|3806|BALASORE
-9|BHADRAK|BHADRAK|Bhadrak|Bhadrak|21.058|86.496|1506337|21.05|86.55|2505|
-10|KENDRAPARA|KENDRAPARA|Kendrapara|Kendrapara|20.502|86.422|1440361|20.55|86.6|2644|
-11|JAGATSINGHAPUR|JAGATSINGHPUR|Jagatsinghapur|Jagatsinghapur|20.256|86.171|1136971|20.2|86.3|1668|JAGATSINGHPUR
-12|CUTTACK|CUTTACK|Cuttack|Cuttack|20.463|85.883|2624470|20.45|85.8|3932|
-13|JAJAPUR|JAJAPUR|Jajapur|Jajpur|20.849|86.334|1827192|20.85|86.1|2899|JAJPUR
-14|DHENKANAL|DHENKANAL|Dhenkanal|Dhenkanal|20.659|85.598|1192811|20.75|85.55|4452|
-15|ANUGUL|ANUGUL|Anugul|Angul|20.840|85.102|1273821|21.0|84.95|6375|ANGUL
-16|NAYAGARH|NAYAGARH|Nayagarh|Nayagarh|20.129|85.096|962789|20.15|85.0|3890|
-17|KHORDHA|KHORDHA|Khordha|Bhubaneswar|20.296|85.825|2251673|20.1|85.55|2813|KHURDA,KHORDHA_BHUBANESWAR
-18|PURI|PURI|Puri|Puri|19.813|85.831|1698730|19.85|85.8|3479|
-19|GANJAM|GANJAM|Ganjam|Chhatrapur|19.315|84.794|3529031|19.55|84.7|8206|
-20|GAJAPATI|GAJAPATI|Gajapati|Paralakhemundi|18.781|84.093|577817|19.05|84.1|4325|
-21|KANDHAMAL|KANDHAMAL|Kandhamal|Phulbani|20.471|84.233|733110|20.25|84.1|8021|
-22|BAUDH|BOUDH|Baudh|Baudh|20.836|84.325|441162|20.65|84.3|3098|BOUDH
-23|SONAPUR|SUBARNAPUR|Subarnapur|Sonepur|20.833|83.913|610183|20.85|83.85|2337|SUBARNAPUR,SONEPUR
-24|BALANGIR|BALANGIR|Balangir|Balangir|20.707|83.484|1648997|20.6|83.3|6575|BOLANGIR
-25|NUAPADA|NUAPARHA|Nuapada|Nuapada|20.817|82.534|610382|20.6|82.6|3852|NUAPARHA
-26|KALAHANDI|KALAHANDI|Kalahandi|Bhawanipatna|19.907|83.167|1576869|19.95|83.15|7920|
-27|RAYAGADA|RAYAGARHA|Rayagada|Rayagada|19.171|83.416|967911|19.35|83.5|7073|RAYAGARHA
-28|NABARANGAPUR|NABARANGAPUR|Nabarangapur|Nabarangpur|19.232|82.549|1220946|19.4|82.35|5291|NABARANGPUR
-29|KORAPUT|KORAPUT|Koraput|Koraput|18.812|82.711|1379647|18.75|82.75|8807|
-30|MALKANGIRI|MALKANGIRI|Malkangiri|Malkangiri|18.348|81.888|613192|18.3|81.95|5791|
-"""
+# District table: fixed values (code, name, its two other spellings, head-quarters with latitude and longitude, Census 2011
+# population, approximate centroid, area in km2, further spellings).
+DISTRICTS = [
+    (1, "BARGARH", "BARGARH", "Bargarh", "Bargarh", 21.333, 83.619, 1481255, 21.25, 83.45, 5837, []),
+    (2, "JHARSUGUDA", "JHARSUGUDA", "Jharsuguda", "Jharsuguda", 21.855, 84.006, 579505, 21.8, 84.05, 2081, []),
+    (3, "SAMBALPUR", "SAMBALPUR", "Sambalpur", "Sambalpur", 21.467, 83.981, 1041099, 21.45, 84.25, 6657, []),
+    (4, "DEBAGARH", "DEOGARH", "Debagarh", "Debagarh", 21.538, 84.733, 312520, 21.55, 84.75, 2940, ["DEOGARH"]),
+    (5, "SUNDARGARH", "SUNDARGARH", "Sundargarh", "Sundargarh", 22.117, 84.030, 2093437, 22.1, 84.45, 9712, []),
+    (6, "KENDUJHAR", "KEONJHAR (KENDUJHAR)", "Kendujhar", "Kendujhar", 21.630, 85.582, 1801733, 21.55, 85.55, 8303, ["KEONJHAR"]),
+    (7, "MAYURBHANJ", "MAYURBHANJ", "Mayurbhanj", "Baripada", 21.936, 86.727, 2519738, 21.9, 86.3, 10418, []),
+    (8, "BALESHWAR", "BALASORE", "Baleshwar", "Balasore", 21.494, 86.932, 2320529, 21.45, 86.75, 3806, ["BALASORE"]),
+    (9, "BHADRAK", "BHADRAK", "Bhadrak", "Bhadrak", 21.058, 86.496, 1506337, 21.05, 86.55, 2505, []),
+    (10, "KENDRAPARA", "KENDRAPARA", "Kendrapara", "Kendrapara", 20.502, 86.422, 1440361, 20.55, 86.6, 2644, []),
+    (11, "JAGATSINGHAPUR", "JAGATSINGHPUR", "Jagatsinghapur", "Jagatsinghapur", 20.256, 86.171, 1136971, 20.2, 86.3, 1668, ["JAGATSINGHPUR"]),
+    (12, "CUTTACK", "CUTTACK", "Cuttack", "Cuttack", 20.463, 85.883, 2624470, 20.45, 85.8, 3932, []),
+    (13, "JAJAPUR", "JAJAPUR", "Jajapur", "Jajpur", 20.849, 86.334, 1827192, 20.85, 86.1, 2899, ["JAJPUR"]),
+    (14, "DHENKANAL", "DHENKANAL", "Dhenkanal", "Dhenkanal", 20.659, 85.598, 1192811, 20.75, 85.55, 4452, []),
+    (15, "ANUGUL", "ANUGUL", "Anugul", "Angul", 20.840, 85.102, 1273821, 21.0, 84.95, 6375, ["ANGUL"]),
+    (16, "NAYAGARH", "NAYAGARH", "Nayagarh", "Nayagarh", 20.129, 85.096, 962789, 20.15, 85.0, 3890, []),
+    (17, "KHORDHA", "KHORDHA", "Khordha", "Bhubaneswar", 20.296, 85.825, 2251673, 20.1, 85.55, 2813, ["KHURDA", "KHORDHA_BHUBANESWAR"]),
+    (18, "PURI", "PURI", "Puri", "Puri", 19.813, 85.831, 1698730, 19.85, 85.8, 3479, []),
+    (19, "GANJAM", "GANJAM", "Ganjam", "Chhatrapur", 19.315, 84.794, 3529031, 19.55, 84.7, 8206, []),
+    (20, "GAJAPATI", "GAJAPATI", "Gajapati", "Paralakhemundi", 18.781, 84.093, 577817, 19.05, 84.1, 4325, []),
+    (21, "KANDHAMAL", "KANDHAMAL", "Kandhamal", "Phulbani", 20.471, 84.233, 733110, 20.25, 84.1, 8021, []),
+    (22, "BAUDH", "BOUDH", "Baudh", "Baudh", 20.836, 84.325, 441162, 20.65, 84.3, 3098, ["BOUDH"]),
+    (23, "SONAPUR", "SUBARNAPUR", "Subarnapur", "Sonepur", 20.833, 83.913, 610183, 20.85, 83.85, 2337, ["SUBARNAPUR", "SONEPUR"]),
+    (24, "BALANGIR", "BALANGIR", "Balangir", "Balangir", 20.707, 83.484, 1648997, 20.6, 83.3, 6575, ["BOLANGIR"]),
+    (25, "NUAPADA", "NUAPARHA", "Nuapada", "Nuapada", 20.817, 82.534, 610382, 20.6, 82.6, 3852, ["NUAPARHA"]),
+    (26, "KALAHANDI", "KALAHANDI", "Kalahandi", "Bhawanipatna", 19.907, 83.167, 1576869, 19.95, 83.15, 7920, []),
+    (27, "RAYAGADA", "RAYAGARHA", "Rayagada", "Rayagada", 19.171, 83.416, 967911, 19.35, 83.5, 7073, ["RAYAGARHA"]),
+    (28, "NABARANGAPUR", "NABARANGAPUR", "Nabarangapur", "Nabarangpur", 19.232, 82.549, 1220946, 19.4, 82.35, 5291, ["NABARANGPUR"]),
+    (29, "KORAPUT", "KORAPUT", "Koraput", "Koraput", 18.812, 82.711, 1379647, 18.75, 82.75, 8807, []),
+    (30, "MALKANGIRI", "MALKANGIRI", "Malkangiri", "Malkangiri", 18.348, 81.888, 613192, 18.3, 81.95, 5791, []),
+]
 DISTRICT_SCHEMA = (
     "ahs_code int, district string, hvi_name string, nfhs_name string, hq string, hq_lat double, hq_lon double, "
     "pop_2011 long, c_lat double, c_lon double, area_km2 int, aliases array<string>"
@@ -55,12 +55,7 @@ CENSUS_CODE_SHIFT = 360
 
 
 def district_table(spark: SparkSession) -> DataFrame:
-    kinds = [int, str, str, str, str, float, float, int, float, float, int]
-    rows = []
-    for line in DISTRICTS.splitlines():
-        *head, aliases = line.split("|")
-        rows.append((*[k(v) for k, v in zip(kinds, head)], [a for a in aliases.split(",") if a]))
-    df = spark.createDataFrame(rows, DISTRICT_SCHEMA)
+    df = spark.createDataFrame(DISTRICTS, DISTRICT_SCHEMA)
     return df.withColumn("census_2011_code", F.col("ahs_code") + CENSUS_CODE_SHIFT)
 
 

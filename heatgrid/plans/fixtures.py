@@ -217,8 +217,7 @@ def districts_sql() -> str:
     from heatgrid.operators.places import DISTRICTS
 
     rows = []
-    for line in DISTRICTS.splitlines():
-        code, name, _, _, _, _, _, pop, c_lat, c_lon, area, _ = line.split("|")
+    for code, name, _, _, _, _, _, pop, c_lat, c_lon, area, _ in DISTRICTS:
         rows.append(f"({code}, '{name}', {pop}, {c_lat}e0, {c_lon}e0, {area})")
     return "districts(ahs_code, district, pop_2011, c_lat, c_lon, area_km2) AS (VALUES " + ", ".join(rows) + ")"
 

@@ -78,7 +78,7 @@ QUERIES["star_join"] = (
 s AS (SELECT (o_custkey % 28 + 1)::INTEGER AS ahs_code, count(*) AS records FROM orders GROUP BY 1),
 n AS (SELECT (s_suppkey % 30 + 1)::INTEGER AS ahs_code, max(s_acctbal) AS e FROM supplier WHERE s_suppkey % 30 < 20 GROUP BY 1)
 SELECT ahs_code, district, hq, pop_2011::BIGINT AS pop_2011, round(vuln_mult, 4) + 0.0e0 AS vuln_mult, records, round(e, 4) + 0.0e0 AS electricity_pct FROM dd JOIN v USING (ahs_code) JOIN s USING (ahs_code) LEFT JOIN n USING (ahs_code)""",
-        "dd(ahs_code, district, hq, pop_2011) AS (VALUES " + ", ".join("({0}, '{1}', '{4}', {7})".format(*line.split("|")) for line in places.DISTRICTS.splitlines()) + ")",
+        "dd(ahs_code, district, hq, pop_2011) AS (VALUES " + ", ".join(f"({d[0]}, '{d[1]}', '{d[4]}', {d[7]})" for d in places.DISTRICTS) + ")",
     ),
 )
 
