@@ -24,7 +24,6 @@ PIVOTS = [int(x) for x in np.random.default_rng(20260101).integers(-(1 << 63), 1
 #: Likeness of whole texts: four in five of their distinct shingles of five words are shared. Candidates agree in one of
 #: BANDS bands of ROWS smallest hashes: a pair of likeness j meets with probability 1 - (1 - j^ROWS)^BANDS, 0.9993 at 0.8.
 ALIKE_WIDTH, ALIKE, BANDS, ROWS = 5, (4, 5), 24, 6
-HEADS = 2  # rounds of drawn members after the first
 LOOSE = 0.65  # part of two sketches that agrees if the texts are to be compared: 4.5 standard errors below ALIKE
 BLOCK = 1 << 11  # shingles permuted at once
 
@@ -91,10 +90,13 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() for t in batch.column("text")]
-            found = [(set_digest(h), sketch(h)) for h in map(shingle_set, texts)]
-            marks = np.array([xxhash.xxh64_intdigest(t or b"", SEED) for t in texts], dtype=np.uint64).view(np.int64)
-            arrays = [batch.column("doc_id"), pa.array(marks), pa.array([d for d, _ in found], pa.int64()), pa.array([k for _, k in found], pa.binary())]
+            marks, found, held = [], [], []
+            for text in (t.as_py() or b"" for t in batch.column("text")):
+                hashes = shingle_set(text)
+                marks.append(xxhash.xxh64_intdigest(text, SEED))
+                found.append(set_digest(hashes))
+                held.append(sketch(hashes))
+            arrays = [batch.column("doc_id"), pa.array(np.array(marks, dtype=np.uint64).view(np.int64)), pa.array(found, pa.int64()), pa.array(held, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_mark", "fp", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
@@ -232,47 +234,32 @@ def _joined(nodes: DataFrame, keys: Column, choices: int, held: Column, near: Co
     return known.join(more, known.comp == more.node, "left").select("fp", F.coalesce("root", "comp").alias("root"))
 
 
-def _unsettled(keyed: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows (key, fp) of buckets with members of several components, with their comp and the bucket's largest one, main."""
-    rows = cut_lineage(keyed.join(known.select("fp", "comp", "size"), "fp"))
-    mixed = rows.groupBy("key").agg(F.max_by("comp", "size").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    return cut_lineage(rows.drop("size").join(cut_lineage(mixed.where("lo <> hi").select("key", "main")), "key"))
-
-
-def _merged(known: DataFrame, links: DataFrame) -> DataFrame:
-    """Known nodes (fp, comp, size) after the links (cu, cv) between components."""
-    more = cut_lineage(components(links.select(F.col("cu").alias("u"), F.col("cv").alias("v"))))
-    moved = known.join(more, known.comp == more.node, "left").select("fp", F.coalesce("root", "comp").alias("comp"))
-    moved = cut_lineage(moved)
-    return cut_lineage(moved.join(cut_lineage(moved.groupBy("comp").agg(F.count("fp").alias("size"))), "comp").select("fp", "comp", "size"))
-
-
 def _alike_roots(nodes: DataFrame, within: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Nodes (fp, sketch) -> (fp, root), joined by every pair that meets in a band and is a link.
 
-    Every bucket's members are held against one of them. In buckets that still hold several components, a member outside
-    the largest is drawn and held against all members of others, HEADS times over: work in proportion to the members.
-    Then the few that are still outside meet the others of their bucket in a join whose condition is the likeness itself,
-    so that it makes links alone, however many texts of a family are nearly alike. ``within`` keeps the pairs (u, v, any
-    others) that are links; ``sets`` gives the shingles of nodes (fp).
+    Every bucket's members are held against one of them; this alone joins a group of near copies. In buckets that still
+    hold several components, members outside the largest meet the others in a join whose condition is the likeness itself,
+    so that it makes links alone, however many texts of a family are nearly alike; a pair that shares several bands is
+    looked at in the first of them. ``within`` keeps the pairs (u, v, any others) that are links; ``sets`` gives the
+    shingles of nodes (fp).
     """
-    known = _headed(nodes, _bands(F.col("sketch")), BANDS, F.lit(True), within).select("fp", "comp", "size")
-    keyed = nodes.select("fp", _bands(F.col("sketch")).alias("k")).select("k.key", "fp")
-    rows = _unsettled(keyed, known)
-    for seed in np.random.default_rng(20260107).integers(-(1 << 63), 1 << 63, HEADS, dtype=np.int64).tolist():
-        low = rows.where("comp <> main").groupBy("key").agg(F.min(F.col("fp").bitwiseXOR(F.lit(seed))).alias("low"))
-        heads = low.select("key", F.col("low").bitwiseXOR(F.lit(seed)).alias("head"))
-        heads = cut_lineage(heads.join(known.select(F.col("fp").alias("head"), F.col("comp").alias("head_comp")), "head"))
-        met = rows.join(heads, "key").where("comp <> head_comp").select(F.col("fp").alias("u"), F.col("head").alias("v"), F.col("comp").alias("cu"), F.col("head_comp").alias("cv"))
-        known = _merged(known, within(met))
-        rows = _unsettled(rows.select("key", "fp"), known)
-    held = cut_lineage(sets(cut_lineage(rows.select("fp").distinct())))
-    rows = cut_lineage(rows.join(held, "fp"))
+    known = _headed(nodes, _bands(F.col("sketch")), BANDS, F.lit(True), within)
+    keyed = known.select("fp", "comp", "size", _bands(F.col("sketch")).alias("k")).select("k.key", "k.choice", "fp", "comp", "size")
+    mixed = keyed.groupBy("key").agg(F.max_by("comp", "size").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    mixed = cut_lineage(mixed.where("lo <> hi").select("key", "main"))
+    rows = cut_lineage(keyed.drop("size").join(mixed, "key"))
+    ends = cut_lineage(rows.select("fp").distinct())
+    bands = known.join(ends, "fp", "left_semi").select("fp", F.array(*[F.xxhash64(F.substring("sketch", 2 * ROWS * n + 1, 2 * ROWS)) for n in range(BANDS)]).alias("bands"))
+    rows = rows.join(cut_lineage(bands.join(sets(ends), "fp")), "fp")
+    rows = cut_lineage(rows)
     a, b = rows.where("comp <> main").alias("a"), rows.alias("b")
     once = (F.col("b.comp") == F.col("b.main")) | (F.col("a.fp") < F.col("b.fp"))
+    for n in range(BANDS - 1):
+        once = once & ((F.col("a.choice") <= n) | (F.col("a.bands")[n] != F.col("b.bands")[n]))
     sizes = ALIKE[0] * F.greatest(F.size("a.shingles"), F.size("b.shingles")) <= ALIKE[1] * F.least(F.size("a.shingles"), F.size("b.shingles"))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & once & sizes & _likeness("a.shingles", "b.shingles"))
-    return _merged(known, met.select(F.col("a.comp").alias("cu"), F.col("b.comp").alias("cv"))).select("fp", F.col("comp").alias("root"))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & sizes & once & _likeness("a.shingles", "b.shingles"))
+    more = cut_lineage(components(met.select(F.col("a.comp").alias("u"), F.col("b.comp").alias("v"))))
+    return known.join(more, known.comp == more.node, "left").select("fp", F.coalesce("root", "comp").alias("root"))
 
 
 def _classes(marked: DataFrame, ids: DataFrame, roots: DataFrame) -> DataFrame:
