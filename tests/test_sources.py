@@ -180,5 +180,6 @@ def test_half_written_bundle_is_never_read(spark, tmp_path):
     shutil.rmtree(f"{second}/manifest")  # as if the job had died before its last step
     assert documents.read_bundle(spark, path)["a"].count() == 5
     broken = next((tmp_path / "bundle" / "versions" / first.rsplit("/", 1)[1] / "a").glob("part-*.json"))
+    broken.with_name(f".{broken.name}.crc").unlink(missing_ok=True)  # Hadoop's own check, which not every store has
     broken.write_text(broken.read_text().replace("0.0", "0.5") + "\n")
     assert not documents.check_bundle(spark, path).where("name = 'a' AND intact").count()
