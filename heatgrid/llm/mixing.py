@@ -16,8 +16,10 @@ BUCKETS = 1024  # hashed words of the classifier
 EVIDENCE = 32.0  # words that a document's words weigh as much as, at most
 ROUNDS = 25
 TOLERANCE = 1e-7  # of the target totals
-#: Target shares of the tokens.
+#: Target shares of the tokens, and the tokens asked for as a part of all: as many as there are, so that documents of a
+#: domain with too few tokens repeat and those of others are drawn.
 SHARES = {"good": 0.80, "poor": 0.15, "toxic": 0.05}
+BUDGET = 1.0
 
 
 def domains(labels: DataFrame) -> DataFrame:
@@ -134,12 +136,12 @@ def fit_rates(soft: DataFrame, targets: np.ndarray, start: float) -> tuple[list[
         steps.append(step)
 
 
-def fitted(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] = SHARES, budget: float | None = None) -> tuple[Fit, DataFrame]:
+def fitted(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] = SHARES, budget: float | None = BUDGET) -> tuple[Fit, DataFrame]:
     """The fit, and the written table (doc_id, n_tokens, p) of all documents.
 
-    Without a ``budget`` it is the largest for which no rate exceeds 1, so that the whole usable corpus is asked for and no
-    document twice. Rates are in proportion to the budget: they are fitted for all tokens, and the largest rate of a
-    document with tokens gives the budget.
+    A ``budget`` of None is the largest for which no rate exceeds 1, so that no document comes twice. Rates are in
+    proportion to the budget: they are fitted for all tokens, and the largest rate of a document with tokens gives it.
+    Where a domain is scarce, that is a small part of the corpus.
     """
     names = sorted(shares)
     by = fit(docs, labelled, names)
@@ -155,11 +157,11 @@ def fitted(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] = SHAR
     return Fit(by, steps, start, totals, want * start, done), soft
 
 
-def rates(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] = SHARES, budget: float | None = None) -> DataFrame:
+def rates(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] = SHARES, budget: float | None = BUDGET) -> DataFrame:
     """(doc_id, n_tokens, p_<domain>..., rate) of every row of ``docs`` (doc_id, text, any others).
 
     ``labelled`` (doc_id, domain) trains the classifier; ``shares`` names the domains and their part of ``budget`` times
-    all tokens, see :func:`fitted` for the default. The rates are nonnegative and move as little as the targets need; the
+    all tokens, see :func:`fitted` for a budget of None. The rates are nonnegative and move as little as the targets need; the
     tokens they are expected to give each domain match the targets as far as rates can, and :class:`Fit` says how far.
     Null and empty texts have no tokens and the prior; rows with a null doc_id and repeated rows have rates of their own.
     An empty table gives no rows.
@@ -168,7 +170,7 @@ def rates(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] = SHARE
     return soft.select("doc_id", "n_tokens", *[F.col("p")[k].alias(f"p_{n}") for k, n in enumerate(found.by.names)], found.rate.alias("rate"))
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] = SHARES, budget: float | None = None) -> DataFrame:
+def mixed(docs: DataFrame, labelled: DataFrame, shares: dict[str, float] = SHARES, budget: float | None = BUDGET) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says: the whole part, and once more by a draw from its id and text."""
     found, _ = fitted(docs, labelled, shares, budget)
     draw = F.pmod(F.xxhash64("row.doc_id", "row.text", F.lit(6)), F.lit(1 << 30)) / F.lit(float(1 << 30))

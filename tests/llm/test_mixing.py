@@ -74,9 +74,16 @@ def test_hard_targets_are_projected(spark, corpus):
     assert sum(r.rate * r.n_tokens * r.p_good for r in got) == pytest.approx(0.9 * total, rel=0.1)
 
 
-def test_the_default_budget_is_the_largest_without_repeats(spark, corpus):
+def test_the_default_asks_for_all_tokens(spark, corpus):
     _, docs, labelled = corpus
-    found, soft = mixing.fitted(docs, labelled)
+    got = mixing.rates(docs, labelled).collect()
+    total = sum(r.n_tokens for r in got)
+    assert [sum(r.rate * r.n_tokens * r[f"p_{x}"] for r in got) for x in sorted(mixing.SHARES)] == pytest.approx([mixing.SHARES[x] * total for x in sorted(mixing.SHARES)], rel=1e-5)
+
+
+def test_the_largest_budget_without_repeats(spark, corpus):
+    _, docs, labelled = corpus
+    found, soft = mixing.fitted(docs, labelled, budget=None)
     rates = [r.rate for r in soft.where("n_tokens > 0").select(found.rate.alias("rate")).collect()]
     assert max(rates) == pytest.approx(1.0) and min(rates) >= 0 and found.converged
     total = soft.agg(F.sum("n_tokens")).first()[0]
@@ -85,7 +92,7 @@ def test_the_default_budget_is_the_largest_without_repeats(spark, corpus):
     assert list(found.targets) == pytest.approx(want) and list(found.totals) == pytest.approx(want, rel=1e-5)
     given = mixing.fitted(docs, labelled, budget=found.budget)[0]  # the same fit, asked for by its number
     assert sorted(r.rate for r in soft.select(given.rate.alias("rate")).collect()) == pytest.approx(sorted(r.rate for r in soft.select(found.rate.alias("rate")).collect()), abs=1e-5)
-    copies = mixing.mixed(docs, labelled).groupBy("doc_id", "text").count().where("doc_id IS NOT NULL AND doc_id <> 7").agg(F.max("count")).first()[0]
+    copies = mixing.mixed(docs, labelled, budget=None).groupBy("doc_id", "text").count().where("doc_id IS NOT NULL AND doc_id <> 7").agg(F.max("count")).first()[0]
     assert copies == 1
 
 
