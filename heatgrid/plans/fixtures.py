@@ -16,7 +16,16 @@ from heatgrid.operators.index import compute_index
 from heatgrid.plans.common import table
 from heatgrid.session import cut_lineage
 
-PANEL_CELLS = 40
+#: Customers for each cell of the panel, and its fewest cells: the lattice grows with the tables.
+CUSTOMERS_A_CELL, FEWEST_CELLS = 37, 10
+
+
+def n_cells(spark: SparkSession, sf: str) -> int:
+    """Cells of the panel; the count comes from the table's footers."""
+    return max(table(spark, sf, "customer").count() // CUSTOMERS_A_CELL, FEWEST_CELLS)
+
+
+N_CELLS = f"(SELECT greatest(count(*) // {CUSTOMERS_A_CELL}, {FEWEST_CELLS}) FROM customer)"
 
 
 def _mod(c: str, factor: int, mod: int = 997) -> Column:
@@ -83,11 +92,11 @@ moist AS (SELECT *, {shade('t2m', 'rh')} AS wbgt, {shade('t2m', 'rh')} + 4.0e0 A
 
 
 def panel(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily cell records from ``orders``: seven years of days on a fixed lattice."""
+    """Daily cell records from ``orders``: seven years of days on a lattice that grows with the customers."""
     o = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
     price = F.col("o_totalprice")
     return o.groupBy(
-        (F.col("o_custkey") % PANEL_CELLS).cast("int").alias("cell_id"), F.to_date("o_orderdate").alias("date")
+        (F.col("o_custkey") % n_cells(spark, sf)).cast("int").alias("cell_id"), F.to_date("o_orderdate").alias("date")
     ).agg(
         F.max(F.lit(24.0) + (price % F.lit(2000.0)) / F.lit(101.0)).alias("t2m_max"),
         F.avg(F.lit(20.0) + (price % F.lit(1500.0)) / F.lit(101.0)).alias("t2m_mean"),
@@ -98,7 +107,7 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PANEL = f"""panel AS (
-  SELECT (o_custkey % {PANEL_CELLS})::INTEGER AS cell_id, o_orderdate::DATE AS date,
+  SELECT (o_custkey % {N_CELLS})::INTEGER AS cell_id, o_orderdate::DATE AS date,
          max(24.0e0 + (o_totalprice % 2000.0e0) / 101.0e0) AS t2m_max,
          avg(20.0e0 + (o_totalprice % 1500.0e0) / 101.0e0) AS t2m_mean,
          max(26.0e0 + (o_totalprice % 2400.0e0) / 101.0e0) AS utci_max,
