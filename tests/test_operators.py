@@ -316,6 +316,20 @@ def test_coverage_is_compressed_and_whole(spark):
     assert pairs.agg(F.sum(F.col("n_sites") * F.col("n_wards"))).first()[0] == want.count()
 
 
+def test_coverage_query_lists_every_pair_of_wards(spark, tmp_path):
+    """Wards at one spot are pairs of their own: customers 10403 apart share a place."""
+    from heatgrid.plans import alerting
+
+    ids = [1, 2, 1 + 101 * 103, 1 + 2 * 101 * 103, 40]
+    spark.createDataFrame([(k, "n", 3, 1.0) for k in ids], "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = alerting.QUERIES["coverage_pairs"][0](spark, str(tmp_path))
+    assert got.columns == ["city", "site_id", "ward_id", "distance_km"]
+    rows = {(r.site_id, r.ward_id): r.distance_km for r in got.collect()}
+    same = ids[0], ids[2], ids[3]
+    assert all(rows[a, b] == 0.0 for a in same for b in same) and all((a, a) in rows for a in ids)
+    assert all((b, a) in rows for a, b in rows) and got.count() == len(rows)
+
+
 def greedy(wards, n, radius):
     def km(a, b):
         p = math.pi / 180
