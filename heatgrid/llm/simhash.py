@@ -86,21 +86,22 @@ def sketch(hashes: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_mark, fp, sketch) of every row; fp is the digest of the text's shingles, text_mark the text's XXH64."""
+    """(doc_id, text_mark, print, fp, sketch) of every row; print is its :func:`fingerprint`, fp the digest of the text's shingles, text_mark the text's XXH64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks, found, held = [], [], []
+            marks, prints, found, held = [], [], [], []
             for text in (t.as_py() or b"" for t in batch.column("text")):
                 hashes = shingle_set(text)
                 marks.append(xxhash.xxh64_intdigest(text, SEED))
+                prints.append(fingerprint(text))
                 found.append(set_digest(hashes))
                 held.append(sketch(hashes))
-            arrays = [batch.column("doc_id"), pa.array(np.array(marks, dtype=np.uint64).view(np.int64)), pa.array(found, pa.int64()), pa.array(held, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_mark", "fp", "sketch"])
+            arrays = [batch.column("doc_id"), pa.array(np.array(marks, dtype=np.uint64).view(np.int64)), pa.array(prints, pa.int64()), pa.array(found, pa.int64()), pa.array(held, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_mark", "print", "fp", "sketch"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, text_mark bigint, fp bigint, sketch binary")
+    return rows.mapInArrow(run, "doc_id bigint, text_mark bigint, print bigint, fp bigint, sketch binary")
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, least: float = LOOSE) -> DataFrame:
@@ -298,7 +299,11 @@ def alike_documents(docs: DataFrame) -> DataFrame:
     shingles themselves settle the others. Null and empty texts are alike; nulls and repeated rows are treated as in
     :func:`near_duplicates`.
     """
-    marked = cut_lineage(sketches(docs))
+    return _alike(docs, cut_lineage(sketches(docs)).drop("print"))
+
+
+def _alike(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """:func:`alike_documents` among the rows ``marked`` (doc_id, text_mark, fp, sketch) of ``docs``."""
     nodes = cut_lineage(marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("doc_id").alias("rows"), F.any_value("sketch").alias("sketch")))
 
     def sets(ends: DataFrame) -> DataFrame:
@@ -313,15 +318,32 @@ def alike_documents(docs: DataFrame) -> DataFrame:
     return _classes(marked.drop("sketch"), nodes.drop("sketch"), roots).drop("fp")
 
 
+def _linked(marked: DataFrame) -> DataFrame:
+    """(doc_id, text_mark, component_id, n_class) of rows ``marked`` (doc_id, text_mark, print): the classes of :func:`near_duplicates`."""
+    prints = marked.select("doc_id", "text_mark", F.col("print").alias("fp"))
+    ids = _ids(prints)
+    roots = distilled(marked.sparkSession, lambda: links(ids.select("fp")))
+    return _classes(prints, ids, roots).drop("fp")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its class of :func:`alike_documents`.
+    """The rows of ``docs`` whose doc_id is the smallest of its class, first by fingerprints, then by shingles.
 
-    Rows that repeat a kept doc_id and its text are kept once; a different text under the same doc_id is judged by itself.
-    Rows with a null doc_id stay. Columns keep their names, whatever these are.
+    The classes are those of :func:`near_duplicates`, found through the table of distances to reference fingerprints; their
+    first documents are then compared as :func:`alike_documents` does. Rows that repeat a kept doc_id and its text are
+    kept once; a different text under the same doc_id is judged by itself. Rows with a null doc_id stay. Columns keep
+    their names, whatever these are.
     """
+    spark = docs.sparkSession
     known = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs.doc_id.cast("bigint").alias("key"), F.xxhash64(F.coalesce(docs.text, F.lit(""))).alias("mark"))
-    chosen = lambda: alike_documents(docs).where("doc_id = component_id").select("doc_id", "text_mark").distinct()
-    kept = distilled(docs.sparkSession, chosen)
+    first = lambda classes: classes.where("doc_id = component_id").select("doc_id", "text_mark").distinct()
+
+    def chosen() -> DataFrame:
+        marked = cut_lineage(sketches(docs))
+        heads = distilled(spark, lambda: first(_linked(marked)))
+        return first(_alike(docs, marked.drop("print").join(heads, ["doc_id", "text_mark"], "left_semi")))
+
+    kept = distilled(spark, chosen)
     rows = known.join(kept, (F.col("key") == kept.doc_id) & (F.col("mark") == kept.text_mark), "left_semi").dropDuplicates(["key", "mark"])
     return rows.select("row.*").unionByName(known.where("key IS NULL").select("row.*"))
 

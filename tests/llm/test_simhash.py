@@ -211,6 +211,22 @@ def test_rows_of_one_doc_id_are_judged_by_their_texts(spark):
     assert [x for x in kept if x not in "qruv"] == ["p", "t", "w"] and sum(x in "qr" for x in kept) == 1 and sum(x in "uv" for x in kept) == 1
 
 
+def test_one_of_each_takes_the_linked_fingerprints(spark, monkeypatch):
+    """The stage drops what the fingerprints link, also pairs that shingles alone would keep, and then what shingles find."""
+    rnd = random.Random(41)
+    chant = "one two three four five six seven " * 200
+    linked = [chant + family(rnd, x, 1, 50, 0)[0] for x in "ab"]
+    assert len({simhash.fingerprint(t.encode()) for t in linked}) == 1
+    sets = [set(simhash.shingle_set(t.encode()).tolist()) for t in linked]
+    assert len(sets[0] & sets[1]) < 0.1 * len(sets[0] | sets[1])
+    rows = list(enumerate([*linked, *family(rnd, "c", 2, 300, 2), "alone"]))
+    tables, plain = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, *a: tables.append(sorted(r.fp for r in fps.collect())) or plain(fps, *a))
+    kept = sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert tables == [sorted({simhash.fingerprint(t.encode()) for _, t in rows})]
+    assert kept == [0, 2, 4]
+
+
 def test_recall_on_whole_documents(spark, tmp_path):
     """All pairs of the documents by an exact join on shared shingles, at likeness 0.8 and more."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
