@@ -316,6 +316,39 @@ def test_coverage_is_compressed_and_whole(spark):
     assert pairs.agg(F.sum(F.col("n_sites") * F.col("n_wards"))).first()[0] == want.count()
 
 
+def test_weights_meet_the_values_once_for_each_set_of_cells(spark):
+    rnd = random.Random(9)
+    cells = {f"w{i}": rnd.choice([(1, 2), (2, 3), (1, 4)]) for i in range(30)}
+    weights = [(w, c, rnd.random()) for w, cs in cells.items() for c in cs] + [("w0", 2, 0.5), (None, 1, 1.0)]
+    values = [(c, d, float(rnd.randint(0, 9)) if (c, d) != (1, 1) else None) for c in (1, 2, 3) for d in (0, 1)] + [(3, 0, 2.0)]
+    w, v = spark.createDataFrame(weights, "ward_id string, cell_id int, weight double"), spark.createDataFrame(values, "cell_id int, d int, x double")
+    points = spark.createDataFrame([(f"w{i}", i) for i in range(30) if i != 7] + [("w3", 99)], "ward_id string, area int")
+    got = sorted((r.ward_id, r.d, r.area, None if r.x is None else round(r.x, 9)) for r in nearest.apply_weights(v, w, ["x"], ["d"], points=points).collect())
+    want = []
+    for ward, area in [(f"w{i}", i) for i in range(30) if i != 7] + [("w3", 99)]:
+        own = [(c, f) for p, c, f in weights if p == ward]
+        for d in (0, 1):
+            met = [(f, x) for c, f in own for k, e, x in values if k == c and e == d]
+            full = sum(x is not None for _, x in met) == len(own)
+            if met:
+                want.append((ward, d, area, round(sum(f * x for f, x in met), 9) if full else None))
+    assert got == sorted(want, key=lambda r: r[:3])
+
+
+def test_lags_shuffle_the_forecast_once(spark):
+    f = spark.range(60).select(F.lit(date(2024, 1, 1)).alias("as_of"), (F.col("id") % 10).alias("place_id"), (F.col("id") / 10).cast("int").alias("lead"), F.col("id").cast("double").alias("htsi"))
+    h = f.where("lead = 0").withColumn("lead", F.lit(-1))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = risk.lead_lags(f, h)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        rows = {(r.place_id, r.lead): (r.lag0, r.lag1, r.lag2) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert rows[3, 0] == (3.0, 3.0, None) and rows[3, 2] == (23.0, 13.0, 3.0) and len(rows) == 60
+
+
 def test_coverage_query_lists_every_pair_of_wards(spark, tmp_path):
     """Wards at one spot are pairs of their own: customers 10403 apart share a place."""
     from heatgrid.plans import alerting
