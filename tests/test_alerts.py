@@ -195,3 +195,22 @@ def test_action_plan_covers_four_agencies(spark):
 @pytest.mark.parametrize("k, want", [(0, None), (1, 1), (2, 3), (3, 3), (4, 5), (5, 5)])
 def test_explained_horizon(spark, k, want):
     assert spark.range(1).select(text.explained_horizon(F.lit(k)).alias("h")).first().h == want
+
+
+def test_matches_are_not_shuffled_as_pairs(spark):
+    """Alerts that meet a subscriber by ward and by city are one pair; nothing gathers the pairs after the join."""
+    places = [("a1", "ward", "1", "9", None, 2), ("a2", "ward", "2", "9", None, 1), ("a3", "district", "5", None, "5", 3), ("a1", "ward", "1", "9", None, 3), ("a4", "ward", "7", None, None, 3)]
+    wants = [(10, 1, ["1", "2"], None, ["9"]), (11, 3, ["1"], ["5"], ["9", "9"]), (11, 2, None, None, ["9"]), (12, None, None, ["5", None], None), (13, 1, ["7"], None, None), (None, 1, ["2"], None, None)]
+    a = spark.createDataFrame(places, "alert_id string, scope string, place_id string, city string, district string, level int")
+    s = spark.createDataFrame(wants, "id long, min_level int, wards array<string>, districts array<string>, cities array<string>")
+    out = alerts.match_subscriptions(a, s)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan.split("Join Inner")[0]
+    want = set()
+    for alert, scope, place, city, district, level in places:
+        for i, least, wards, districts, cities in wants:
+            met = (scope == "ward" and (place in (wards or []) or (city is not None and city in (cities or [])))) or (scope == "district" and district in (districts or []))
+            if met and level >= (least or 1):
+                want.add((alert, i))
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
