@@ -127,6 +127,16 @@ def test_placeholders_are_filled(spark):
     assert advisory(spark, "en", "hospitals").actions[1] == "expect 6 visits"
 
 
+def test_figures_are_written_out_before_languages_and_audiences(spark):
+    row = dict(zip([c.split()[0] for c in DAY_COLS.split(", ")], DAY_ROW))
+    a = spark.createDataFrame([tuple(row.values())] * 2, DAY_COLS)
+    out = alerts.render_advisories(a, *dictionaries(spark))
+    assert out.count() == 2 * 3 * 2  # alerts that repeat stay
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, x in enumerate(lines) if "Join" in x]
+    assert len(joins) == 2 and min(i for i, x in enumerate(lines) if "format_string(" in x) > max(joins)
+
+
 def test_local_digits(spark):
     assert "୬୪" in advisory(spark, "or").sms
     assert "୨୦୨୪-୦୫-୩୦" in advisory(spark, "or", lead=3).description
