@@ -10,7 +10,7 @@ from heatgrid.operators import alerts, mortality, places, reshape
 from heatgrid.plans import fixtures as fx
 from heatgrid.plans.common import Query, pick, rounded, table, with_ctes
 from heatgrid.plans.people import LEVEL_SQL
-from heatgrid.session import scratch_path
+from heatgrid.session import cut_lineage, scratch_path
 from heatgrid.sources import documents, geojson, health, weather
 
 QUERIES: dict[str, Query] = {}
@@ -41,7 +41,7 @@ def cell_year_files(spark, sf):
     path = scratch_path(spark, "hourly")
     weather.write_cell_years(h, path)
     h.select("stamp").limit(3).write.mode("append").csv(path)
-    raw = weather.read_hourly_csv(spark, path)
+    raw = cut_lineage(weather.read_hourly_csv(spark, path))  # many small files, opened once
     cells = weather.inventory(raw)
     by_file = raw.groupBy("lat", "lon", "year").agg(F.count("*").alias("n"), F.min("stamp").alias("first"), F.max("stamp").alias("last"), F.avg("T2M").alias("t2m"), F.max("PS").alias("ps"))
     return rounded(by_file.join(cells, ["lat", "lon", "year"]))

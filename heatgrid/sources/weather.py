@@ -38,6 +38,13 @@ def file_parts(name: Column) -> dict[str, Column]:
     return {"lat": parts[0].cast("double"), "lon": parts[1].cast("double"), "year": parts[2].cast("int")}
 
 
+def _a_file(spark: SparkSession, path: str) -> str | None:
+    """A matching file of a folder: its header is read without the listing of all others that a scan begins with."""
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/[!_.]{FILE_GLOB}")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
+    return found[0].getPath().toString() if found else None
+
+
 def read_hourly_csv(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """All matching hourly files below a folder as one scan.
 
@@ -47,7 +54,8 @@ def read_hourly_csv(spark: SparkSession, path: str, strict: bool = True) -> Data
     """
     reader = lambda: spark.read.option("header", True).option("pathGlobFilter", FILE_GLOB)
     try:
-        names = reader().option("inferSchema", False).csv(path).columns
+        one = _a_file(spark, path)
+        names = (one and reader().csv(one).columns) or reader().option("inferSchema", False).csv(path).columns
     except AnalysisException as e:
         raise RuntimeError("no hourly files match {lat}_{lon}_{year}.csv") from e
     missing = [c for c in VALUE_COLUMNS if c not in names]
@@ -73,7 +81,8 @@ def write_cell_years(hours: DataFrame, path: str) -> None:
     rows = hours.select(F.concat(name, F.lit(".csv")).alias("file"), "stamp", *VALUE_COLUMNS)
     header = rows.toDF("file", "", *VALUE_COLUMNS)
     staged = scratch_path(spark, "cell-years")
-    header.repartition("file").sortWithinPartitions("file", header[""]).write.partitionBy("file").option("header", True).option("emptyValue", "").csv(staged)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    header.repartition(parts, "file").sortWithinPartitions("file", header[""]).write.partitionBy("file").option("header", True).option("emptyValue", "").csv(staged)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     goal = jvm.org.apache.hadoop.fs.Path(path)
     fs = goal.getFileSystem(conf)

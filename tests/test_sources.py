@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,3 +184,14 @@ def test_half_written_bundle_is_never_read(spark, tmp_path):
     broken.with_name(f".{broken.name}.crc").unlink(missing_ok=True)  # Hadoop's own check, which not every store has
     broken.write_text(broken.read_text().replace('"x":', '"x":7', 1))
     assert not documents.check_bundle(spark, path).where("name = 'a' AND intact").count()
+
+
+def test_cell_year_files_lie_under_their_names(spark, tmp_path):
+    cols = ["lat", "lon", "year", "stamp", *weather.VALUE_COLUMNS]
+    rows = [(20.0 + c, 82.5, 2020, f"20200101{h:02d}", *[float(h)] * len(weather.VALUE_COLUMNS)) for c in range(3) for h in range(2)]
+    hours = spark.createDataFrame(rows, cols)
+    weather.write_cell_years(hours, str(tmp_path / "fresh"))
+    assert sorted(p.name for p in (tmp_path / "fresh").glob("*.csv")) == [f"{20.0 + c}_82.5_2020.csv" for c in range(3)]
+    assert weather.read_hourly_csv(spark, str(tmp_path / "fresh")).count() == 6
+    one = weather._a_file(spark, str(tmp_path / "fresh"))
+    assert re.fullmatch(weather.FILE_PATTERN, one.split("/")[-1]) and weather._a_file(spark, str(tmp_path)) is None
