@@ -117,6 +117,80 @@ def test_a_late_emergency_still_raises_the_alert(spark, tmp_path, rocksdb):
     assert found["1 day"] == ([], [("ward", "1", date(2024, 5, 4), "Emergency", 3)])
 
 
+class Place:
+    """State of one place, held in memory as a processor sees it, with its timers; counts how often it is woken."""
+
+    def __init__(self):
+        self.timers, self.woken, self.watermark = set(), 0, 0
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.discard
+
+    def getValueState(self, name, schema):
+        return State()
+
+    getListState = getValueState
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+    def advance(self, processor, day):
+        self.watermark = day * alert_streams.DAY_MS
+        out = []
+        for at in sorted(t for t in self.timers if t <= self.watermark):
+            self.timers.discard(at)
+            self.woken += 1
+            out += [tuple(r) for pdf in processor.handleExpiredTimer(("ward", "1"), self, None) for r in pdf.itertuples(index=False)]
+        return out
+
+
+class State:
+    def __init__(self):
+        self.clear()
+
+    def clear(self):
+        self.held = []
+
+    def exists(self):
+        return bool(self.held)
+
+    def update(self, value):
+        self.held = [value]
+
+    def appendValue(self, value):
+        self.held.append(value)
+
+    def appendList(self, values):
+        self.held += values
+
+    def get(self):
+        return iter(self.held) if not self.held or len(self.held) > 1 or isinstance(self.held[0][0], bytes) else self.held[0]
+
+
+def test_a_place_is_woken_once_however_many_days_wait():
+    import pandas as pd
+
+    cfg = AlertParams(lead_days=1, margin=1.0)
+    rnd = random.Random(8)
+    told = [(d, *rnd.choice([(0, 30.0), (1, 50.0), (2, 60.0), (3, 70.0), (0, None)])) for d in range(100, 160)]
+    first, second = [x for x in told if x[0] % 3], [x for x in told if not x[0] % 3]
+    moves, place, processor = [], Place(), alert_streams.LevelProcessor(cfg, alert_streams.BAND_EDGES)
+    processor.init(place)
+    for part in (first, second):
+        rows = pd.DataFrame(part, columns=["day", "target_level", "htsi_today"])
+        assert list(processor.handleInputRows(("ward", "1"), iter([rows[:7], rows[7:]]), place)) == []
+    for day in (120, 121, 159):
+        moves += place.advance(processor, day)
+    want, level, since, below = [], 0, 100, 0
+    for day, target, htsi in told:
+        to, below = alert_streams.next_level(level, since, below, target, htsi, day, alert_streams.BAND_EDGES, cfg)
+        if to != level:
+            want.append((alert_streams.EPOCH + timedelta(days=day), to))
+            level, since, below = to, day, 0
+    assert [(r[2], r[5]) for r in moves] == want and len(want) > 5
+    assert place.woken == 3 and not place.timers
+    late = next(processor.handleInputRows(("ward", "1"), iter([pd.DataFrame([(159, 2, 60.0)], columns=["day", "target_level", "htsi_today"])]), place))
+    assert late.to_numpy().tolist() == [["ward", "1", alert_streams.EPOCH + timedelta(days=159), None, "Warning", 2, "rejected"]]
+
+
 def test_closing_an_empty_feed(spark):
     assert alert_streams.closing_day(spark.createDataFrame([], f"as_of date, scope string, place_id string, days array<{DAY}>"), 3).count() == 0
 
