@@ -25,6 +25,7 @@ PIVOTS = [int(x) for x in np.random.default_rng(20260101).integers(-(1 << 63), 1
 #: BANDS bands of ROWS smallest hashes: a pair of likeness j meets with probability 1 - (1 - j^ROWS)^BANDS, 0.9993 at 0.8.
 ALIKE_WIDTH, ALIKE, BANDS, ROWS = 5, (4, 5), 24, 6
 LOOSE = 0.65  # part of two sketches that agrees if the texts are to be compared: 4.5 standard errors below ALIKE
+FAR = 0.5  # part of two sketches that agrees if their shingles are to be fetched: 9 standard errors below ALIKE
 BLOCK = 1 << 11  # shingles permuted at once
 
 #: The permutations behind the smallest hashes, from a fixed seed: a flip and an odd factor each.
@@ -235,13 +236,31 @@ def _joined(nodes: DataFrame, keys: Column, choices: int, held: Column, near: Co
     return known.join(more, known.comp == more.node, "left").select("fp", F.coalesce("root", "comp").alias("root"))
 
 
+def _agreeing(a: Column, b: Column) -> Column:
+    """Part of two sketches that agrees."""
+    n = BANDS * ROWS
+    return F.size(F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(a, 2 * i + 1, F.lit(2)) == F.substring(b, 2 * i + 1, F.lit(2)))) / F.lit(n)
+
+
+def _facing(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of buckets (key, comp, main, sketch, any others) -> those outside the main component that have a partner in their bucket, and the partners.
+
+    Partners are of another component, and their sketches agree in FAR. Each row is kept once, however many partners it has.
+    """
+    meets = (F.col("a.key") == F.col("b.key")) & (F.col("a.comp") != F.col("b.comp")) & (_agreeing(F.col("a.sketch"), F.col("b.sketch")) >= FAR)
+    rows = cut_lineage(rows)
+    a = cut_lineage(rows.where("comp <> main").alias("a").join(rows.alias("b"), meets, "left_semi"))
+    b = cut_lineage(rows.alias("b").join(a.alias("a"), meets, "left_semi"))
+    return a.drop("sketch"), b.drop("sketch")
+
+
 def _alike_roots(nodes: DataFrame, within: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Nodes (fp, sketch) -> (fp, root), joined by every pair that meets in a band and is a link.
 
     Every bucket's members are held against one of them; this alone joins a group of near copies. In buckets that still
     hold several components, members outside the largest meet the others in a join whose condition is the likeness itself,
     so that it makes links alone, however many texts of a family are nearly alike; a pair that shares several bands is
-    looked at in the first of them. ``within`` keeps the pairs (u, v, any others) that are links; ``sets`` gives the
+    looked at in the first of them. Only rows that face another, see :func:`_facing`, fetch their shingles. ``within`` keeps the pairs (u, v, any others) that are links; ``sets`` gives the
     shingles of nodes (fp).
     """
     known = _headed(nodes, _bands(F.col("sketch")), BANDS, F.lit(True), within)
@@ -249,11 +268,11 @@ def _alike_roots(nodes: DataFrame, within: Callable[[DataFrame], DataFrame], set
     mixed = keyed.groupBy("key").agg(F.max_by("comp", "size").alias("main"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     mixed = cut_lineage(mixed.where("lo <> hi").select("key", "main"))
     rows = cut_lineage(keyed.drop("size").join(mixed, "key"))
-    ends = cut_lineage(rows.select("fp").distinct())
+    a, b = _facing(rows.join(known.select("fp", "sketch"), "fp"))
+    ends = cut_lineage(a.select("fp").union(b.select("fp")).distinct())
     bands = known.join(ends, "fp", "left_semi").select("fp", F.array(*[F.xxhash64(F.substring("sketch", 2 * ROWS * n + 1, 2 * ROWS)) for n in range(BANDS)]).alias("bands"))
-    rows = rows.join(cut_lineage(bands.join(sets(ends), "fp")), "fp")
-    rows = cut_lineage(rows)
-    a, b = rows.where("comp <> main").alias("a"), rows.alias("b")
+    full = cut_lineage(bands.join(sets(ends), "fp"))
+    a, b = a.join(full, "fp").alias("a"), b.join(full, "fp").alias("b")
     once = (F.col("b.comp") == F.col("b.main")) | (F.col("a.fp") < F.col("b.fp"))
     for n in range(BANDS - 1):
         once = once & ((F.col("a.choice") <= n) | (F.col("a.bands")[n] != F.col("b.bands")[n]))

@@ -239,6 +239,25 @@ def test_recall_on_whole_documents(spark, tmp_path):
     assert all(got[i] == i for i in want if want[i] == i)
 
 
+def test_shingles_are_fetched_for_texts_that_face_another(spark):
+    """Forty sketches share a band and little else; two of them agree in three quarters, and their shingles make them one."""
+    rnd = random.Random(9)
+    size = 2 * simhash.BANDS * simhash.ROWS
+    sketches = [bytes(12) + rnd.randbytes(size - 12) for _ in range(39)]
+    sketches.append(sketches[0][: size * 3 // 4] + rnd.randbytes(size - size * 3 // 4))
+    nodes = spark.createDataFrame([(i, bytearray(x)) for i, x in enumerate(sketches)], "fp bigint, sketch binary")
+    fetched = []
+
+    def sets(ends):
+        fetched.extend(sorted(r.fp for r in ends.collect()))
+        return ends.select("fp", F.array(*[F.lit(x).cast("bigint") for x in range(9)], F.col("fp")).alias("shingles"))
+
+    roots = simhash._alike_roots(nodes, lambda pairs: pairs.where("false"), sets)
+    got = {r.fp: r.root for r in roots.collect()}
+    assert fetched == [0, 39]
+    assert got[0] == got[39] and len(set(got.values())) == 39
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], T.StructType.fromDDL("doc_id bigint, text string"))
     assert simhash.near_duplicates(empty).count() == 0
