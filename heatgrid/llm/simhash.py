@@ -260,7 +260,8 @@ def _alike_roots(nodes: DataFrame, within: Callable[[DataFrame], DataFrame], set
     Every bucket's members are held against one of them; this alone joins a group of near copies. In buckets that still
     hold several components, members outside the largest meet the others in a join whose condition is the likeness itself,
     so that it makes links alone, however many texts of a family are nearly alike; a pair that shares several bands is
-    looked at in the first of them. Only rows that face another, see :func:`_facing`, fetch their shingles. ``within`` keeps the pairs (u, v, any others) that are links; ``sets`` gives the
+    looked at in the first of them. Only rows that face another, see :func:`_facing`, fetch their shingles. ``within`` keeps
+    the pairs (u, v, any others) that are links; ``sets`` gives the
     shingles of nodes (fp).
     """
     known = _headed(nodes, _bands(F.col("sketch")), BANDS, F.lit(True), within)
