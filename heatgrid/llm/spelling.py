@@ -153,7 +153,9 @@ def near(words: DataFrame) -> DataFrame:
 
     The neighbourhood of u's reduced form holds the reduced form of each such v: an edit of the word is an edit of its
     reduced form, or none. So they meet in a join on the hash, once, and the words themselves settle it. Words are
-    distinct, so a crowded hash is a set of different words; Spark splits it where it is a skewed partition.
+    distinct, so a crowded hash is a set of different words; Spark splits it where it is a skewed partition. The plan
+    takes the neighbourhoods to be as small as the words they come from, a hundredth, so the join is told to shuffle:
+    otherwise a vocabulary of a few MB has all of them sent to the driver.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,19 +169,19 @@ def near(words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(codes(batch.column("word").to_pylist())), batch.column("word"), batch.column("n")], names=["key", "v", "n_v"])
 
     keys, held = words.select("word").mapInArrow(spread, "key int, u string"), words.select("word", "n").mapInArrow(own, "key int, v string, n_v bigint")
-    return keys.join(held, "key").where((F.col("u") != F.col("v")) & (F.levenshtein("u", "v", 1) == 1)).select("u", "v", "n_v")
+    return keys.hint("merge").join(held, "key").where((F.col("u") != F.col("v")) & (F.levenshtein("u", "v", 1) == 1)).select("u", "v", "n_v")
 
 
 def roots(forms: DataFrame) -> DataFrame:
     """(word, root): the end of each chain of ``forms`` (word, form), by doubling the steps until none goes on.
 
     Counts at least double from a word to its form, so chains are short and have no rings: the rounds are as few as the
-    logarithm of a chain.
+    logarithm of a chain. Files of words are a fraction of the rows in memory, so these joins are told to shuffle too.
     """
     step = cut_lineage(forms.where("form IS NOT NULL").select("word", F.col("form").alias("to")))
     while True:
         ahead = step.select(F.col("word").alias("at"), F.col("to").alias("next"))
-        step = cut_lineage(step.join(ahead, F.col("to") == F.col("at"), "left").select("word", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
+        step = cut_lineage(step.join(ahead.hint("merge"), F.col("to") == F.col("at"), "left").select("word", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")))
         if not step.where("moved").limit(1).count():
             return step.select("word", F.col("to").alias("root"))
         step = step.drop("moved")
@@ -196,7 +198,7 @@ def variants(words: DataFrame) -> DataFrame:
     known = words.join(met, "word", "left")
     strong = -F.col("best.n") >= STRONGER * F.col("n")
     known = cut_lineage(known.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), F.when(strong, F.col("best.v")).alias("form"), F.when(strong, -F.col("best.n")).alias("form_n")))
-    return known.join(roots(known), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
+    return known.join(roots(known).hint("merge"), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
 
 
 def spelling_variants(docs: DataFrame, min_letters: int = MIN_LETTERS, min_count: int = MIN_COUNT) -> DataFrame:

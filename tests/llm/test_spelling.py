@@ -117,3 +117,16 @@ def test_long_texts_are_counted_in_slices(monkeypatch):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], T.StructType.fromDDL(ROWS))
     assert spelling.spelling_variants(empty).count() == 0
+
+
+def test_neighbourhoods_are_not_broadcast(spark, tmp_path):
+    """Written words of a few KB have neighbourhoods a hundred times as large, which the plan does not know."""
+    spark.createDataFrame([(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}", 3) for i in range(500)], "word string, n bigint").write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")
+    key, old = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "10m")
+    try:
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (spelling.near(words), spelling.variants(words))]
+    finally:
+        spark.conf.set(key, old)
+    assert all("SortMergeJoin" in plan and "Broadcast" not in plan for plan in plans)
