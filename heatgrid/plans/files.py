@@ -41,7 +41,8 @@ def cell_year_files(spark, sf):
     path = scratch_path(spark, "hourly")
     weather.write_cell_years(h, path)
     h.select("stamp").limit(3).write.mode("append").csv(path)
-    raw = cut_lineage(weather.read_hourly_csv(spark, path))  # many small files, opened once
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    raw = cut_lineage(weather.read_hourly_csv(spark, path).coalesce(parts))  # many small files, opened once
     cells = weather.inventory(raw)
     by_file = raw.groupBy("lat", "lon", "year").agg(F.count("*").alias("n"), F.min("stamp").alias("first"), F.max("stamp").alias("last"), F.avg("T2M").alias("t2m"), F.max("PS").alias("ps"))
     return rounded(by_file.join(cells, ["lat", "lon", "year"]))

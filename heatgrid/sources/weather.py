@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
+import os
+import re
+import uuid
+from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
+from operator import itemgetter
+
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +22,8 @@ from heatgrid.session import scratch_path
 #: ``{lat}_{lon}_{year}.csv``: fixed pattern.
 FILE_GLOB = "*_*_[0-9][0-9][0-9][0-9].csv"
 FILE_PATTERN = r"^(-?\d+(?:\.\d+)?)_(-?\d+(?:\.\d+)?)_(\d{4})\.csv$"
+#: Characters that Spark does not put in the name of a folder.
+UNSAFE = re.compile("[\\x01-\\x1f\"#%'*/:=?\\\\\\x7f{\\[\\]^]")
 
 NWP_SCHEMA = (
     "cell_id int, lat double, lon double, hourly struct<time: array<string>, temperature_2m: array<double>, "
@@ -69,24 +77,61 @@ def read_hourly_csv(spark: SparkSession, path: str, strict: bool = True) -> Data
     return named.select("stamp", *VALUE_COLUMNS, "file").withColumns(file_parts(F.col("file"))).where(F.col("year").isNotNull())
 
 
+def _file_writer(folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes rows (file, line), those of a file one after another, as files of ``folder``; a file shows when it is whole."""
+    header = ",".join(["", *VALUE_COLUMNS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, out, files = None, None, 0
+        own = uuid.uuid4().hex
+        goal = lambda: f"{folder}/{UNSAFE.sub(lambda c: f'%{ord(c[0]):02X}', name)}"
+        held = f"{folder}/.{own}"
+        try:
+            for batch in batches:
+                rows = zip(batch.column("file").to_pylist(), batch.column("line").to_pylist())
+                for file, lines in groupby(rows, itemgetter(0)):
+                    if file != name:
+                        if out:
+                            out.close()
+                            os.replace(held, goal())
+                        name, out, files = file, open(held, "w", encoding="utf-8", newline=""), files + 1
+                        out.write(f"{header}\n")
+                    out.writelines(f"{line}\n" for _, line in lines)
+            if out:
+                out.close()
+                os.replace(held, goal())
+        finally:
+            if os.path.exists(held):
+                os.remove(held)
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    return run
+
+
 def write_cell_years(hours: DataFrame, path: str) -> None:
     """Hourly rows (lat, lon, year, stamp and the value columns) as one file for each cell and year, named by them.
 
-    Spark names its files itself, so each lies in a folder of the wanted name
-    first and is moved in the folder's place at the end. A file holds a cell's
-    hours of one year, which bounds it.
+    Rows are placed by file and sorted; in a folder that tasks can open, a task
+    writes its files under their own names. Elsewhere Spark's writer does, which
+    names files itself, so each lies in a folder of the wanted name first and is
+    moved in the folder's place at the end. A file holds a cell's hours of one
+    year, which bounds it.
     """
     spark = hours.sparkSession
     name = F.concat_ws("_", F.col("lat").cast("string"), F.col("lon").cast("string"), F.col("year").cast("string"))
     rows = hours.select(F.concat(name, F.lit(".csv")).alias("file"), "stamp", *VALUE_COLUMNS)
-    header = rows.toDF("file", "", *VALUE_COLUMNS)
-    staged = scratch_path(spark, "cell-years")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    header.repartition(parts, "file").sortWithinPartitions("file", header[""]).write.partitionBy("file").option("header", True).option("emptyValue", "").csv(staged)
+    placed = rows.repartition(parts, "file").sortWithinPartitions("file", "stamp")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     goal = jvm.org.apache.hadoop.fs.Path(path)
     fs = goal.getFileSystem(conf)
     fs.mkdirs(goal)
+    if fs.getUri().getScheme() == "file":
+        lines = placed.select("file", F.to_csv(F.struct("stamp", *VALUE_COLUMNS), {"emptyValue": ""}).alias("line"))
+        lines.mapInArrow(_file_writer(fs.makeQualified(goal).toUri().getPath()), "files bigint").agg(F.sum("files")).collect()
+        return
+    staged = scratch_path(spark, "cell-years")
+    placed.toDF("file", "", *VALUE_COLUMNS).write.partitionBy("file").option("header", True).option("emptyValue", "").csv(staged)
     for part in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staged}/file=*/part-*.csv")):
         fs.rename(part.getPath(), jvm.org.apache.hadoop.fs.Path(goal, part.getPath().getParent().getName().removeprefix("file=")))
 

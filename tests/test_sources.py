@@ -195,3 +195,19 @@ def test_cell_year_files_lie_under_their_names(spark, tmp_path):
     assert weather.read_hourly_csv(spark, str(tmp_path / "fresh")).count() == 6
     one = weather._a_file(spark, str(tmp_path / "fresh"))
     assert re.fullmatch(weather.FILE_PATTERN, one.split("/")[-1]) and weather._a_file(spark, str(tmp_path)) is None
+
+
+def test_cell_year_files_are_written_in_place(spark, tmp_path):
+    """Tasks write the files themselves: none is staged, checked beside or moved, and each holds its hours in order."""
+    cols = "lat double, lon double, year int, stamp string, " + ", ".join(f"{c} double" for c in weather.VALUE_COLUMNS)
+    rest = [None] * (len(weather.VALUE_COLUMNS) - 2)
+    rows = [(20.0 + c, -82.5, 2020 + y, f"{2020 + y}0101{h:02d}", h / 4, 1e-5 if h else None, *rest) for c in range(3) for y in range(2) for h in (2, 0, 1)]
+    weather.write_cell_years(spark.createDataFrame(rows, cols).repartition(5), str(tmp_path / "fresh"))
+    assert sorted(os.listdir(tmp_path / "fresh")) == sorted(f"{20.0 + c}_-82.5_{2020 + y}.csv" for c in range(3) for y in range(2))
+    commas = "," * len(rest)
+    want = ["," + ",".join(weather.VALUE_COLUMNS), f"2020010100,0.0,{commas}", f"2020010101,0.25,1.0E-5{commas}", f"2020010102,0.5,1.0E-5{commas}"]
+    assert (tmp_path / "fresh" / "21.0_-82.5_2020.csv").read_text().split("\n") == [*want, ""]
+    back = weather.read_hourly_csv(spark, str(tmp_path / "fresh"))
+    assert back.count() == 18 and back.where(f"{weather.VALUE_COLUMNS[1]} IS NULL").count() == 6
+    weather.write_cell_years(spark.createDataFrame([], cols), str(tmp_path / "none"))
+    assert os.listdir(tmp_path / "none") == []
