@@ -224,3 +224,35 @@ def test_matches_are_not_shuffled_as_pairs(spark):
                 want.add((alert, i))
     got = [tuple(r) for r in out.collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_deliveries_meet_groups_of_subscribers(spark, monkeypatch):
+    """What is owed comes from groups of subscribers: equal to the pairs less the log, and no pair is shuffled."""
+    monkeypatch.setattr(alerts, "HELD", 3)
+    a = spark.createDataFrame(
+        [(f"A{i}", "ward" if i % 3 else "district", str(i % 4), str(i % 2), str(i % 3), i % 4) for i in range(12)] + [("A1", "ward", "9", "1", "0", 3), (None, "ward", "1", "0", "0", 2)],
+        "alert_id string, scope string, place_id string, city string, district string, level int",
+    )
+    s = spark.createDataFrame(
+        [(i, i % 4, [str(i % 4), str(i % 3)] if i % 2 else None, [str(i % 3)], [str(i % 2), None, "1"]) for i in range(40)] + [(None, 1, ["1"], ["0"], ["0"]), (3, 1, ["2"], None, ["1"])],
+        "id long, min_level int, wards array<string>, districts array<string>, cities array<string>",
+    )
+    plain = lambda df: sorted(map(tuple, df.select("alert_id", "subscription_id").collect()), key=str)
+    want = set()
+    for r in a.collect():
+        for p in s.collect():
+            meets = (r.scope == "ward" and (r.place_id in (p.wards or []) or r.city in (p.cities or []))) or (r.scope == "district" and r.district in (p.districts or []))
+            if meets and r.level >= p.min_level:
+                want.add((r.alert_id, p.id))
+    found = alerts.find_matches(a, s)
+    pairs = plain(alerts.match_subscriptions(a, s))
+    assert pairs == plain(found.pairs()) == sorted(want, key=str) and len(pairs) > 150
+    log = spark.createDataFrame([(*p, "failed" if i % 6 == 0 else "sent") for i, p in enumerate(pairs) if i % 3 == 0], "alert_id string, subscription_id long, status string")
+    owed = alerts.undelivered(found, log)
+    gone = {p for i, p in enumerate(pairs) if i % 3 == 0 and i % 6 and None not in p}
+    assert plain(owed) == plain(alerts.undelivered(alerts.match_subscriptions(a, s), log)) == [p for p in pairs if p not in gone]
+    assert "array_except" in owed._jdf.queryExecution().optimizedPlan().toString()
+    from heatgrid.streaming.alerts import deliveries
+
+    sent = {(r.alert_id, r.subscription_id): r.sent for r in deliveries(log.unionByName(log)).collect()}
+    assert sent == {(r.alert_id, r.subscription_id): 2 for r in log.collect()}
