@@ -13,13 +13,17 @@ from heatgrid.functions.scaling import interventions_keep
 from heatgrid.params import InterventionParams
 from heatgrid.session import cut_lineage
 
+HELD = 4096  # sites or points of one spot that are held together
+
 
 def coverage_pairs(sites: DataFrame, points: DataFrame, radius_km: float, by: str = "city", site_id: str = "site_id", point_id: str = "ward_id") -> DataFrame:
     """(site, point) of the same city within a radius.
 
     Latitude is cut into bands one radius high, and longitude into columns at
     least one radius wide at the band edge nearest the pole, so a match lies in
-    the site's band or a neighbour. Only close pairs are ever formed.
+    the site's band or a neighbour. Only close pairs are ever formed. Sites, or
+    points, of one spot are compared once, a few thousand together, and written
+    out behind the comparison.
     """
     step = math.degrees(radius_km / EARTH_RADIUS_KM) * (1 + 1e-9)
 
@@ -31,16 +35,25 @@ def coverage_pairs(sites: DataFrame, points: DataFrame, radius_km: float, by: st
         width = F.lit(step) / F.greatest(F.cos(F.radians(F.least(poleward, F.lit(89.0)))), F.lit(1e-6))
         return F.floor(F.col(lon) / width).cast("long")
 
+    def spots(df, key, name, lat, lon):
+        unnamed = F.array_repeat(F.lit(None).cast(df.schema[key].dataType), F.count_if(F.col(key).isNull()).cast("int"))
+        held = df.groupBy(by, F.col("lat").alias(lat), F.col("lon").alias(lon)).agg(F.concat(F.collect_list(key), unnamed).alias(name))
+        few = F.transform(F.sequence(F.lit(0), ((F.size(name) - 1) / HELD).cast("int")), lambda i: F.slice(name, i * HELD + 1, HELD))
+        return held.withColumn(name, F.explode(few))
+
     near = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     s = (
-        sites.select(by, F.col(site_id).alias("site_id"), F.col("lat").alias("_slat"), F.col("lon").alias("_slon"))
+        spots(sites, site_id, "_sites", "_slat", "_slon")
         .withColumn("_band", F.explode(F.transform(near, lambda i: band("_slat") + i)))
         .withColumn("_col", F.explode(F.transform(near, lambda i: column("_slon", F.col("_band")) + i)))
     )
-    p = points.select(by, F.col(point_id).alias("ward_id"), F.col("lat").alias("_plat"), F.col("lon").alias("_plon")).withColumn("_band", band("_plat"))
+    p = spots(points, point_id, "_points", "_plat", "_plon").withColumn("_band", band("_plat"))
     p = p.withColumn("_col", column("_plon", F.col("_band")))
     dist = haversine_km("_slat", "_slon", "_plat", "_plon")
-    return s.join(p, [by, "_band", "_col"]).withColumn("distance_km", dist).where(F.col("distance_km") <= radius_km).select(by, "site_id", "ward_id", "distance_km")
+    keys, parts = [by, "_band", "_col"], max(int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions")), sites.sparkSession.sparkContext.defaultParallelism)
+    met = s.repartition(parts, *keys).hint("merge").join(p.repartition(parts, *keys), keys).withColumn("distance_km", dist).where(F.col("distance_km") <= radius_km)
+    each = met.select(by, F.explode("_sites").alias("site_id"), "_points", "distance_km")
+    return each.select(by, "site_id", F.explode("_points").alias("ward_id"), "distance_km")
 
 
 def max_cover(pairs: DataFrame, demand: DataFrame, n: int, by: str = "city", recomputed: list[int] | None = None) -> tuple[DataFrame, DataFrame]:

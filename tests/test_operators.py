@@ -408,3 +408,16 @@ def test_measures_combine_on_what_remains(spark):
     assert r.baseline_excess == 20.0
     assert r.after_excess == pytest.approx(10 * 0.92 * 0.95 * (0.85 + 1))
     assert r.averted_excess == pytest.approx(20 - r.after_excess)
+
+
+def test_coverage_pairs_meet_by_spot(spark, monkeypatch):
+    """Sites of one spot are compared once, in groups; ids may repeat or be missing."""
+    monkeypatch.setattr(siting, "HELD", 2)
+    spots = [(20.0, 85.0), (20.0, 85.005), (20.2, 85.0), (None, 85.0)]
+    rows = [("a" if i % 5 else None, None if i == 7 else i // 2, *spots[i % 4]) for i in range(40)]
+    w = spark.createDataFrame(rows, "city string, ward_id long, lat double, lon double")
+    got = siting.coverage_pairs(w, w, 1.0, site_id="ward_id")
+    near = lambda x, y: x[0] == y[0] == "a" and None not in x[2:] and None not in y[2:] and x[2] == y[2] == 20.0 or x[2:] == y[2:] == (20.2, 85.0) and x[0] == y[0] == "a"
+    want = sorted(((x[1], y[1]) for x in rows for y in rows if near(x, y)), key=str)
+    assert sorted(((r.site_id, r.ward_id) for r in got.collect()), key=str) == want and len(want) > 200
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 2
